@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mix
 from .ngram_join import jaccard_join
 
 
@@ -14,9 +16,49 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS k FROM documents),
+s AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 3 AS cap FROM s),
+f AS (
+  SELECT *, row_number() OVER o AS fill,
+    sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy
+  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / w, rk)),
+g AS (SELECT *, rest::DOUBLE / heavy::DOUBLE AS lv FROM f),
+h AS (SELECT *, CASE WHEN lv * w <= cap THEN fill END AS free FROM g),
+t AS (
+  SELECT source, rk, source_size,
+    CASE WHEN fill < min(free) OVER () THEN cap::DOUBLE ELSE (arg_min(lv, free) OVER ()) * w END AS target FROM h),
+c AS (
+  SELECT d.doc_id, d.size, t.rk, t.source_size, t.target,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start,
+    CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (
+  SELECT *, (passes + (start + size / 2.0 <= target - passes * source_size)::INT)::INT AS copies,
+    coalesce(least(1.0, CASE WHEN target > 0 THEN start / target END), 0.0) AS u FROM c)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies,
+  round(CASE WHEN copies = 0 THEN NULL
+    WHEN rk % 3 = 0 AND u < 0.625 THEN (sqrt(2.25 - 2.0 * u) - 1.5) / -1.0
+    WHEN rk % 3 = 0 THEN 0.5 + (sqrt(greatest(0.0, 1.0 - 2.0 * (u - 0.625))) - 1.0) / -1.0
+    WHEN rk % 3 = 1 THEN u
+    WHEN u < 0.46875 / 0.875 THEN (sqrt(0.25 * 0.25 / 0.765625 + 2.0 / 0.875 * u) - 0.25 / 0.875) / (1.0 / 0.875)
+    ELSE 0.75 + (sqrt(1.0 / 0.765625 + 10.0 / 0.875 * (u - 0.46875 / 0.875)) - 1.0 / 0.875) / (5.0 / 0.875) END, 9) + 0.0 AS position
+FROM n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL}
