@@ -25,7 +25,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
-_POW = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
+POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -100,7 +100,7 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = at[heads]
     lengths = np.diff(np.append(heads, len(at)))
     inside = np.arange(len(at)) - np.repeat(heads, lengths)
-    value = (_LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * _POW[inside & 4095]
+    value = (_LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * POWERS[inside & 4095]
     if lengths.max() > 4096:
         value *= ((inside >> 12).astype(np.uint64) << np.uint64(1)) + np.uint64(1)
     return mix(np.add.reduceat(value, heads)), np.searchsorted(starts, own)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode
 from .common import table
+from .media import read_media, to_media
 from .mixing import mix
 from .ngram_join import jaccard_join
 
@@ -56,6 +59,18 @@ FROM n
 """
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return coded.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(to_media(table(spark, sf_dir, "documents")))
+    clip = lambda c: F.concat_ws("-", c["first_frame"], c["last_frame"], c["start_ms"], c["end_ms"])
+    return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.array_join(F.transform("clips", clip), ";").alias("feature"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
