@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 
 from .bpe import encode
 from .common import table
+from .html_text import extract_pages
 from .media import read_media, to_media
 from .mixing import mix
 from .ngram_join import jaccard_join
+from .quality import quality_scores
+from .rollups import corpus_rollup
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS k FROM documents),
@@ -71,9 +82,25 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.array_join(F.transform("clips", clip), ";").alias("feature"))
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_rollup(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS a,
+    coalesce(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]{1,3}|[^A-Za-z0-9\x20\x09-\x0D]')), 0) AS b,
+    text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY text) AS kept
+  FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, sum(kept::INT)::BIGINT AS n_docs, coalesce(sum(a) FILTER (kept), 0)::BIGINT AS n_tokens FROM d GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'pieces-1', sum(kept::INT)::BIGINT, coalesce(sum(b) FILTER (kept), 0)::BIGINT FROM d GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op10_token_rollup": OP10_SQL}
