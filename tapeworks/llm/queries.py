@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode
 from .common import table
+from .hnsw import nearest
 from .html_text import extract_pages
 from .media import read_media, to_media
 from .mixing import mix
@@ -76,6 +77,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(to_media(table(spark, sf_dir, "documents")))
     clip = lambda c: F.concat_ws("-", c["first_frame"], c["last_frame"], c["start_ms"], c["end_ms"])
