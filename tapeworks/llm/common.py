@@ -46,6 +46,16 @@ def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids or spans that a table marked for broadcast has at most.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A staged table of short rows, marked for broadcast if they are few by count; else
+    as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,6 +15,7 @@ from .html_text import extract_pages
 from .media import read_media, to_media
 from .mixing import mix
 from .ngram_join import jaccard_join
+from .passages import repeated_passages
 from .quality import quality_scores
 from .rollups import corpus_rollup
 
@@ -71,6 +72,10 @@ FROM n
 """
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
