@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import POWERS, buffers, mix, staged
 
 #: Small maps of the literal rank map; a power of two.
-MAPS = 1 << 13
-#: Distinct words up to this many are broadcast (about 45 bytes each, 180 MB at most).
+MAPS = 1 << 14
+#: Distinct words up to this many are broadcast (about 30 bytes each, 120 MB at most).
 MAX_BROADCAST_WORDS = 4_000_000
 #: No rank is as high.
 NONE = 1 << 30
@@ -58,9 +58,13 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def encode_word(word: Column, maps: Column) -> Column:
-    """array<int>: the ids of one word, as the reference BPE gives them: a word that is a
-    piece is one id; else the leftmost pair of lowest rank is merged until none has one.
-    An empty word has no ids."""
+    """array<int>: the ids of one word as byte-level BPE gives them: a word that is a piece
+    is one id; else the leftmost pair of lowest rank is merged until none has one. An empty
+    word has no ids. The literal stands in the plan once."""
+    return _let(maps, lambda m: _encode_word(word, m))
+
+
+def _encode_word(word: Column, maps: Column) -> Column:
 
     def rank(piece: Column) -> Column:
         small = F.get(maps, F.crc32(piece.cast("binary")).bitwiseAND(MAPS - 1).cast("int"))
@@ -125,11 +129,11 @@ def _repeat_ranges(starts, lengths):
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
-def _gather(ids_of, bounds_of, code, own, pieces):
-    """Rows (n_tokens, ids as bytes, decoded bytes) of texts with words code[own[i]:own[i+1]]."""
-    starts = bounds_of[code]
-    lengths = bounds_of[code + 1] - starts
-    ids = ids_of[_repeat_ranges(starts, lengths)]
+def _gather(ids_of, starts_of, lengths_of, code, own, pieces):
+    """Rows (n_tokens, ids as bytes, decoded bytes) of texts with words code[own[i]:own[i+1]];
+    word c has the ids ids_of[starts_of[c]:] of the length lengths_of[c]."""
+    starts, lengths = starts_of[code].astype(np.int64), lengths_of[code].astype(np.int64)
+    ids = ids_of[_repeat_ranges(starts, lengths)].astype(np.int64)
     cut = np.concatenate(([0], np.cumsum(lengths)))[own]
     raw, off = pieces
     long = off[ids + 1] - off[ids]
@@ -167,24 +171,33 @@ def _hashes(col: pa.Array) -> np.ndarray:
     return mix(total[own[1:]] - total[own[:-1]] + lengths.astype(np.uint64))
 
 
-def _collected(vocabulary: DataFrame):
-    """The words' hashes, sorted, their ids in that order, the bounds of each word's ids;
-    or None if two words share a hash."""
-    got = vocabulary.toArrow()
-    hashes = _hashes(got["word"])
+def _packed(batches, kind):
+    """One row for each batch of the vocabulary: hashes, numbers of ids, ids, as bytes."""
+    for batch in batches:
+        ids, own = _lists(batch.column(1))
+        row = (_hashes(batch.column(0)).tobytes(), np.diff(own).astype(np.int32).tobytes(), ids.to_numpy().astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["h", "n", "ids"])
+
+
+def _collected(vocabulary: DataFrame, kind):
+    """The words' hashes, sorted; where each word's ids begin, and their number; all ids in
+    the type kind. None if two words share a hash."""
+    parts = vocabulary.select("word", "ids").mapInArrow(partial(_packed, kind=kind), "h binary, n binary, ids binary").collect()
+    hashes = np.frombuffer(b"".join(r.h for r in parts), np.uint64)
+    lengths = np.frombuffer(b"".join(r.n for r in parts), np.int32)
+    ids = np.frombuffer(b"".join(r.ids for r in parts), kind)
+    del parts
     order = np.argsort(hashes)
     hashes = hashes[order]
     if (hashes[1:] == hashes[:-1]).any():
         return None
-    ids, own = _lists(got["ids"])
-    lengths = np.diff(own)[order]
-    flat = ids.to_numpy()[_repeat_ranges(own[:-1][order], lengths)].astype(np.int32)
-    return hashes, flat, np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    starts = np.cumsum(lengths, dtype=np.int32) - lengths
+    return hashes, starts[order], lengths[order], ids
 
 
 def _assemble(batches, vocabulary, ranks, digests):
     """Batches (id, words), with the broadcast vocabulary."""
-    hashes, ids_of, bounds_of = vocabulary.value
+    hashes, starts, lengths, ids = vocabulary.value
     pieces = _pieces(ranks)
     for batch in batches:
         values, own = _lists(batch.column(1))
@@ -193,7 +206,7 @@ def _assemble(batches, vocabulary, ranks, digests):
             j = max(i + 1, int(np.searchsorted(own, own[i] + PASS_WORDS, "right")) - 1)
             coded = values.slice(own[i], own[j] - own[i]).dictionary_encode()
             place = np.searchsorted(hashes, _hashes(coded.dictionary))[coded.indices.to_numpy()]
-            yield _out(batch.column(0).slice(i, j - i), list(_gather(ids_of, bounds_of, place, own[i : j + 1] - own[i], pieces)), digests)
+            yield _out(batch.column(0).slice(i, j - i), list(_gather(ids, starts, lengths, place, own[i : j + 1] - own[i], pieces)), digests)
             i = j
 
 
@@ -207,7 +220,7 @@ def _fold_join(batches, ranks, digests):
             lists, _ = _lists(batch.column(3).slice(k, 1))
             ids, bounds = _lists(lists) if len(lists) else (pa.array([], pa.int32()), np.zeros(1, np.int64))
             place = pc.index_in(values, mine).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = list(_gather(ids.to_numpy().astype(np.int64), bounds, place, own, pieces))
+            rows = list(_gather(ids.to_numpy(), bounds[:-1], np.diff(bounds), place, own, pieces))
             yield _out(batch.column(0).slice(k, 1), rows, digests)
 
 
@@ -222,9 +235,9 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, id_c
     ranks = read_ranks(path)
     vocabulary = staged(encode_words(docs, ranks, pattern, text_col))
     split = docs.select(F.col(id_col).alias("id"), words(pattern, text_col).alias("words"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids {'string' if digests else 'binary'}, decoded {'string' if digests else 'binary'}"
-    known = _collected(vocabulary) if vocabulary.count() <= broadcast_words else None
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids {'string' if digests else 'binary'}, decoded {'string' if digests else 'binary'}"
+    kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
+    known = _collected(vocabulary, kind) if vocabulary.count() <= broadcast_words else None
     if known:
         shared = docs.sparkSession.sparkContext.broadcast(known)
         out = split.mapInArrow(partial(_assemble, vocabulary=shared, ranks=ranks, digests=digests), schema)
