@@ -1,8 +1,9 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive, tags negative, words of
-menus, adverts and other furniture negative too; a linear scan finds the contiguous
-region of the highest sum. The weights are log-odds of being inside the main element,
+A page is a sequence of words and tags. Words score positive, tags negative; words of
+menus, adverts and other furniture, and those outside a page's main element, score
+negative, too. Furniture within the main element scores nothing and is left out. A linear
+scan finds the contiguous region of the highest sum. The weights are log-odds of being inside the main element,
 counted over the labelled pages: those whose own markup marks an article or main element.
 """
 
@@ -23,6 +24,8 @@ FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "select", "me
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
+# Marks by which an article element is itself furniture.
+NOT_MAIN = {"ad", "ads", "advert", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sidebar", "sponsored", "teaser"}
 # Words of class, id and role names that mark furniture.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
@@ -32,11 +35,11 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _PART = re.compile(r"[^a-z]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, marks: set[str] = MARKS) -> bool:
     for groups in _NAMED.findall(attributes):
         for name in "".join(groups).lower().split():
             parts = [p for p in _PART.split(name) if p]
-            if parts and (parts[0] in MARKS or parts[-1] in MARKS):
+            if parts and (parts[0] in marks or parts[-1] in marks):
                 return True
     return bool(_HIDDEN.search(attributes))
 
@@ -57,9 +60,14 @@ def items(page: str):
         if not name:
             continue
         closes, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in MAIN:
-            main = max(0, main + (-1 if closes else 1))
-            if not closes:
+        if name in MAIN and name != skip:
+            if closes:
+                main = max(0, main - 1)
+            elif _marked(attributes, NOT_MAIN):
+                if not skip:
+                    skip, depth = name, 0
+            else:
+                main += 1
                 skip, depth = "", 0
         if skip:
             if name == skip:
@@ -85,7 +93,9 @@ def _learn(batches):
             labelled = False
             for kind, value, furniture, inside in items(page or ""):
                 labelled |= inside
-                key = ("" if kind == "text" else value[1], inside and not furniture)
+                if furniture and inside:
+                    continue
+                key = ("" if kind == "text" else value[1], inside)
                 own[key] = own.get(key, 0) + (len(value.split()) if kind == "text" else 1)
             if labelled:
                 for k, v in own.items():
@@ -98,31 +108,32 @@ def _learn(batches):
 
 def learn_weights(pages: DataFrame, html_col: str = "html", most: int = 1000) -> dict[str, float]:
     """Weights by tag name, and of a word under "": log-odds of being in the main element.
-    Words weigh at least 0.1, tags at most -0.1; the most frequent names are kept."""
+    Words weigh 1 to 5, tags -5 to -0.1; the most frequent names are kept."""
     rows = pages.select(F.col(html_col).cast("string")).mapInArrow(_learn, "name string, inside boolean, n long")
     per = rows.groupBy("name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
     got = {r.name: log((r.a + 1) / (r.b + 1)) for r in per.orderBy(F.desc(F.col("a") + F.col("b")), "name").limit(most).collect()}
-    return {k: min(5.0, max(0.1, v)) if k == "" else max(-5.0, min(-0.1, v)) for k, v in got.items()}
+    return {k: min(5.0, max(1.0, v)) if k == "" else max(-5.0, min(-0.1, v)) for k, v in got.items()}
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by two line ends; "" if no word scores."""
-    word, seen = weights.get("", 1.0), []
+    word, seen = weights.get("", 1.0), list(items(page))
+    has_main = any(inside for *_, inside in seen)
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
-    for kind, value, furniture, _ in items(page):
+    for at, (kind, value, furniture, inside) in enumerate(seen):
+        if furniture and inside:
+            continue
         if kind == "text":
-            n = len(value.split())
-            score = -word * n if furniture else word * n
+            score = word * len(value.split()) * (-1 if furniture or has_main and not inside else 1)
         else:
             score = weights.get(value[1], -1.0)
         if total <= 0:
-            total, start = 0.0, len(seen)
-        seen.append((kind, value, furniture))
+            total, start = 0.0, at
         total += score
         if total > best:
-            best, best_range = total, (start, len(seen))
+            best, best_range = total, (start, at + 1)
     blocks, block = [], []
-    for kind, value, furniture in seen[slice(*best_range)]:
+    for kind, value, furniture, _ in seen[slice(*best_range)]:
         if kind == "text":
             if not furniture:
                 block.append(value)
