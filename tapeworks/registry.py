@@ -17,7 +17,7 @@ from .plans import recommend as R
 from .plans import training as T
 from .sources import adapters as A
 from .sources import ingest as I
-from .streaming.refresh import incremental_refresh
+from .streaming.refresh import incremental_refresh, shared_folder
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,6 +553,87 @@ def backtest_comparison(spark, sf):
     return B.comparison(A.bars(spark, sf), A.stocks(spark, sf))
 
 
+def _top(bars, stocks, key="score_v2"):
+    return B.top_n(B.candidates(bars, stocks), C(key))
+
+
+TOP = "(SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY entry_date ORDER BY score_v2 DESC, ticker) <= 5)"
+
+
+@query(f"SELECT entry_date, ticker, score_v2 AS score FROM {TOP}")
+def topn_per_date(spark, sf):
+    return _top(A.bars(spark, sf), A.stocks(spark, sf)).select("entry_date", "ticker", "score")
+
+
+@query(f"SELECT entry_date, ticker, round(ret, 8) AS ret, ret > 0 AS win FROM ({sql.priced(TOP)})")
+def trade_return(spark, sf):
+    bars = A.bars(spark, sf)
+    return B.priced(_top(bars, A.stocks(spark, sf)), bars).select("entry_date", "ticker", F.round("ret", 8).alias("ret"), (C("ret") > 0).alias("win"))
+
+
+@query(sql.summary("score_v2", "v2"))
+def summarize_trades(spark, sf):
+    bars = A.bars(spark, sf)
+    return B.summarize_trades(B.trades(_top(bars, A.stocks(spark, sf)), bars), "v2")
+
+
+@query(sql.RANDOM)
+def random_summary(spark, sf):
+    bars = A.bars(spark, sf)
+    return B.random_summary(B.random_trials(B.random_picks(B.candidates(bars, A.stocks(spark, sf))), bars))
+
+
+@query(TRADES.format(s="score_v2", t=sql.priced(TOP)))
+def write_trades_csv(spark, sf):
+    """Trades as they come back from the CSV file."""
+    rows = B.run_backtest(A.bars(spark, sf), A.stocks(spark, sf), C("score_v2"))
+    path = shared_folder(spark)
+    I.write_trades_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
+@on_bars()
+def save_and_load_model(bars):
+    path = shared_folder(bars.sparkSession)
+    I.save_model(T.train_final_model(_long(bars, [50])), path)
+    return I.load_model(bars.sparkSession, path)
+
+
+@on_bars()
+def save_walk_forward_detail(bars):
+    path, long = shared_folder(bars.sparkSession), _long(bars, [50])
+    folds = T.walk_forward(long).cache()
+    I.save_walk_forward(folds, T.sweep_table(long, folds), path)
+    return bars.sparkSession.read.json(path)
+
+
+for _rule in ("ma", "rsi", "macd", "bb", "volume"):
+
+    def _score(spark, sf, c=f"{_rule}_score"):
+        return R.indicators_with_scores(A.bars(spark, sf)).where("rn >= 60").select("ticker", "trade_date", c)
+
+    query(f"SELECT ticker, trade_date, {_rule}_score FROM scored WHERE rn >= 60", f"score_{_rule}")(_score)
+
+
+@query("SELECT ticker, round((sentiment + 1) / 2 * 100, 6) AS scaled FROM mood0")
+def sentiment_scale(spark, sf):
+    stored, fetched = _news(spark, sf)
+    return R.avg_sentiment(stored, R.top_news(fetched), A.RUN_DATE).select("ticker", F.round(S.sentiment_scale(C("sentiment")), 6).alias("scaled"))
+
+
+for _part, _columns in (("final_score", "final_score"), ("grade", "recommendation"), ("reason_text", "reason"), ("recommend_join", "name, technical_score, sentiment_score")):
+
+    def _of(spark, sf, c=_columns):
+        return _recommend(spark, sf).select("ticker", *c.split(", "))
+
+    query(f"SELECT ticker, {_columns} FROM rec", _part)(_of)
+
+
+@on_bars("SELECT ticker, trade_date, round_even(close / 8.0, 2) AS even, floor(close / 8.0 * 100 + 0.5) / 100 AS up FROM bars")
+def rounding_rules(bars):
+    return bars.select("ticker", "trade_date", F.bround(C("close") / 8.0, 2).alias("even"), S.round2(C("close") / 8.0).alias("up"))
+
+
 # Streaming
 
 

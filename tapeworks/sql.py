@@ -135,11 +135,11 @@ def _two(x: str) -> str:
     return f"round_even(round({x}, 8), 2)"
 
 
-def _summary(score: str, label: str) -> str:
+def summary(score: str, label: str) -> str:
     top = f"(SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY entry_date ORDER BY {score} DESC, ticker) <= 5)"
     return f"""SELECT '{label}' AS label, count(*)::VARCHAR AS trades, round_even(round(avg(win::INT) * 100, 8), 1) AS win_rate, {_two('avg(r)')} AS avg_return, {_two('median(r)')} AS median_return, {_two('stddev_samp(r)')} AS std_return, min(r) AS min_return, max(r) AS max_return
 FROM (SELECT round_even(ret, 2) AS r, ret > 0 AS win FROM ({priced(top)}))"""
 
 
-COMPARISON = f"""{_summary('score_v1', 'v1')} UNION ALL {_summary('score_v2', 'v2')} UNION ALL
-SELECT 'random', count(*) || ' trials', round_even(round(avg(win_rate), 8), 1), {_two('avg(avg_return)')}, {_two('avg(median_return)')}, {_two('stddev_samp(avg_return)')}, {_two('min(avg_return)')}, {_two('max(avg_return)')} FROM trials"""
+RANDOM = f"""SELECT 'random' AS label, count(*) || ' trials' AS trades, round_even(round(avg(win_rate), 8), 1) AS win_rate, {_two('avg(avg_return)')} AS avg_return, {_two('avg(median_return)')} AS median_return, {_two('stddev_samp(avg_return)')} AS std_return, {_two('min(avg_return)')} AS min_return, {_two('max(avg_return)')} AS max_return FROM trials"""
+COMPARISON = f"{summary('score_v1', 'v1')} UNION ALL {summary('score_v2', 'v2')} UNION ALL {RANDOM}"

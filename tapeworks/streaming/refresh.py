@@ -47,11 +47,14 @@ def incremental_refresh(spark: SparkSession, ticks_path: str, folder: str | None
         merge(known("scores", done[-1], score_schema), scores, SCORE_KEY).write.mode("overwrite").parquet(f"{folder}/scores/{number}")
         done.append(number)
 
-    schema = spark.read.parquet(ticks_path).schema
-    # a file source watches a folder: a single file is picked in its parent by name
+    there = spark.read.parquet(ticks_path)
     parent, _, name = ticks_path.rstrip("/").rpartition("/")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
-    stream = reader.option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(parent)
+    files = there.inputFiles()
+    reader = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", 4)
+    if len(files) == 1 and files[0].endswith(f"/{name}"):  # a file source watches a folder: the file is picked in it by name
+        stream = reader.option("pathGlobFilter", name).parquet(parent)
+    else:
+        stream = reader.parquet(ticks_path)
     job = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     job.awaitTermination()
     return known("scores", done[-1], score_schema)
