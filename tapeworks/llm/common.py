@@ -6,6 +6,7 @@ once from the batch's own buffers, so no text becomes a Python string here.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,13 +32,15 @@ POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint6
 def scratch(spark: SparkSession) -> str:
     """A new folder for staged tables: under spark.checkpoint.dir, which all machines
     share. Only where that is unset, as in tests, is a local folder used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: later steps
     survive the loss of executors and nothing is computed twice."""
