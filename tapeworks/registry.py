@@ -368,9 +368,9 @@ MODEL = {
 _Z = " + ".join(f"({f} - ({m})) / {s} * ({w})" for f, m, s, w in zip(S.FEATURES, MODEL["means"], MODEL["stds"], MODEL["weights"], strict=True))
 
 
-@on_bars("SELECT ticker, trade_date, " + ", ".join(f"round({f}, 6) AS {f}" for f in S.FEATURES) + " FROM feat")
+@on_bars("SELECT ticker, trade_date, " + ", ".join(S.FEATURES[:-1]) + ", round(logVolumeRatio, 9) AS logVolumeRatio FROM feat")
 def feature_vector(bars):
-    return T.features(bars, [5]).select("ticker", "trade_date", *six(*S.FEATURES))
+    return T.features(bars, [5]).select("ticker", "trade_date", *S.FEATURES[:-1], F.round("logVolumeRatio", 9).alias("logVolumeRatio"))
 
 
 @on_bars(f"SELECT ticker, trade_date, round(greatest(1, least(99, 100 / (1 + exp(-({MODEL['bias']} + {_Z}))))), 6) AS probability FROM feat")
@@ -415,9 +415,9 @@ def dataset_for_horizon(bars):
     return _long(bars, [50]).select("ticker", "trade_date", "target_date", "label")
 
 
-@on_bars("SELECT ticker, trade_date, round(priceVsMa5, 6) AS priceVsMa5, round(fwd_return_50, 6) AS fwd_return_50, target_date_50 FROM feat")
+@on_bars("SELECT ticker, trade_date, priceVsMa5, fwd_return_50, target_date_50 FROM feat")
 def build_dataset(bars):
-    return T.features(bars, [50]).select("ticker", "trade_date", *six("priceVsMa5", "fwd_return_50"), "target_date_50")
+    return T.features(bars, [50]).select("ticker", "trade_date", "priceVsMa5", "fwd_return_50", "target_date_50")
 
 
 @on_bars("SELECT horizon, count(*) AS samples, round(avg(label), 8) AS positive_rate FROM long GROUP BY horizon")
@@ -565,10 +565,10 @@ def topn_per_date(spark, sf):
     return _top(A.bars(spark, sf), A.stocks(spark, sf)).select("entry_date", "ticker", "score")
 
 
-@query(f"SELECT entry_date, ticker, round(ret, 8) AS ret, ret > 0 AS win FROM ({sql.priced(TOP)})")
+@query(f"SELECT entry_date, ticker, ret, ret > 0 AS win FROM ({sql.priced(TOP)})")
 def trade_return(spark, sf):
     bars = A.bars(spark, sf)
-    return B.priced(_top(bars, A.stocks(spark, sf)), bars).select("entry_date", "ticker", F.round("ret", 8).alias("ret"), (C("ret") > 0).alias("win"))
+    return B.priced(_top(bars, A.stocks(spark, sf)), bars).select("entry_date", "ticker", "ret", (C("ret") > 0).alias("win"))
 
 
 @query(sql.summary("score_v2", "v2"))

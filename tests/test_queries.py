@@ -6,7 +6,7 @@ import pytest
 from tapeworks import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"walk_forward", "sweep_horizons", "best_horizon", "walk_forward_summary", "train_final_model"}
+SLOW = {"save_and_load_model", "save_walk_forward_detail", "walk_forward", "sweep_horizons", "best_horizon", "walk_forward_summary", "train_final_model"}
 
 
 @pytest.fixture(scope="module")
