@@ -5,7 +5,7 @@ Two texts link when their sets of word shingles have a Jaccard similarity of
 sets share a shingle of their prefixes, in one global order of shingles, rare first:
 shingles that repeat within some block of the corpus come last by their count, all
 others before them by hash. Only prefixes are shuffled. Within a posting list sets are
-first compared with one representative for each band of sizes, which connects large
+first compared with one typical representative for each band of sizes, which connects large
 groups of near copies by as many comparisons as they have members. Then every pair
 that shares a prefix shingle and still lies in two components passes the length,
 positional and suffix filters and is verified once. So components are exact while no
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import buffers, chunks, components, shingles, staged
 
 #: Shingles of one block, the unit in which repeats and copies are found before a shuffle.
-BLOCK = 1 << 20
+BLOCK = 1 << 22
 #: Largest number of frequent shingles that every task gets, 16 bytes each.
-MAX_FREQUENT = 200_000
+MAX_FREQUENT = 1_000_000
 #: Ids up to this many (8 bytes each) are broadcast to pick the texts to verify.
 MAX_BROADCAST_IDS = 1_000_000
 #: Above this count a shingle's posting list is salted.
@@ -120,6 +120,7 @@ def _prefixes(batches, k, num, den, frequent):
             near = np.minimum(np.searchsorted(token_of, tokens), len(token_of) - 1)
             parts = np.where(token_of[near] == tokens, count_of[near] // SALT_ROWS + 1, 1)
             salt = np.where(parts > 1, (ids % 1_000_003 * 7919) % parts, 0).astype(np.int32) + (parts > 1)
+        size = np.repeat(np.array(sizes, np.int32), lengths)
         for i in range(0, len(tokens), 1 << 16):
             cut = slice(i, i + (1 << 16))
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +128,7 @@ def _prefixes(batches, k, num, den, frequent):
                     pa.array(tokens[cut].view(np.int64)),
                     pa.array(salt[cut].astype(np.int32)),
                     pa.array(ids[cut]),
-                    pa.array(np.repeat(np.array(sizes, np.int32), lengths)[cut]),
+                    pa.array(size[cut]),
                     pa.array(position[cut].astype(np.int32)),
                 ],
                 ["token", "salt", "id", "n", "pos"],
@@ -179,6 +180,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return staged(both.mapInArrow(partial(_verify, num=num, den=den), "a long, b long"))
 
 
+def _frequent(repeats: DataFrame):
+    """The most frequent shingles that repeat within blocks, sorted, and their counts: all
+    from the least count on for which they are MAX_FREQUENT at most."""
+    often = staged(repeats.groupBy("id").agg(F.sum("n").alias("n")))
+    least, total = 1 << 62, 0
+    for row in often.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += row["count"]
+        if total > MAX_FREQUENT:
+            break
+        least = row["n"]
+    got = often.where(F.col("n") >= least).toArrow()
+    token, count = got["id"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per id: id_col, n_shingles (size of its set), class_id (smallest id with
     the same set; itself for the empty set) and component_id (smallest id reachable by
@@ -186,12 +203,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     profile = staged(texts.mapInArrow(partial(_profile, k=k), "id long, n long, digest binary"))
-    often = (
-        profile.where("digest is null").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "id").limit(MAX_FREQUENT).toPandas()
-    )
-    token, count = often["id"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
-    order = np.argsort(token)
-    frequent = spark.sparkContext.broadcast((token[order], count[order]))
+    frequent = spark.sparkContext.broadcast(_frequent(profile.where("digest is null")))
 
     own = profile.where("digest is not null").select("id", "n", "digest").dropDuplicates(["id"])
     first = own.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"))
@@ -202,16 +214,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("token", "salt"))).where("c > 1 or salt > 0").drop("c")
     postings = staged(rows.join(reps, "id", "left_semi"))
 
-    # Stars: within a band of sizes each set is compared with the smallest one.
+    # Stars: within a band of sizes each set is compared with the most typical one, which
+    # has the fewest rarer shingles of its own before the shared one.
+    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * num / F.lit(den)) + 1
     band = F.floor(F.log("n") / F.lit(math.log(den / num)))
-    near = Window.partitionBy("token", "salt", "band").orderBy("n", "id")
+    near = Window.partitionBy("token", "salt", "band").orderBy("pos", "n", "id")
     stars = (
         postings.withColumn("band", band)
         .withColumn("rep", F.first(F.struct("id", "n")).over(near))
         .where("id <> rep.id")
         .groupBy(F.col("id").alias("b"), F.col("rep.id").alias("a"))
         .agg(F.first("n").alias("nb"), F.first("rep.n").alias("na"), F.count("*").alias("c"))
-        .where(f"{den} * na >= {num} * nb")
+        .where(f"{den} * na >= {num} * nb and {den} * nb >= {num} * na")
+        # a star is worth trying where much of the prefix is shared; others wait for below
+        .where(F.col("c") * 8 >= prefix("nb"))
     )
     # of its stars a set tries the two with which it shares most
     best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
@@ -224,19 +240,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = staged(placed.join(apart, "token"))
     x, y = (open_.select("token", *[F.col(c).alias(c + s) for c in ("id", "n", "pos", "component")]) for s in ("x", "y"))
-    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * num / F.lit(den)) + 1
     need = F.ceil((F.col("nx") + F.col("ny")) * num / F.lit(num + den) - 1e-9)
     rest = (
         x.join(y, "token")
         .where(f"(nx < ny or nx = ny and idx < idy) and componentx <> componenty and {den} * nx >= {num} * ny")
-        .groupBy(F.col("idx").alias("a"), F.col("idy").alias("b"))
-        .agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.min("posx").alias("i"), F.min("posy").alias("j"), F.count("*").alias("c"))
-        .where(F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) >= need)
-        # beyond the shorter prefix no more can be shared than its set has left
-        .where(F.col("c") + F.greatest(F.col("nx") - prefix("nx"), F.col("ny") - prefix("ny")) >= need)
-        .select("a", "b")
+        # the first shared shingle of sets that link leaves enough behind it in both
+        .where(F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy")) >= need)
+        .select(F.col("idx").alias("a"), F.col("idy").alias("b"), "nx", "ny")
+        .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
+    # Beyond the shorter prefix no more can be shared than its set has left there: whole
+    # prefixes, a quarter of the sets, come before the sets themselves.
+    heads = open_.groupBy("id").agg(F.collect_list("token").alias("head"))
+    head = lambda c, d: heads.select(F.col("id").alias(c), F.col("head").alias(d))
+    shared = F.size(F.array_intersect("p", "q"))
+    rest = (
+        rest.join(head("a", "p"), "a")
+        .join(head("b", "q"), "b")
+        .where(shared + F.greatest(F.col("nx") - prefix("nx"), F.col("ny") - prefix("ny")) >= need)
+        .select("a", "b")
+    )
     links = links.union(_verified(staged(rest), texts, k, num, den))
     found = components(links).select(F.col("node").alias("class_id"), "component")
     return classes.join(found, "class_id", "left").select(
