@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import buffers, chunks, components, shingles, staged
 
 #: Shingles of one block, the unit in which repeats and copies are found before a shuffle.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Largest number of frequent shingles that every task gets, 16 bytes each.
 MAX_FREQUENT = 1_000_000
 #: Ids up to this many (8 bytes each) are broadcast to pick the texts to verify.
