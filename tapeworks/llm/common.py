@@ -21,6 +21,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch: texts are long, and a batch is held by Spark and by Python.
+ARROW_ROWS = "2000"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,7 +45,9 @@ def _local_folder() -> str:
 
 def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: later steps
-    survive the loss of executors and nothing is computed twice."""
+    survive the loss of executors and nothing is computed twice. Sets the session's size of
+    Arrow batches to ARROW_ROWS, for this write and the plans that follow."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     path = folder or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
