@@ -264,6 +264,30 @@ def test_repeated_passages(spark):
     assert {r.doc_id for r in passages.repeated_passages(messy(spark)).collect()} == {9}
 
 
+@pytest.mark.parametrize("gap", [18, 45, 75, 110, 150, 240])
+def test_two_passages_around_different_text(spark, gap):
+    rng = random.Random(gap)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = words(60), words(60)
+    df = docs_of(spark, [" ".join(words(30) + one + words(gap) + two + words(30)) for _ in range(2)])
+    rows = passages.repeated_passages(df).collect()
+    cut = {k for r in rows for k in range(r.first_word, r.end_word)}
+    same = set(range(30, 90)) | set(range(90 + gap, 150 + gap))
+    assert {r.doc_id for r in rows} == {1} and same <= cut and (gap == 18 or cut == same)
+
+
+def test_segments_of_matches():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        x, y = (np.cumsum(rng.choice([1, 1, 1, 1, 1, 1, 2, 3], n)) for _ in range(2))
+        fits = lambda s, e: x[e] - x[s] + 1 >= 12 and e - s + 1 >= 0.8 * max(x[e] - x[s] + 1, y[e] - y[s] + 1) - 1e-9  # noqa: B023, E731
+        found = passages.segments(x, y, 12, 0.8)
+        assert all(fits(s, e) for s, e in found) and all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+        inside = {k for s, e in found for k in range(s, e + 1)}
+        assert all(inside & set(range(s, e + 1)) for s in range(n) for e in range(s, n) if fits(s, e))
+
+
 @pytest.fixture(scope="module")
 def encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
