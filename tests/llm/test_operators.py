@@ -276,6 +276,24 @@ def test_two_passages_around_different_text(spark, gap):
     assert {r.doc_id for r in rows} == {1} and same <= cut and (gap == 18 or cut == same)
 
 
+@pytest.mark.parametrize(("lines", "size"), [(4, 15), (3, 20), (2, 30)])
+def test_passage_of_frequent_lines(spark, lines, size):
+    rng = random.Random(lines)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    own = [words(size) for _ in range(lines)]
+    for _ in range(2):
+        texts = []
+        for _ in range(60):
+            parts = [words(30), *(w for line in own if rng.random() < 0.4 for w in (line, words(30))), words(20)]
+            texts.append(" ".join(parts))
+        a, b = sorted(rng.sample(range(60), 2))
+        for i in (a, b):
+            texts[i] = " ".join([words(40), *own, words(40)])
+        for parts in (1, 7):
+            rows = passages.repeated_passages(docs_of(spark, texts).repartition(parts, "doc_id")).where(f"doc_id = {b}").collect()
+            assert {k for r in rows for k in range(r.first_word, r.end_word)} >= set(range(40, 40 + lines * size))
+
+
 def test_segments_of_matches():
     rng = np.random.default_rng(3)
     for _ in range(300):
