@@ -294,6 +294,17 @@ def test_passage_of_frequent_lines(spark, lines, size):
             assert {k for r in rows for k in range(r.first_word, r.end_word)} >= set(range(40, 40 + lines * size))
 
 
+def test_passage_three_times_in_a_document(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    part = words(60)
+    later = [w for _ in range(3) for w in words(40) + part] + words(40)
+    df = docs_of(spark, [" ".join(words(50) + part + words(50)), " ".join(later), *(" ".join(words(80)) for _ in range(5))])
+    rows = passages.repeated_passages(df).collect()
+    assert {k for r in rows for k in range(r.first_word, r.end_word)} == {k + b for b in (40, 140, 240) for k in range(60)}
+    assert not set(part) & set(passages.without_repeats(df, passages.repeated_passages(df)).where("doc_id = 1").first().text.split())
+
+
 def test_segments_of_matches():
     rng = np.random.default_rng(3)
     for _ in range(300):
