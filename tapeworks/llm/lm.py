@@ -11,7 +11,7 @@ multiply to the probability of the text.
 
 Counts come from all training texts. The network is trained in numpy, data-parallel: every
 task makes Adam steps on its windows from the same weights, which are averaged, ROUNDS
-times. Its windows are a hashed share of all windows of training texts.
+times. Every window of the training texts is trained on, in one of the rounds.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SPAN, HALF, WIDTH, HIDDEN = 32, 16, 16, 32
 #: Groups of ids: the most frequent ids alone, the others by clusters of their contexts.
 ALONE, CLUSTERS, KNOWN_IDS, CONTEXTS = 24, 40, 4096, 128
 GROUPS = ALONE + CLUSTERS
-#: One of so many windows is trained on; windows of a task at least, tasks at most.
-TRAIN_SHARE, TASK_WINDOWS, MAX_TASKS = 16, 4096, 64
+#: Windows of a task at least; tasks at most, and one more for so many windows.
+TASK_WINDOWS, MAX_TASKS, MORE_WINDOWS = 4096, 64, 1 << 16
 #: Windows of one numpy batch, small enough for a processor's cache.
 ROUNDS, BATCH, RATE = 3, 256, 0.01
 #: Distinct words up to this many are broadcast with counts and first ids, 14 bytes each.
@@ -153,23 +153,25 @@ def _counted(batches, ranks, pattern):
             got, text = windows(first[:-1][inverse], bound)
             inside = np.arange(len(text)) - np.searchsorted(text, text)
             lot = mix(ids[i:j][text].astype(np.uint64) * np.uint64(1_000_003) + inside.astype(np.uint64))
-            mine = lot % np.uint64(TRAIN_SHARE) == 0
-            yield from out(1, lot[mine].view(np.int64), np.ones(int(mine.sum()), np.int64), None, got[mine])
+            yield from out(1, lot.view(np.int64), np.ones(len(lot), np.int64), None, got)
     yield from out(0, held[0].view(np.int64), held[1], held[2])
 
 
 def _contexts(batches, rank):
     """Sums over windows: how often an id (by rank) has each of the frequent ids around."""
-    total = np.zeros((KNOWN_IDS, CONTEXTS), np.float32)
+    total = np.zeros((KNOWN_IDS, CONTEXTS))
     for batch in batches:
         ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, SPAN + 1)
         for part in np.array_split(ids, max(1, len(ids) // 4096)):
             r = rank[part]
-            around = np.zeros((len(part), CONTEXTS), np.float32)
             w, p = np.nonzero(r < CONTEXTS)
-            np.add.at(around, (w, r[w, p]), 1)
+            around = np.bincount(w * CONTEXTS + r[w, p], minlength=len(part) * CONTEXTS).reshape(-1, CONTEXTS).astype(np.float32)
             w, p = np.nonzero(r < KNOWN_IDS)
-            np.add.at(total, r[w, p], around[w])
+            own = r[w, p]
+            order = np.argsort(own, kind="stable")
+            each, head = np.unique(own[order], return_index=True)
+            if len(each):
+                total[each] += np.add.reduceat(around[w[order]], head, axis=0)
     a, b = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array((a * CONTEXTS + b).astype(np.int64)), pa.array(total[a, b].astype(np.int64))], ["key", "n"])
 
@@ -213,7 +215,7 @@ def _start(total: np.ndarray, table: np.ndarray) -> tuple[dict, np.ndarray]:
 _CAUSAL = np.where(np.arange(SPAN)[None, :] <= HALF + np.arange(HALF)[:, None], 0, -1e9).astype(np.float32)
 
 
-def forward(w: dict, x: np.ndarray, keep: bool = False):
+def forward(w: dict, x: np.ndarray, keep: bool = False, pad: int = PAD):
     """Log-probabilities of the groups after each of the last HALF inputs: batches of masked
     self-attention over windows x of SPAN ids."""
     n = len(x)
@@ -225,8 +227,8 @@ def forward(w: dict, x: np.ndarray, keep: bool = False):
     s = q @ k.transpose(0, 2, 1)
     s *= s.dtype.type(WIDTH**-0.5)
     s += _CAUSAL
-    if (x == PAD).any():
-        s += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    if (x == pad).any():
+        s += np.where(x == pad, np.float32(-1e9), np.float32(0))[:, None, :]
     s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(axis=2, keepdims=True)
@@ -242,11 +244,11 @@ def forward(w: dict, x: np.ndarray, keep: bool = False):
     return (o, (emb, late, q, k, v, s, h, r)) if keep else o
 
 
-def gradients(w: dict, x: np.ndarray, group: np.ndarray) -> tuple[float, dict]:
+def gradients(w: dict, x: np.ndarray, group: np.ndarray, pad: int = PAD) -> tuple[float, dict]:
     """Mean loss of windows of SPAN + 1 ids, and its gradients."""
     inputs, target = x[:, :SPAN], x[:, HALF + 1 :]
-    o, (emb, late, q, k, v, s, h, r) = forward(w, inputs, keep=True)
-    real = target != PAD
+    o, (emb, late, q, k, v, s, h, r) = forward(w, inputs, keep=True, pad=pad)
+    real = target != pad
     n = max(1, int(real.sum()))
     goal = group[target]
     loss = -float(np.take_along_axis(o, goal[:, :, None], 2)[..., 0][real].sum()) / n
@@ -276,18 +278,22 @@ def gradients(w: dict, x: np.ndarray, group: np.ndarray) -> tuple[float, dict]:
 
 
 def train(w: dict, x: np.ndarray, group: np.ndarray, rate: float = RATE) -> tuple[dict, float]:
-    """One pass of Adam over windows; the mean loss of the last tenth."""
-    w = {k: v.copy() for k, v in w.items()}
+    """One pass of Adam over windows; the mean loss of the last tenth. Ids that the windows
+    lack do not move, so only the others' rows of E take part."""
+    ids, inverse = np.unique(np.append(x, np.uint16(PAD)), return_inverse=True)
+    x, pad, group, whole = inverse[:-1].reshape(x.shape), int(inverse[-1]), group[ids], w["E"].copy()
+    w = {k: (v[ids] if k == "E" else v.copy()) for k, v in w.items()}
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     losses = []
     for step, i in enumerate(range(0, len(x), BATCH), 1):
-        loss, g = gradients(w, x[i : i + BATCH], group)
+        loss, g = gradients(w, x[i : i + BATCH], group, pad)
         losses.append(loss)
         for k, d in g.items():
             m[k] += 0.1 * (d - m[k])
             v[k] += 0.01 * (d * d - v[k])
             w[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    return w, float(np.mean(losses[-max(1, len(losses) // 10) :])) if losses else 0.0
+    whole[ids] = w["E"]
+    return w | {"E": whole}, float(np.mean(losses[-max(1, len(losses) // 10) :])) if losses else 0.0
 
 
 def _packed(w: dict, start: dict) -> tuple[bytes, bytes, bytes]:
@@ -345,14 +351,15 @@ def learn(counted: DataFrame) -> tuple[Model, DataFrame]:
     table[sums["key"].to_numpy()] = sums["n"].to_numpy()
     w, group = _start(total, table.reshape(KNOWN_IDS, CONTEXTS))
     many = picked.count()
-    tasks = max(1, min(MAX_TASKS, many // TASK_WINDOWS))
+    tasks = max(1, min(MAX_TASKS + many // MORE_WINDOWS, many // TASK_WINDOWS))
     for turn in range(ROUNDS if many else 0):
         own = picked.where(F.pmod("key", F.lit(ROUNDS)) == turn).select("key", "ids")
         own = own.repartition(tasks, F.xxhash64("key")).sortWithinPartitions("key")
         shared = spark.sparkContext.broadcast((w, group))
-        made = own.mapInArrow(partial(_trained, weights=shared, turn=turn), TRAINED).collect()
-        seen, moves = sum(r.n for r in made), {k: np.zeros(v.shape) for k, v in w.items()}
-        for r in made:
+        made = staged(own.mapInArrow(partial(_trained, weights=shared, turn=turn), TRAINED))
+        seen, moves = 0, {k: np.zeros(v.shape) for k, v in w.items()}
+        for r in made.toLocalIterator():  # one task's moves at a time
+            seen += r.n
             _add(moves, r.n, r.rows, r.moves, r.rest)
         w = {k: (v + moves[k] / max(1, seen)).astype(np.float32) for k, v in w.items()}
     mass = np.bincount(group, weights=total + 0.1, minlength=GROUPS)

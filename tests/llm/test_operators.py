@@ -13,6 +13,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -361,6 +362,17 @@ def test_lm_scores(spark, sf):
     assert all(apart[i].n_known == r.n_known and apart[i].base_score == pytest.approx(r.base_score) for i, r in got.items())
 
 
+def test_lm_trains_on_every_window():
+    class Ranks:
+        value = bpe.read_ranks(PATH)
+
+    texts = ["one short text", "the word " * 100, "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    rows = [r for b in lm._counted([batch], Ranks, P.PATTERN) for r in b.to_pylist() if r["kind"] == 1]
+    got = np.frombuffer(b"".join(r["ids"] for r in rows), np.uint16).reshape(-1, lm.SPAN + 1)[:, lm.HALF + 1 :]
+    assert len(rows) == 1 + 13 + 1 + 1 and (got != lm.PAD).sum() == 3 + 200 + 4
+
+
 def test_lm_windows_cover_each_target_once():
     counts = [0, 1, 15, 16, 17, 40]
     bound = np.concatenate(([0], np.cumsum(counts)))
