@@ -203,12 +203,17 @@ def best_horizon(sweep: DataFrame) -> DataFrame:
 
 
 def train_final_model(long: DataFrame, horizon: int = DEPLOY, trained_at: str = "") -> DataFrame:
-    """One row: the model of all rows of a horizon, as save_model takes it."""
+    """One row: the model of all rows of a horizon with its walk-forward means, as save_model
+    takes it; none for few rows or without a valid fold."""
     rows = long.where(C("horizon") == horizon).withColumn("horizon", C("horizon").cast("int"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
     spark = long.sparkSession
-    schema = "featureNames array<string>, featureMeans array<double>, featureStds array<double>, weights array<double>, bias double, sampleCount long, positiveRate double, forwardDays int, labelMode string, trainedAt string"
+    schema = "featureNames array<string>, featureMeans array<double>, featureStds array<double>, weights array<double>, bias double, sampleCount long, positiveRate double, forwardDays int, labelMode string, trainedAt string, holdoutAccuracy double, holdoutAuc double, baselineAccuracy double, noVolumeAccuracy double, noVolumeAuc double, walkForwardFolds long"
     if stats.n < MIN_SAMPLES:
         return spark.createDataFrame([], schema)
+    means = walk_forward_summary(walk_forward(long.where(C("horizon") == horizon))).first()
+    if means is None:
+        return spark.createDataFrame([], schema)
+    tested = [means[f"{m}_mean"] for m in ("full_accuracy", "full_auc", "baseline_accuracy", "no_volume_accuracy", "no_volume_auc")]
     beta, mean, std, _ = fit_logistic(rows, ["horizon"])[(horizon,)]
-    return spark.createDataFrame([(FEATURES, mean.tolist(), std.tolist(), beta[:-1].tolist(), float(beta[-1]), stats.n, stats.p, horizon, "relative", trained_at)], schema)
+    return spark.createDataFrame([(FEATURES, mean.tolist(), std.tolist(), beta[:-1].tolist(), float(beta[-1]), stats.n, stats.p, horizon, "relative", trained_at, *tested, means.n_folds)], schema)

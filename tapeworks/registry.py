@@ -476,14 +476,13 @@ def walk_forward(bars):
 
 @on_bars()
 def sweep_horizons(bars):
-    horizons = [3, 10, 30, 50]
-    long = _long(bars, horizons)
+    long = _long(bars, T.HORIZONS)
     return T.sweep_table(long, T.walk_forward(long))
 
 
 @on_bars()
 def best_horizon(bars):
-    long = _long(bars, [10, 50])
+    long = _long(bars, T.HORIZONS)
     return T.best_horizon(T.sweep_table(long, T.walk_forward(long)))
 
 
@@ -601,9 +600,9 @@ def save_and_load_model(bars):
 
 @on_bars()
 def save_walk_forward_detail(bars):
-    path, long = shared_folder(bars.sparkSession), _long(bars, [50])
+    path, long = shared_folder(bars.sparkSession), _long(bars, T.HORIZONS)
     folds = T.walk_forward(long).cache()
-    I.save_walk_forward(folds, T.sweep_table(long, folds), path)
+    I.save_walk_forward(folds.where(C("horizon") == T.DEPLOY), T.sweep_table(long, folds), path)
     return bars.sparkSession.read.json(path)
 
 

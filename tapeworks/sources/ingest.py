@@ -151,7 +151,8 @@ def write_trades_csv(trades: DataFrame, path: str) -> None:
 
 MODEL = (
     "featureNames array<string>, featureMeans array<double>, featureStds array<double>, weights array<double>, bias double, sampleCount long,"
-    " positiveRate double, forwardDays int, labelMode string, trainedAt string"
+    " positiveRate double, forwardDays int, labelMode string, trainedAt string, holdoutAccuracy double, holdoutAuc double, baselineAccuracy double,"
+    " noVolumeAccuracy double, noVolumeAuc double, walkForwardFolds long"
 )
 
 
