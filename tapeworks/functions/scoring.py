@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the features, as in model files.
 FEATURES = ["priceVsMa5", "ma5VsMa20", "ma20VsMa60", "rsiNorm", "macdHistNorm", "bbPercentB", "logVolumeRatio"]
 
 # Phrases of the reasons.

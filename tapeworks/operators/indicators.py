@@ -3,11 +3,10 @@ shuffled by ticker once. Closes and volumes are whole numbers, so window sums ar
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by():
     return Window.partitionBy("ticker").orderBy("trade_date")
 
@@ -57,44 +56,46 @@ def with_windows(bars: DataFrame) -> DataFrame:
     )
 
 
-def ema_last(bars: DataFrame) -> DataFrame:
-    """ticker, ema12, ema26, macd_signal, ema9 at the last bar: one fold over each ticker's
-    closes in order of date."""
-    k12, k26, k9 = 2.0 / 13, 2.0 / 27, 2.0 / 10
-    series = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("trade_date", F.col("close").cast("double").alias("c")))).alias("s"))
-    step = lambda e, x, k: (x - e) * k + e
-    first = F.get("s.c", F.lit(0))
-    start = F.struct(first.alias("f"), first.alias("s"), F.lit(0.0).alias("g"), first.alias("e"))
-
-    def fold(a, x):
-        f, s = step(a["f"], x, k12), step(a["s"], x, k26)
-        return F.struct(f.alias("f"), s.alias("s"), step(a["g"], f - s, k9).alias("g"), step(a["e"], x, k9).alias("e"))
+#: Bars of a series that the fold below puts together at a time.
+CHUNK = 64
+#: Averages of the close over so many days, and of the MACD.
+FAST, SLOW, SIGNAL, SHORT = 12, 26, 9, 9
 
-    end = F.aggregate(F.slice("s.c", 2, F.size("s")), start, fold)
-    return series.select("ticker", end.alias("e")).select("ticker", F.col("e.f").alias("ema12"), F.col("e.s").alias("ema26"), F.col("e.g").alias("macd_signal"), F.col("e.e").alias("ema9"))
 
+def _series(rows: Column) -> Column:
+    """The averages of each bar of a ticker's rows in order of date: array of chunks of
+    struct(f, s, g, e). One fold over the chunks, within each a fold over its bars, so that
+    only short arrays grow; the arithmetic is the recursion e + k (x - e) itself."""
+    kf, ks, kg, ke = (2.0 / (n + 1) for n in (FAST, SLOW, SIGNAL, SHORT))
+    step = lambda e, x, k: (x - e) * k + e
+    kind = "array<struct<f:double,s:double,g:double,e:double>>"
 
-def ema(values: np.ndarray, span: int) -> np.ndarray:
-    """Exponential average from the first value on."""
-    k, e, out = 2.0 / (span + 1), float(values[0]), []
-    for x in values.tolist():
-        e = (x - e) * k + e
-        out.append(e)
-    return np.array(out)
+    def bar(a, r):
+        x = r["close"].cast("double")
+        now = F.when(a["now"].isNull(), F.struct(x.alias("f"), x.alias("s"), F.lit(0.0).alias("g"), x.alias("e")))
+        f, s = step(a["now"]["f"], x, kf), step(a["now"]["s"], x, ks)
+        now = now.otherwise(F.struct(f.alias("f"), s.alias("s"), step(a["now"]["g"], f - s, kg).alias("g"), step(a["now"]["e"], x, ke).alias("e")))
+        return F.get(F.transform(F.array(now), lambda n: F.struct(n.alias("now"), F.array_append(a["out"], n).alias("out"))), F.lit(0))
 
+    def chunk(a, i):
+        start = F.struct(a["now"].alias("now"), F.array().cast(kind).alias("out"))
+        both = lambda r: F.struct(r["now"].alias("now"), F.array_append(a["out"], r["out"]).alias("out"))
+        return F.aggregate(F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)), start, bar, both)
 
-def _ema_series(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("trade_date", kind="stable")
-    close = pdf["close"].to_numpy(np.float64)
-    fast, slow = ema(close, 12), ema(close, 26)
-    return pdf.assign(ema12=fast, ema26=slow, macd_signal=ema(fast - slow, 9), ema9=ema(close, 9))
+    none = F.struct(F.lit(None).cast(kind[6:-1]).alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), none, chunk, lambda a: F.flatten(a["out"]))
 
 
 def with_ema(bars: DataFrame) -> DataFrame:
     """bars with ema12, ema26, macd, macd_signal, macd_histogram and ema9 on every bar: a
-    recursion over each ticker's series, in one Arrow pass by ticker."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema)
-    out = bars.groupBy("ticker").applyInPandas(_ema_series, schema + ", ema12 double, ema26 double, macd_signal double, ema9 double")
+    fold over each ticker's series. The rows stay dealt by ticker, so that windows over the
+    same key need no other shuffle."""
+    names = [c for c in bars.columns if c not in ("ticker", "trade_date")]
+    series = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("trade_date", *names))).alias("rows"))
+    row = lambda r, a: F.struct(
+        *[r[c].alias(c) for c in ("trade_date", *names)], a["f"].alias("ema12"), a["s"].alias("ema26"), a["g"].alias("macd_signal"), a["e"].alias("ema9")
+    )
+    out = series.select("ticker", F.inline(F.zip_with("rows", _series(F.col("rows")), row)))
     macd = F.col("ema12") - F.col("ema26")
     return out.withColumn("macd", macd).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 

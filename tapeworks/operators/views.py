@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 C = F.col
 
 
@@ -14,6 +16,17 @@ def positioned(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with pos, as positioned, for tables of any length: dealt by range of the order,
+    numbered within each range, and moved on by the sizes of the ranges before."""
+    dealt = staged(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(shifts), "_range").withColumn("pos", (C("_place") + C("_shift")).cast("int")).drop("_range", "_place", "_shift")
+
+
 def chart_range(bars: DataFrame, days: int | None) -> DataFrame:
     """Bars of each ticker's last days (of the calendar); all without days."""
     if days is None:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..operators.indicators import with_ema, with_windows
+from ..operators.indicators import with_indicators
+from ..sources.shared import staged
 
 HOLD, TOP, LEAST, TRIALS = 30, 5, 60, 50
 C = F.col
@@ -16,7 +17,7 @@ def backtest_scores(bars: DataFrame) -> DataFrame:
     """Every bar with score_v1 and score_v2. Three rules differ from the live ones: the
     MACD is held against the 9-day average of the close, the bands take the sample deviation,
     and OBV starts at minus the first volume."""
-    ind = with_windows(with_ema(bars.select("ticker", "trade_date", "close", "volume")))
+    ind = with_indicators(bars)
     first = F.first("volume").over(Window.partitionBy("ticker").orderBy("trade_date"))
     obv = C("obv") - first
     by = Window.partitionBy("ticker").orderBy("trade_date")
@@ -112,7 +113,11 @@ def random_picks(found: DataFrame, trials: int = TRIALS, n: int = TOP) -> DataFr
 
 
 def random_trials(picks: DataFrame, bars: DataFrame) -> DataFrame:
-    rows = priced(picks, bars).withColumn("returns", F.bround("ret", 2))
+    return trial_means(priced(picks, bars).withColumn("returns", F.bround("ret", 2)))
+
+
+def trial_means(rows: DataFrame) -> DataFrame:
+    """Of priced picks (trial, ret, returns): rates and averages by trial."""
     return rows.groupBy("trial").agg(F.avg((C("ret") > 0).cast("int")).alias("w"), F.avg("returns").alias("a"), F.median("returns").alias("m")).select(
         "trial", F.bround(C("w") * 100, 6).alias("win_rate"), F.round("a", 6).alias("avg_return"), F.round("m", 6).alias("median_return")
     )
@@ -136,7 +141,11 @@ def random_summary(per_trial: DataFrame) -> DataFrame:
 
 
 def comparison(bars: DataFrame, stocks: DataFrame) -> DataFrame:
-    found = candidates(bars, stocks)
-    v1 = summarize_trades(trades(top_n(found, C("score_v1")), bars), "v1")
-    v2 = summarize_trades(trades(top_n(found, C("score_v2")), bars), "v2")
-    return v1.unionByName(v2).unionByName(random_summary(random_trials(random_picks(found), bars)))
+    """Summaries of both scores and of random picks. Candidates are made once and all picks
+    are priced in one join."""
+    found = staged(candidates(bars, stocks))
+    own = ["entry_date", "exit_date", "ticker", "entry_price", "trial"]
+    picks = [top_n(found, C(k)).withColumn("trial", F.lit(t)).select(*own) for t, k in ((-1, "score_v1"), (-2, "score_v2"))]
+    every = staged(priced(picks[0].unionByName(picks[1]).unionByName(random_picks(found).select(*own)), bars).withColumn("returns", F.bround("ret", 2)).withColumn("win", C("ret") > 0))
+    v1, v2 = (summarize_trades(every.where(C("trial") == t), label) for t, label in ((-1, "v1"), (-2, "v2")))
+    return v1.unionByName(v2).unionByName(random_summary(trial_means(every.where("trial >= 0"))))

@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..operators.indicators import ema_last, with_indicators, with_windows
-from ..sources.ingest import NEWS_KEY, insert_new
+from ..operators.indicators import with_indicators
+from ..sources.ingest import NEWS_KEY, insert_new, parse_sentiment
 
 LEAST_BARS = 60
 C = F.col
 
 
+RULES = ("ma", "rsi", "macd", "bb", "volume")
+
+
+def rule(name: str) -> Column:
+    """The score of one rule; only that of macd needs the exponential averages."""
+    return {
+        "ma": lambda: S.score_ma(C("close"), C("ma5"), C("ma20"), C("ma60")),
+        "rsi": lambda: S.score_rsi(C("rsi")),
+        "macd": lambda: S.score_macd(C("macd"), C("macd_signal")),
+        "bb": lambda: S.score_bb(C("bb_percent_b")),
+        "volume": lambda: S.score_volume(C("change"), C("volume_ratio"), C("obv_trend")),
+    }[name]()
+
+
 def with_scores(ind: DataFrame) -> DataFrame:
     """Indicator rows with the five rule scores and the unrounded technical score."""
-    out = ind.withColumns(
-        {
-            "ma_score": S.score_ma(C("close"), C("ma5"), C("ma20"), C("ma60")), "rsi_score": S.score_rsi(C("rsi")), "macd_score": S.score_macd(C("macd"), C("macd_signal")),
-            "bb_score": S.score_bb(C("bb_percent_b")), "volume_score": S.score_volume(C("change"), C("volume_ratio"), C("obv_trend")),
-        }
-    )
-    five = [C(f"{c}_score") for c in ("ma", "rsi", "macd", "bb", "volume")]
+    out = ind.withColumns({f"{r}_score": rule(r) for r in RULES})
+    five = [C(f"{r}_score") for r in RULES]
     return out.withColumns({"raw_score": S.clamp(S.weighted(*five)), "heuristic": S.heuristic_probability(*five)})
 
 
 def technical_snapshot(bars: DataFrame, model: dict | None = None) -> DataFrame:
     """One row per ticker at its last bar: rounded indicators, score, probability, reason. A
     ticker of fewer than 60 bars is neutral. model: means, stds, weights, bias, forwardDays."""
-    last = Window.partitionBy("ticker").orderBy(C("trade_date").desc())
-    ind = with_windows(bars.select("ticker", "trade_date", "close", "volume")).withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    ind = ind.join(ema_last(bars), "ticker").withColumn("macd", C("ema12") - C("ema26")).withColumn("macd_histogram", C("macd") - C("macd_signal"))
+    by = Window.partitionBy("ticker").orderBy("trade_date")
+    ind = with_indicators(bars).withColumn("_next", F.lead("trade_date").over(by)).where("_next is null").drop("_next")
     ind = with_scores(ind)
     enough = C("rn") >= LEAST_BARS
     rounded = lambda c: F.when(enough, S.round2(C(c))).alias(c)
@@ -68,10 +78,24 @@ def avg_sentiment(stored: DataFrame, fetched: DataFrame, run_date: str, lookback
     return every.join(fresh, "ticker", "left").join(old, "ticker", "left").select("ticker", F.coalesce("new", "old", F.lit(0.0)).alias("sentiment"))
 
 
-def recommend(stocks: DataFrame, bars: DataFrame, stored: DataFrame, fetched: DataFrame, run_date: str, model: dict | None = None) -> DataFrame:
-    """One row per stock. Grades follow the unrounded final score."""
+def scored_by_responses(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A scorer of articles by the response bodies (seq, body) of a sentiment service."""
+
+    def scorer(news: DataFrame) -> DataFrame:
+        told = responses.select("seq", parse_sentiment(C("body")).alias("p")).select("seq", C("p.score").alias("sentiment_score"), C("p.label").alias("sentiment_label"))
+        return news.drop("sentiment_score", "sentiment_label").join(told, "seq")
+
+    return scorer
+
+
+def recommend(
+    stocks: DataFrame, bars: DataFrame, stored: DataFrame, fetched: DataFrame, run_date: str, model: dict | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """One row per stock. Grades follow the unrounded final score. scorer: gives the fetched
+    articles their sentiment_score; without one they bring it along."""
     snap = technical_snapshot(bars, model)
-    mood = avg_sentiment(stored, top_news(fetched), run_date)
+    newest = top_news(fetched)
+    mood = avg_sentiment(stored, scorer(newest) if scorer else newest, run_date)
     rows = stocks.select("ticker", "name", "market").join(snap, "ticker", "left").join(mood, "ticker", "left")
     technical, mood = F.coalesce("technical_score", F.lit(50.0)), F.coalesce("sentiment", F.lit(0.0))
     final = S.final_score(technical, mood)

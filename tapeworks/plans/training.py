@@ -6,12 +6,15 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import FEATURES, feature_columns
 from ..operators.indicators import min_history, with_indicators
+from ..sources.ingest import MODEL
+from ..sources.shared import staged
 
+# Horizons in days, folds and least numbers of bars, rows and samples.
 HORIZONS = [3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 DEPLOY, FOLDS = 50, 5
 MIN_BARS, MIN_TRAIN, MIN_TEST, MIN_SAMPLES = 65, 100, 20, 500
@@ -73,8 +76,10 @@ def fold_rows(rows: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def purge_counts(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    count = lambda r: F.count_if(C("role").isin(*r))
-    return fold_rows(rows, folds).groupBy("horizon", "fold").agg(count(["train", "purged"]).alias("before_purge"), count(["train"]).alias("train_size"), count(["test"]).alias("test_size"))
+    """Sizes of folds. Rows are counted by their dates before they meet the folds."""
+    per = rows.groupBy("horizon", "trade_date", "target_date").agg(F.count("*").alias("n"))
+    count = lambda *r: F.coalesce(F.sum(F.when(C("role").isin(*r), C("n"))), F.lit(0))
+    return fold_rows(per, folds).groupBy("horizon", "fold").agg(count("train", "purged").alias("before_purge"), count("train").alias("train_size"), count("test").alias("test_size"))
 
 
 def scaler_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,84 +107,169 @@ def auc(rows: DataFrame, keys: list[str], score: str = "score", label: str = "la
     return out.select(*keys, F.when(both, C("right") / (C("P") + C("Q"))).alias("accuracy"), F.when(both, C("u") / (C("P") * C("Q"))).alias("auc"))
 
 
-def _sums(frames, keys, state):
-    """Of each key's rows: gradient and Hessian of the log-loss, flattened."""
+def fold_dates(rows: DataFrame, horizons: list[int] = HORIZONS, mode: str = "rel") -> dict[tuple[int, int], tuple]:
+    """(horizon, fold) -> (train_end, test_end) of labelled() rows: five of each horizon."""
+    has = [F.max(C(f"label_{mode}_{h}").isNotNull()).alias(f"h{h}") for h in horizons]
+    per = rows.groupBy("trade_date").agg(*has)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"h{h}").alias("has")) for h in horizons]))
+    days = per.select("trade_date", each.alias("e")).where("e.has").select("e.horizon", "trade_date")
+    return {(r.horizon, r.fold): (r.train_end, r.test_end) for r in time_folds(days).collect()}
+
+
+PACKED = ["labels", "train", "before", "test"]
+
+
+def packed(rows: DataFrame, horizons: list[int] = HORIZONS, mode: str = "rel", dates: dict | None = None) -> DataFrame:
+    """One row for each of rows, with arrays over the horizons: its labels, and as bits of fold
+    numbers in which folds it trains and which it comes before; and in which one it is
+    tested (0: none). Bit 0 of train is for all labelled rows. So no row is repeated by horizon,
+    fold or model."""
+    dates = dates or {}
+    cols: dict[str, list[Column]] = {k: [] for k in PACKED}
+    for h in horizons:
+        label, target, day = C(f"label_{mode}_{h}"), C(f"target_date_{h}"), C("trade_date")
+        train, before, test = F.lit(1), F.lit(0), F.lit(0)
+        for k in range(1, FOLDS + 1):
+            if (h, k) in dates:
+                a, b = (F.lit(d) for d in dates[h, k])
+                train = train + F.when(target < a, 1 << k).otherwise(0)
+                before = before + F.when(day < a, 1 << k).otherwise(0)
+                test = test + F.when((day >= a) & (day < b), k).otherwise(0)
+        known = lambda c: F.when(label.isNotNull(), c).otherwise(0)  # noqa: B023, E731
+        for name, c in zip(PACKED, (label, known(train), known(before), known(test)), strict=True):
+            cols[name].append(c)
+    return rows.select(*FEATURES, *[F.array(*v).alias(k) for k, v in cols.items()])
+
+
+def _columns(f: pd.DataFrame):
+    """Features, and labels and bits by horizon, of a batch of packed rows."""
+    labels, train, before, test = (np.array(f[c].tolist(), float if c == "labels" else np.int64).reshape(len(f), -1) for c in PACKED)
+    return f[FEATURES].to_numpy(np.float64), labels, train, before, test
+
+
+def _summed(frames, horizons, of):
+    """Sums of the vectors that of(columns) gives by key, a row for each key and task."""
+    total: dict[tuple, np.ndarray] = {}
     for f in frames:
-        out = []
-        for key, g in f.groupby(keys, sort=False):
-            key = key if isinstance(key, tuple) else (key,)
-            beta, mean, std, use = state.value[tuple(int(k) for k in key)]
-            x = np.column_stack(((g[FEATURES].to_numpy() - mean) / std * use, np.ones(len(g))))
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-            grad, hess = x.T @ (p - g["label"].to_numpy()), (x * (p * (1 - p))[:, None]).T @ x
-            out.append((*key, grad.tolist() + hess.ravel().tolist()))
-        yield pd.DataFrame(out, columns=[*keys, "v"])
-
-
-def fit_logistic(rows: DataFrame, keys: list[str], without: dict | None = None, rounds: int = 25) -> dict:
-    """Standardised L2 logistic models (C = 1, free intercept) of all keys at once by Newton
-    steps: each step is one pass that sums gradients and Hessians by key, and small solves
-    here. Returns key -> (weights with bias, means, deviations, used features)."""
-    spark = rows.sparkSession
-    rows = rows.select(*keys, *FEATURES, "label").cache()
-    models = {}
-    for r in scaler_stats(rows, keys).collect():
-        key = tuple(int(r[k]) for k in keys)
-        use = np.array([f not in (without or {}).get(key, ()) for f in FEATURES], float)
-        models[key] = [np.zeros(len(FEATURES) + 1), np.array([r[f"mean_{f}"] for f in FEATURES]), np.array([r[f"std_{f}"] for f in FEATURES]), use]
-    schema = ", ".join(f"{k} int" for k in keys) + ", v array<double>"
-    size, width = len(FEATURES) + 1, (len(FEATURES) + 1) * (len(FEATURES) + 2)
-    for _ in range(rounds):
-        state = spark.sparkContext.broadcast({k: tuple(m) for k, m in models.items()})
-        part = rows.mapInPandas(partial(_sums, keys=keys, state=state), schema)
-        sums = part.groupBy(*keys).agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]).collect()
+        if len(f):
+            for key, v in of(horizons, *_columns(f)):
+                total[key] = total[key] + v if key in total else v
+    yield pd.DataFrame([(*k, v.tolist()) for k, v in total.items()], columns=["horizon", "fold", "variant", "v"])
+
+
+def sums_by_key(rows: DataFrame, horizons: list[int], of, width: int) -> dict[tuple, np.ndarray]:
+    """(horizon, fold, variant) -> sum of the vectors of all rows; a few hundred keys."""
+    part = rows.mapInPandas(partial(_summed, horizons=horizons, of=of), "horizon int, fold int, variant int, v array<double>")
+    sums = part.groupBy("horizon", "fold", "variant").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]).collect()
+    return {tuple(r[:3]): np.array(r[3:], float) for r in sums}
+
+
+def _counts(horizons, x, labels, train, before, test):
+    """Rows before, train and test rows, of these the positive ones, sums and squares of the features of
+    the train rows."""
+    for i, h in enumerate(horizons):
+        for k in range(FOLDS + 1):
+            own, late, y = train[:, i] >> k & 1 > 0, (test[:, i] == k) & (k > 0), np.nan_to_num(labels[:, i])
+            if own.any() or late.any():
+                few = [(before[:, i] >> k & 1).sum(), own.sum(), y[own].sum(), late.sum(), y[late].sum()]
+                yield (h, k, 0), np.concatenate((few, x[own].sum(axis=0), (x[own] ** 2).sum(axis=0)))
+
+
+COUNTS = 5 + 2 * len(FEATURES)
+#: Models of a fold: with all features, and without volume.
+VARIANTS = (np.ones(len(FEATURES)), np.array([f != "logVolumeRatio" for f in FEATURES], float))
+
+
+def _steps(horizons, x, labels, train, before, test, state):
+    """Gradient and Hessian of the log-loss of each model, flattened."""
+    for i, h in enumerate(horizons):
+        for k in range(FOLDS + 1):
+            own = None
+            for v in range(len(VARIANTS)):
+                if (h, k, v) not in state.value:
+                    continue
+                own = np.flatnonzero(train[:, i] >> k & 1) if own is None else own
+                if len(own):
+                    beta, mean, std, use = state.value[h, k, v]
+                    z = np.column_stack(((x[own] - mean) / std * use, np.ones(len(own))))
+                    p = 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35)))
+                    yield (h, k, v), np.concatenate((z.T @ (p - labels[own, i]), ((z * (p * (1 - p))[:, None]).T @ z).ravel()))
+
+
+def fit_logistic(rows: DataFrame, horizons: list[int], counts: dict[tuple, np.ndarray], keys: list[tuple[int, int, int]], rounds: int = 25) -> dict:
+    """Standardised L2 logistic models (C = 1, free intercept) of all keys (horizon, fold,
+    variant) at once by Newton steps over packed rows: each step is one pass that sums gradients and
+    Hessians by key, and small solves here. Returns key -> (weights with bias, means,
+    deviations, used features)."""
+    spark, size, models = rows.sparkSession, len(FEATURES) + 1, {}
+    for h, k, v in keys:
+        c = counts[h, k, 0]
+        mean = c[5 : 5 + len(FEATURES)] / c[1]
+        std = np.sqrt(np.maximum(0, c[5 + len(FEATURES) :] / c[1] - mean**2))
+        models[h, k, v] = (np.zeros(size), mean, np.where(std > 1e-12, std, 1.0), VARIANTS[v])
+    for _ in range(rounds if models else 0):
+        state = spark.sparkContext.broadcast(models)
+        sums = sums_by_key(rows, horizons, partial(_steps, state=state), size * (size + 1))
+        state.unpersist()
         largest = 0.0
-        for r in sums:
-            m = models[tuple(int(r[k]) for k in keys)]
-            v = np.array([r[f"v{i}"] for i in range(width)])
+        for key, v in sums.items():
+            beta, mean, std, use = models[key]
             penal = np.append(np.ones(size - 1), 0)
-            hess = v[size:].reshape(size, size) + np.diag(penal) + np.diag(np.append(1 - m[3], 0))
-            step = np.linalg.solve(hess, v[:size] + penal * m[0])
-            m[0] = m[0] - step
+            hess = v[size:].reshape(size, size) + np.diag(penal) + np.diag(np.append(1 - use, 0))
+            step = np.linalg.solve(hess, v[:size] + penal * beta)
+            models[key] = (beta - step, mean, std, use)
             largest = max(largest, float(np.abs(step).max()))
         if largest < 1e-8:
             break
-    rows.unpersist()
-    return {k: tuple(m) for k, m in models.items()}
+    return models
 
 
-def _predicted(frames, keys, models):
+def _tested(frames, horizons, models):
+    """Test rows with the score of each model of their fold."""
     for f in frames:
-        score = np.zeros(len(f))
-        for key, at in f.groupby(keys, sort=False).indices.items():
-            key = tuple(int(k) for k in (key if isinstance(key, tuple) else (key,)))
-            if key in models.value:
-                beta, mean, std, use = models.value[key]
-                x = (f[FEATURES].to_numpy()[at] - mean) / std * use
-                score[at] = 1 / (1 + np.exp(-(x @ beta[:-1] + beta[-1])))
-        yield f[[*keys, "label"]].assign(score=score)
-
-
-def walk_forward(long: DataFrame) -> DataFrame:
-    """Per horizon and fold: sizes, baseline, and accuracy and AUC of the model with all
-    features (full) and without volume. Folds with few rows are skipped."""
-    long = long.cache()
-    folds = time_folds(long)
-    parts = fold_rows(long, folds)
-    sizes = purge_counts(long, folds).where(f"train_size >= {MIN_TRAIN} and test_size >= {MIN_TEST}")
-    sizes = sizes.cache()
-    parts = parts.join(F.broadcast(sizes.select("horizon", "fold")), ["horizon", "fold"]).cache()
-    each = parts.withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"horizon": C("horizon").cast("int"), "fold": C("fold").cast("int")})
-    keys = ["horizon", "fold", "variant"]
-    train = each.where("role = 'train'")
-    without = {(h, k, 1): ("logVolumeRatio",) for h in HORIZONS for k in range(1, FOLDS + 1)}
-    models = long.sparkSession.sparkContext.broadcast(fit_logistic(train, keys, without))
-    scored = each.where("role = 'test'").select(*keys, *FEATURES, "label").mapInPandas(partial(_predicted, keys=keys, models=models), "horizon int, fold int, variant int, label double, score double")
-    found = auc(scored, keys)
+        out = []
+        if len(f):
+            x, labels, _, _, test = _columns(f)
+            for i, h in enumerate(horizons):
+                for k in range(1, FOLDS + 1):
+                    own = np.flatnonzero(test[:, i] == k)
+                    for v in range(len(VARIANTS)):
+                        if len(own) and (h, k, v) in models:
+                            beta, mean, std, use = models[h, k, v]
+                            score = 1 / (1 + np.exp(-((x[own] - mean) / std * use @ beta[:-1] + beta[-1])))
+                            out.append(pd.DataFrame({"horizon": np.int32(h), "fold": np.int32(k), "variant": np.int32(v), "label": labels[own, i], "score": score}))
+        if out:
+            yield pd.concat(out)
+
+
+FOLD = "horizon int, fold int, baseline_accuracy double, before_purge long, train_size long, test_size long"
+
+
+def walk_forward(rows: DataFrame, horizons: list[int], mode: str = "rel") -> DataFrame:
+    """Per horizon and fold of labelled() rows: sizes, baseline, and accuracy and AUC of the
+    model with all features (full) and without volume. Folds with few rows are skipped."""
+    return evaluated(*prepared(rows, horizons, mode), horizons)
+
+
+def prepared(rows: DataFrame, horizons: list[int], mode: str = "rel") -> tuple[DataFrame, dict]:
+    """Packed rows as a written table, and their counts: what all models below read."""
+    rows = staged(rows)
+    own = staged(packed(rows, horizons, mode, fold_dates(rows, horizons, mode)))
+    return own, sums_by_key(own, horizons, _counts, COUNTS)
+
+
+def evaluated(own: DataFrame, counts: dict, horizons: list[int]) -> DataFrame:
+    folds = []
+    for (h, k, _), c in sorted(counts.items()):
+        if k and c[1] >= MIN_TRAIN and c[3] >= MIN_TEST:
+            right = c[4] if c[2] > c[1] - c[2] else c[3] - c[4]  # of the more frequent label (a tie: 0)
+            folds.append((h, k, round(float(right / c[3]), 8), int(c[0]), int(c[1]), int(c[3])))
+    models = fit_logistic(own, horizons, counts, [(h, k, v) for h, k, *_ in folds for v in range(len(VARIANTS))])
+    scored = own.mapInPandas(partial(_tested, horizons=horizons, models=models), "horizon int, fold int, variant int, label double, score double")
+    found = auc(scored, ["horizon", "fold", "variant"])
     pick = lambda v, c, n: F.max(F.when(C("variant") == v, C(c))).alias(n)
     wide = found.groupBy("horizon", "fold").agg(pick(0, "accuracy", "full_accuracy"), pick(0, "auc", "full_auc"), pick(1, "accuracy", "no_volume_accuracy"), pick(1, "auc", "no_volume_auc"))
-    base = majority_baseline(parts).select("horizon", "fold", "baseline_accuracy")
-    return wide.join(base, ["horizon", "fold"]).join(sizes, ["horizon", "fold"])
+    return wide.join(F.broadcast(own.sparkSession.createDataFrame(folds, FOLD)), ["horizon", "fold"])
 
 
 METRICS = ["baseline_accuracy", "no_volume_accuracy", "no_volume_auc", "full_accuracy", "full_auc"]
@@ -191,9 +281,22 @@ def walk_forward_summary(folds: DataFrame) -> DataFrame:
     return folds.groupBy("horizon").agg(F.count("*").alias("n_folds"), *aggs)
 
 
-def sweep_table(long: DataFrame, folds: DataFrame) -> DataFrame:
-    samples = long.groupBy("horizon").agg(F.count("*").alias("samples")).where(C("samples") >= MIN_SAMPLES)
-    return samples.join(walk_forward_summary(folds), "horizon").select("horizon", "samples", C("baseline_accuracy_mean").alias("baseline_acc"), C("no_volume_auc_mean").alias("no_volume_auc"), C("full_auc_mean").alias("full_auc"))
+def sweep_table(rows: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
+    """Mean metrics by horizon of labelled() rows; horizons with few rows are left out."""
+    return _swept(*prepared(rows, horizons), horizons)[0]
+
+
+def _swept(own: DataFrame, counts: dict, horizons: list[int]) -> tuple[DataFrame, DataFrame]:
+    folds = staged(evaluated(own, counts, horizons))
+    many = [(h, int(c[1])) for (h, k, _), c in sorted(counts.items()) if k == 0 and c[1] >= MIN_SAMPLES]
+    samples = own.sparkSession.createDataFrame(many, "horizon int, samples long")
+    found = walk_forward_summary(folds).join(F.broadcast(samples), "horizon")
+    return found.select("horizon", "samples", C("baseline_accuracy_mean").alias("baseline_acc"), C("no_volume_auc_mean").alias("no_volume_auc"), C("full_auc_mean").alias("full_auc")), folds
+
+
+def sweep_with_folds(rows: DataFrame, horizons: list[int] = HORIZONS) -> tuple[DataFrame, DataFrame]:
+    """The sweep and the folds it is made of."""
+    return _swept(*prepared(rows, horizons), horizons)
 
 
 def best_horizon(sweep: DataFrame) -> DataFrame:
@@ -202,18 +305,16 @@ def best_horizon(sweep: DataFrame) -> DataFrame:
     return sweep.agg(best.alias("b")).select("b.horizon", "b.full_auc", (F.coalesce("b.full_auc", F.lit(0.0)) < 0.52).alias("no_signal"))
 
 
-def train_final_model(long: DataFrame, horizon: int = DEPLOY, trained_at: str = "") -> DataFrame:
+def train_final_model(rows: DataFrame, horizon: int = DEPLOY, trained_at: str = "") -> DataFrame:
     """One row: the model of all rows of a horizon with its walk-forward means, as save_model
     takes it; none for few rows or without a valid fold."""
-    rows = long.where(C("horizon") == horizon).withColumn("horizon", C("horizon").cast("int"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
-    spark = long.sparkSession
-    schema = "featureNames array<string>, featureMeans array<double>, featureStds array<double>, weights array<double>, bias double, sampleCount long, positiveRate double, forwardDays int, labelMode string, trainedAt string, holdoutAccuracy double, holdoutAuc double, baselineAccuracy double, noVolumeAccuracy double, noVolumeAuc double, walkForwardFolds long"
-    if stats.n < MIN_SAMPLES:
-        return spark.createDataFrame([], schema)
-    means = walk_forward_summary(walk_forward(long.where(C("horizon") == horizon))).first()
+    own, counts = prepared(rows, [horizon])
+    n, positive = counts[horizon, 0, 0][1:3] if counts else (0, 0)
+    spark = rows.sparkSession
+    means = walk_forward_summary(evaluated(own, counts, [horizon])).first() if n >= MIN_SAMPLES else None
     if means is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], MODEL)
     tested = [means[f"{m}_mean"] for m in ("full_accuracy", "full_auc", "baseline_accuracy", "no_volume_accuracy", "no_volume_auc")]
-    beta, mean, std, _ = fit_logistic(rows, ["horizon"])[(horizon,)]
-    return spark.createDataFrame([(FEATURES, mean.tolist(), std.tolist(), beta[:-1].tolist(), float(beta[-1]), stats.n, stats.p, horizon, "relative", trained_at, *tested, means.n_folds)], schema)
+    key = (horizon, 0, 0)
+    beta, mean, std, _ = fit_logistic(own, [horizon], counts, [key])[key]
+    return spark.createDataFrame([(FEATURES, mean.tolist(), std.tolist(), beta[:-1].tolist(), float(beta[-1]), int(n), float(positive / n), horizon, "relative", trained_at, *tested, means.n_folds)], MODEL)

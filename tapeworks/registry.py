@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from . import sql
 from .functions import scoring as S
 from .operators import views as V
-from .operators.indicators import min_history, numbered, with_ema, with_indicators, with_windows
+from .operators.indicators import min_history, numbered, with_ema, with_windows
 from .plans import backtest as B
 from .plans import recommend as R
 from .plans import training as T
 from .sources import adapters as A
 from .sources import ingest as I
-from .streaming.refresh import incremental_refresh, shared_folder
+from .sources.shared import shared_folder
+from .streaming.refresh import incremental_refresh
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,7 +126,7 @@ def normalize_bars(spark, sf):
 def upsert_stocks(spark, sf):
     s = A.stocks(spark, sf)
     new = s.where("market_cap % 3 = 0").withColumns({"name": F.concat(F.lit("new "), "name"), "market_cap": C("market_cap") + 1})
-    return I.merge(s, new, I.STOCK_KEY)
+    return I.merge(s, new, I.STOCK_KEY, [C("base_date"), C("market_cap")])
 
 
 @query("""SELECT ticker, trade_date, open, high, low, close, volume FROM bars WHERE (ticker, trade_date) NOT IN (SELECT ticker, trade_date FROM ticks WHERE qty >= 25)
@@ -152,7 +153,7 @@ def upsert_technical_scores(spark, sf):
     old = A.stocks(spark, sf).select("ticker", F.explode(F.array(*[F.lit(d).cast("date") for d in ("2001-11-03", "2001-11-04")])).alias("calc_date"), F.lit(50.0).alias("technical_score"))
     known = A.bars(spark, sf).select("ticker").distinct()
     old = old.where("calc_date = date '2001-11-03'").unionByName(old.where("calc_date = date '2001-11-04'").join(known, "ticker", "left_semi"))
-    return I.merge(old, _snap(spark, sf).select("ticker", F.lit(A.RUN_DATE).cast("date").alias("calc_date"), "technical_score"), I.SCORE_KEY)
+    return I.merge(old, _snap(spark, sf).select("ticker", F.lit(A.RUN_DATE).cast("date").alias("calc_date"), "technical_score"), I.SCORE_KEY, [C("technical_score")])
 
 
 def _news(spark, sf):
@@ -171,14 +172,13 @@ def top_news_per_ticker(spark, sf):
     return R.top_news(_news(spark, sf)[1]).select("ticker", "headline", "news_date", "url")
 
 
-@query()
+@query("""SELECT * FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY seq)::INT AS pos, trim(regexp_replace(headline, '\\s+', ' ', 'g')) AS headline, 'https://finance.example.com' || url AS url,
+CASE WHEN seq % 7 = 2 THEN DATE '2001-11-04' ELSE news_date END AS news_date FROM news WHERE seq % 7 NOT IN (1, 3) AND trim(regexp_replace(headline, '\\s+', ' ', 'g')) <> '') WHERE pos <= 5""")
 def extract_news_listing(spark, sf):
     return I.extract_news_listing(A.listing_pages(spark, sf), A.RUN_DATE)
 
 
-@query("""SELECT doc_id AS seq, CASE doc_id % 8 WHEN 0 THEN 0.8 WHEN 1 THEN -0.7 WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 WHEN 4 THEN 0.8 WHEN 5 THEN 0.1 ELSE 0.0 END::DOUBLE AS score,
-CASE doc_id % 8 WHEN 1 THEN 'NEGATIVE' WHEN 5 THEN 'NEUTRAL' WHEN 6 THEN 'NEUTRAL' WHEN 7 THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label,
-CASE doc_id % 8 WHEN 0 THEN 'up' WHEN 1 THEN 'down' WHEN 2 THEN 'fenced' WHEN 3 THEN 'large' WHEN 4 THEN 'text' WHEN 5 THEN 'no label' ELSE '응답 파싱 실패' END AS summary FROM documents""")
+@query("SELECT * FROM told")
 def parse_sentiment_response(spark, sf):
     return A.responses(spark, sf).select("seq", I.parse_sentiment(C("body")).alias("p")).select("seq", "p.*")
 
@@ -239,6 +239,14 @@ def recommend(spark, sf):
     return _recommend(spark, sf).drop("probability_horizon_days")
 
 
+@query("SELECT ticker, sentiment_score, final_score, recommendation FROM rec2")
+def recommend_with_scorer(spark, sf):
+    """Recommendations whose fetched articles are scored by a service's responses."""
+    scorer = R.scored_by_responses(A.responses(spark, sf))
+    rows = R.recommend(A.stocks(spark, sf), A.bars(spark, sf), *_news(spark, sf), A.RUN_DATE, scorer=scorer)
+    return rows.select("ticker", "sentiment_score", "final_score", "recommendation")
+
+
 @query("SELECT ticker, strftime(rec_date, '%Y-%m-%d') AS rec_date, name, market, final_score, recommendation FROM rec")
 def recommendation_view(spark, sf):
     return V.recommendation_view(_recommend(spark, sf))
@@ -257,7 +265,7 @@ def _history(spark, sf):
 def upsert_recommendations(spark, sf):
     r, old = _history(spark, sf)
     stale = old.unionByName(r.withColumn("final_score", F.lit(0.0)))
-    return I.merge(stale, r, I.RECOMMENDATION_KEY)
+    return I.merge(stale, r, I.RECOMMENDATION_KEY, [C("final_score")])
 
 
 @query(f"SELECT * FROM {HISTORY} WHERE rec_date = (SELECT max(rec_date) FROM {HISTORY}) AND recommendation = 'HOLD' ORDER BY final_score DESC, ticker")
@@ -280,7 +288,7 @@ def search_recommendations(spark, sf):
 @query(f"SELECT ticker, rec_date, final_score, row_number() OVER (ORDER BY final_score DESC NULLS LAST, ticker, rec_date) AS pos FROM {HISTORY}")
 def sort_recommendations(spark, sf):
     r, old = _history(spark, sf)
-    return V.positioned(r.unionByName(old), C("final_score").desc_nulls_last(), C("ticker"), C("rec_date")).select("ticker", "rec_date", "final_score", "pos")
+    return V.ranked(r.unionByName(old), C("final_score").desc_nulls_last(), C("ticker"), C("rec_date")).select("ticker", "rec_date", "final_score", "pos")
 
 
 @on_bars("SELECT ticker, trade_date FROM bars QUALIFY count(*) OVER (PARTITION BY ticker) >= 65")
@@ -357,17 +365,28 @@ def heuristic_probability(bars):
     return R.indicators_with_scores(bars).where("rn >= 60").select("ticker", "trade_date", *six("heuristic"))
 
 
-# A model of the seven features, for prediction queries.
+# A made-up model of the seven features, for prediction queries.
 MODEL = {
-    "means": [0.0056, 0.0264, 0.0613, 0.1045, 0.0006, 0.5973, -0.0965],
-    "stds": [0.0407, 0.0725, 0.1019, 0.3214, 0.0117, 0.3274, 0.523],
-    "weights": [-0.0423, 0.0192, 0.1199, 0.004, -0.1377, 0.1726, -0.0194],
-    "bias": -0.0051,
+    "means": [0.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.0],
+    "stds": [0.05, 0.05, 0.1, 0.25, 0.02, 0.25, 0.5],
+    "weights": [-0.25, 0.125, 0.25, 0.0625, -0.125, 0.375, -0.0625],
+    "bias": 0.03125,
     "forwardDays": 50,
 }
 _Z = " + ".join(f"({f} - ({m})) / {s} * ({w})" for f, m, s, w in zip(S.FEATURES, MODEL["means"], MODEL["stds"], MODEL["weights"], strict=True))
 
 
+_HEAD = "SELECT ticker, last_date, CASE WHEN rn >= 60 THEN floor(p * 100 + 0.5) / 100 ELSE 50.0 END::DOUBLE AS rise_probability, CASE WHEN rn >= 60 THEN 'MODEL' ELSE 'HEURISTIC' END AS probability_source, CASE WHEN rn >= 60 THEN 50 END AS probability_horizon_days"
+
+
+@on_bars(f"""{_HEAD} FROM (SELECT ticker, last_date, rn, greatest(1, least(99, 100 / (1 + exp(-({MODEL['bias']} + {_Z}))))) AS p FROM (
+SELECT ticker, trade_date AS last_date, rn, (close - ma5) / close AS priceVsMa5, (ma5 - ma20) / nullif(ma20, 0) AS ma5VsMa20, (ma20 - ma60) / nullif(ma60, 0) AS ma20VsMa60, (rsi - 50) / 50 AS rsiNorm, macd_histogram / close AS macdHistNorm,
+bb_percent_b AS bbPercentB, ln(greatest(volume_ratio, 0.01)) AS logVolumeRatio FROM ind JOIN ema USING (ticker, trade_date, rn) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY trade_date DESC) = 1))""")
+def technical_snapshot_model(bars):
+    """The snapshot with a model's probability in place of the heuristic one."""
+    return R.technical_snapshot(bars, MODEL).select("ticker", "last_date", "rise_probability", "probability_source", "probability_horizon_days")
+
+
 @on_bars("SELECT ticker, trade_date, " + ", ".join(S.FEATURES[:-1]) + ", round(logVolumeRatio, 9) AS logVolumeRatio FROM feat")
 def feature_vector(bars):
     return T.features(bars, [5]).select("ticker", "trade_date", *S.FEATURES[:-1], F.round("logVolumeRatio", 9).alias("logVolumeRatio"))
@@ -394,8 +413,12 @@ def analysis_run_counts(spark, sf):
 # Training data and evaluation
 
 
+def _wide(bars, horizons=T.HORIZONS):
+    return T.labelled(T.features(bars, list(horizons)), list(horizons))
+
+
 def _long(bars, horizons=(3, 50), mode="rel"):
-    return T.long_form(T.labelled(T.features(bars, list(horizons)), list(horizons)), list(horizons), mode)
+    return T.long_form(_wide(bars, horizons), list(horizons), mode)
 
 
 @on_bars("SELECT trade_date, round(median(fwd_return_3), 8) AS median_3, round(median(fwd_return_50), 8) AS median_50 FROM feat GROUP BY trade_date")
@@ -471,29 +494,27 @@ def fold_auc(bars):
 
 @on_bars()
 def walk_forward(bars):
-    return T.walk_forward(_long(bars, [50]))
+    return T.walk_forward(_wide(bars, [50]), [50])
 
 
 @on_bars()
 def sweep_horizons(bars):
-    long = _long(bars, T.HORIZONS)
-    return T.sweep_table(long, T.walk_forward(long))
+    return T.sweep_table(_wide(bars))
 
 
 @on_bars()
 def best_horizon(bars):
-    long = _long(bars, T.HORIZONS)
-    return T.best_horizon(T.sweep_table(long, T.walk_forward(long)))
+    return T.best_horizon(T.sweep_table(_wide(bars)))
 
 
 @on_bars()
 def walk_forward_summary(bars):
-    return T.walk_forward_summary(T.walk_forward(_long(bars, [50])))
+    return T.walk_forward_summary(T.walk_forward(_wide(bars, [50]), [50]))
 
 
 @on_bars()
 def train_final_model(bars):
-    return T.train_final_model(_long(bars, [50]))
+    return T.train_final_model(_wide(bars, [50]))
 
 
 # Backtests
@@ -591,25 +612,36 @@ def write_trades_csv(spark, sf):
     return spark.read.schema(rows.schema).csv(path, header=True)
 
 
+@query(sql.COMPARISON)
+def write_comparison(spark, sf):
+    """The comparison as it comes back from its CSV file."""
+    rows = B.comparison(A.bars(spark, sf), A.stocks(spark, sf))
+    path = shared_folder(spark)
+    I.write_comparison(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
 @on_bars()
 def save_and_load_model(bars):
     path = shared_folder(bars.sparkSession)
-    I.save_model(T.train_final_model(_long(bars, [50])), path)
+    I.save_model(T.train_final_model(_wide(bars, [50])), path)
     return I.load_model(bars.sparkSession, path)
 
 
 @on_bars()
 def save_walk_forward_detail(bars):
-    path, long = shared_folder(bars.sparkSession), _long(bars, T.HORIZONS)
-    folds = T.walk_forward(long).cache()
-    I.save_walk_forward(folds.where(C("horizon") == T.DEPLOY), T.sweep_table(long, folds), path)
+    path = shared_folder(bars.sparkSession)
+    sweep, folds = T.sweep_with_folds(_wide(bars))
+    I.save_walk_forward(folds.where(C("horizon") == T.DEPLOY), sweep, path)
     return bars.sparkSession.read.json(path)
 
 
-for _rule in ("ma", "rsi", "macd", "bb", "volume"):
+for _rule in R.RULES:
 
-    def _score(spark, sf, c=f"{_rule}_score"):
-        return R.indicators_with_scores(A.bars(spark, sf)).where("rn >= 60").select("ticker", "trade_date", c)
+    def _score(spark, sf, r=_rule):
+        bars = A.bars(spark, sf).select("ticker", "trade_date", "close", "volume")
+        ind = numbered(with_ema(bars)) if r == "macd" else with_windows(bars)
+        return ind.where("rn >= 60").select("ticker", "trade_date", R.rule(r).alias(f"{r}_score"))
 
     query(f"SELECT ticker, trade_date, {_rule}_score FROM scored WHERE rn >= 60", f"score_{_rule}")(_score)
 
@@ -636,6 +668,6 @@ def rounding_rules(bars):
 # Streaming
 
 
-@query()
+@query("SELECT ticker, DATE '2001-11-04' AS calc_date, technical_score, rise_probability FROM snap")
 def incremental_refresh_scores(spark, sf):
     return incremental_refresh(spark, f"{sf}/lineitem.parquet")

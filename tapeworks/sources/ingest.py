@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -45,14 +46,14 @@ def normalize_bars(rows: DataFrame) -> DataFrame:
     return rows.select("ticker", F.col("trade_date").cast("date").alias("trade_date"), *[whole(c, "int") for c in ("open", "high", "low", "close")], whole("volume", "long"))
 
 
-def merge(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """target with the last update of each key in place of its row. Keys without updates are
-    untouched; a null key part never equals another, so such rows are added."""
-    if order:
-        last = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-        updates = updates.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    updates = updates.select(target.columns)
-    return target.join(updates.select(keys), keys, "left_anti").select(target.columns).unionByName(updates)
+def merge(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """target with the last update of each key, by order, in place of its row. Keys without
+    updates are untouched. A null key part equals a null, so that reruns change nothing."""
+    last = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+    updates = updates.withColumn("_r", F.row_number().over(last)).where("_r = 1").select(target.columns)
+    new = updates.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return target.join(new, same, "left_anti").select(target.columns).unionByName(updates)
 
 
 def insert_new(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -149,6 +150,11 @@ def write_trades_csv(trades: DataFrame, path: str) -> None:
     trades.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_comparison(summaries: DataFrame, path: str) -> None:
+    """The summaries of the variants, as one file with a header."""
+    summaries.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 MODEL = (
     "featureNames array<string>, featureMeans array<double>, featureStds array<double>, weights array<double>, bias double, sampleCount long,"
     " positiveRate double, forwardDays int, labelMode string, trainedAt string, holdoutAccuracy double, holdoutAuc double, baselineAccuracy double,"

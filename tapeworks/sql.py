@@ -84,6 +84,20 @@ def priced(picks: str) -> str:
     return f"SELECT *, (exit_price - entry_price) / entry_price::DOUBLE * 100 AS ret FROM (SELECT p.*, b.close AS exit_price FROM {picks} p ASOF JOIN bars b ON p.ticker = b.ticker AND p.exit_date <= b.trade_date)"
 
 
+def _mood(score: str) -> str:
+    """Mean sentiment by ticker: of the new articles by a score of theirs, else of the stored."""
+    stored = "SELECT sum(sentiment_score::DECIMAL(12, 6))::DOUBLE / count(*) FROM news s WHERE s.stored AND s.ticker = t.ticker AND news_date >= DATE '2001-11-04' - 7"
+    return f"SELECT ticker, coalesce((SELECT sum(c)::DOUBLE / count(*) FROM (SELECT ticker, ({score})::DECIMAL(12, 6) AS c FROM fresh5 f) f WHERE f.ticker = t.ticker), ({stored}), 0.0) AS sentiment FROM (SELECT DISTINCT ticker FROM best5) t"
+
+
+def _rec(mood: str) -> str:
+    return f"""SELECT ticker, DATE '2001-11-04' AS rec_date, name, market, technical_score, {_R2.format('s')} AS sentiment_score, {_R2.format('f')} AS final_score, rise_probability, 'HEURISTIC' AS probability_source,
+  CASE WHEN f >= 75 THEN 'STRONG_BUY' WHEN f >= 60 THEN 'BUY' WHEN f >= 40 THEN 'HOLD' WHEN f >= 25 THEN 'SELL' ELSE 'STRONG_SELL' END AS recommendation,
+  reason || ' ' || CASE WHEN s > 0.3 THEN {_P['news'][0]} WHEN s < -0.3 THEN {_P['news'][1]} ELSE {_P['news'][2]} END AS reason
+  FROM (SELECT *, greatest(0, least(100, technical_score * 0.65::DOUBLE + (s + 1) / 2 * 100 * 0.35::DOUBLE)) AS f
+  FROM (SELECT k.ticker, name, market, coalesce(technical_score, 50.0) AS technical_score, coalesce(rise_probability, 50.0) AS rise_probability, coalesce(technical_reason, {_P['short']}) AS reason, coalesce(sentiment, 0.0) AS s FROM stocks k LEFT JOIN snap USING (ticker) LEFT JOIN {mood} USING (ticker)))"""
+
+
 _FWD = ", ".join(f"lead(close, {h}) OVER z / close::DOUBLE - 1 AS fwd_return_{h}, lead(trade_date, {h}) OVER z AS target_date_{h}" for h in HORIZONS)
 _LONG = " UNION ALL ".join(
     f"SELECT ticker, trade_date, {FEATURES}, {h} AS horizon, target_date_{h} AS target_date, (fwd_return_{h} > 0)::INT::DOUBLE AS label_abs, (fwd_return_{h} > median(fwd_return_{h}) OVER (PARTITION BY trade_date))::INT::DOUBLE AS label FROM feat"
@@ -95,23 +109,23 @@ WITH = f"""WITH RECURSIVE
 ticks AS (SELECT lpad(l_suppkey::VARCHAR, 6, '0') AS ticker, l_shipdate::DATE AS trade_date, floor(l_extendedprice / l_quantity + 0.5)::INT AS px, l_quantity::BIGINT AS qty, l_orderkey, l_linenumber, l_partkey FROM lineitem),
 bars AS MATERIALIZED (SELECT ticker, trade_date, first(px ORDER BY l_orderkey, l_linenumber, l_partkey, px, qty) AS open, max(px) AS high, min(px) AS low, last(px ORDER BY l_orderkey, l_linenumber, l_partkey, px, qty) AS close, sum(qty)::BIGINT AS volume FROM ticks GROUP BY ALL),
 stocks AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS ticker, s_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, floor((s_acctbal + 1000) * 1000000)::BIGINT AS market_cap, '20011104' AS base_date FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-news AS (SELECT lpad((doc_id % (SELECT count(*) FROM supplier))::VARCHAR, 6, '0') AS ticker, DATE '2001-10-01' + (doc_id % 35)::INT AS news_date, trim(substring(text, 1, 80)) AS headline, '/item/news_read?id=' || doc_id AS url,
+news AS (SELECT lpad((doc_id % (SELECT count(*) FROM supplier))::VARCHAR, 6, '0') AS ticker, DATE '2001-10-01' + (doc_id % 35)::INT AS news_date, trim(split_part(text, chr(10), 1)) AS headline, '/item/news_read?id=' || doc_id AS url,
   ((n_chars % 201) - 100) / 100.0::DOUBLE AS sentiment_score, doc_id % 3 = 0 AS stored, doc_id AS seq FROM documents),
 fresh AS (SELECT * FROM (SELECT * FROM news WHERE NOT stored QUALIFY row_number() OVER (PARTITION BY ticker, headline, news_date ORDER BY seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM news s WHERE s.stored AND s.ticker = f.ticker AND s.headline = f.headline AND s.news_date = f.news_date)),
 best5 AS (SELECT * FROM news WHERE NOT stored QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY seq) <= 5),
 fresh5 AS (SELECT * FROM (SELECT * FROM best5 QUALIFY row_number() OVER (PARTITION BY ticker, headline, news_date ORDER BY seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM news s WHERE s.stored AND s.ticker = f.ticker AND s.headline = f.headline AND s.news_date = f.news_date)),
-mood0 AS (SELECT ticker, coalesce((SELECT sum(sentiment_score::DECIMAL(12, 6))::DOUBLE / count(*) FROM fresh5 f WHERE f.ticker = t.ticker), (SELECT sum(sentiment_score::DECIMAL(12, 6))::DOUBLE / count(*) FROM news s WHERE s.stored AND s.ticker = t.ticker AND news_date >= DATE '2001-11-04' - 7), 0.0) AS sentiment FROM (SELECT DISTINCT ticker FROM best5) t),
+mood0 AS ({_mood("sentiment_score")}),
 mood AS (SELECT ticker, round(sentiment, 6) + 0.0 AS sentiment FROM mood0),
+told AS (SELECT doc_id AS seq, CASE WHEN doc_id % 8 = 2 THEN 1 WHEN doc_id % 8 = 6 THEN -1 WHEN doc_id % 8 IN (5, 7) THEN 0 ELSE coalesce(((n_chars % 201) - 100) / 100.0::DOUBLE, 0) END::DOUBLE AS score,
+  CASE WHEN doc_id % 8 IN (4, 5, 7) THEN 'NEUTRAL' ELSE 'UPBEAT' END AS label, CASE WHEN doc_id % 8 IN (5, 7) THEN '응답 파싱 실패' ELSE coalesce(text, '') END AS summary FROM documents),
+mood2 AS ({_mood("(SELECT score FROM told WHERE told.seq = f.seq)")}),
 ind AS (SELECT * FROM ({_windows('bars')})),{_emas('bars', '')},
 scored AS (SELECT *, greatest(0, least(100, {_SUM})) AS raw_score, {_HEUR} AS heuristic FROM ({_rules("(SELECT * FROM ind JOIN ema USING (ticker, trade_date, rn))", "macd_signal", "bb_percent_b", "obv_trend")})),
 snap AS ({_snapshot('ind', 'ema')}),
 early AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY trade_date) <= 50),
 shortsnap AS (SELECT ticker, 50.0::DOUBLE AS technical_score, 50.0::DOUBLE AS rise_probability, 'HEURISTIC' AS probability_source, {_P['short']} AS technical_reason FROM early GROUP BY ticker),
-rec AS (SELECT ticker, DATE '2001-11-04' AS rec_date, name, market, technical_score, {_R2.format('s')} AS sentiment_score, {_R2.format('f')} AS final_score, rise_probability, 'HEURISTIC' AS probability_source,
-  CASE WHEN f >= 75 THEN 'STRONG_BUY' WHEN f >= 60 THEN 'BUY' WHEN f >= 40 THEN 'HOLD' WHEN f >= 25 THEN 'SELL' ELSE 'STRONG_SELL' END AS recommendation,
-  reason || ' ' || CASE WHEN s > 0.3 THEN {_P['news'][0]} WHEN s < -0.3 THEN {_P['news'][1]} ELSE {_P['news'][2]} END AS reason
-  FROM (SELECT *, greatest(0, least(100, technical_score * 0.65::DOUBLE + (s + 1) / 2 * 100 * 0.35::DOUBLE)) AS f
-  FROM (SELECT k.ticker, name, market, coalesce(technical_score, 50.0) AS technical_score, coalesce(rise_probability, 50.0) AS rise_probability, coalesce(technical_reason, {_P['short']}) AS reason, coalesce(sentiment, 0.0) AS s FROM stocks k LEFT JOIN snap USING (ticker) LEFT JOIN mood0 USING (ticker)))),
+rec AS ({_rec("mood0")}),
+rec2 AS ({_rec("mood2")}),
 feat AS (SELECT * FROM (SELECT ticker, trade_date, rn, (close - ma5) / close AS priceVsMa5, (ma5 - ma20) / nullif(ma20, 0) AS ma5VsMa20, (ma20 - ma60) / nullif(ma60, 0) AS ma20VsMa60, (rsi - 50) / 50 AS rsiNorm, macd_histogram / close AS macdHistNorm,
   CASE WHEN width2 > 0 THEN bb_percent_b END AS bbPercentB, ln(greatest(CASE WHEN v20 > 0 THEN volume_ratio END, 0.01)) AS logVolumeRatio, {_FWD}
   FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS many FROM ind JOIN ema USING (ticker, trade_date, rn)) WHERE many >= 65 WINDOW z AS (PARTITION BY ticker ORDER BY trade_date))

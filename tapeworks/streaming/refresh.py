@@ -2,50 +2,78 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.recommend import technical_snapshot
-from ..sources.adapters import RUN_DATE, bars_of, ticker_of
+from ..sources.adapters import RUN_DATE, bars_of, ticks_of
 from ..sources.ingest import BAR_KEY, SCORE_KEY, merge
+from ..sources.shared import shared_folder
+
+BARS = "ticker string, trade_date date, open int, high int, low int, close int, volume long"
+SCORES = "ticker string, calc_date date, technical_score double, rise_probability double"
+
+
+class Store:
+    """Bars by month and scores by batch in a folder. A batch writes whole months that it
+    touches and the scores that it changes, then a mark; readers take, of marked batches
+    only, the newest version of each month and of each score."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return self.spark.createDataFrame([], schema)
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    def marks(self, below: int | None = None) -> DataFrame:
+        """Batches that are committed, each in a row."""
+        rows = self._read("marks", "done boolean, batch int").select("batch")
+        return rows if below is None else rows.where(F.col("batch") < below)
+
+    def bars(self, below: int | None = None) -> DataFrame:
+        rows = self._read("bars", BARS + ", batch int, month string").join(F.broadcast(self.marks(below)), "batch")
+        newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))  # a row a month
+        return rows.join(F.broadcast(newest), ["month", "batch"]).drop("batch")
+
+    def scores(self, below: int | None = None) -> DataFrame:
+        rows = self._read("scores", SCORES + ", batch int").join(F.broadcast(self.marks(below)), "batch")
+        newest = rows.groupBy(*SCORE_KEY).agg(F.max_by(F.struct("technical_score", "rise_probability"), "batch").alias("s"))
+        return newest.select(*SCORE_KEY, "s.*")
+
+    def write(self, kind: str, batch: int, rows: DataFrame, *by: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{kind}/batch={batch}")
+
+    def commit(self, batch: int) -> None:
+        self.spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch}")
 
 
 def incremental_refresh(spark: SparkSession, ticks_path: str, folder: str | None = None, run_date: str = RUN_DATE) -> DataFrame:
     """Streams the files of ticks_path through to the end of what is there: each batch merges
-    its daily bars and scores the tickers it touches anew. A batch writes tables of its own
-    number from those of the number before, so a batch that is tried again replaces itself.
-    Returns the scores. Late or corrected bars take the place of their key, so there is no
-    watermark."""
-    folder = folder or shared_folder(spark)
-    bars_schema = "ticker string, trade_date date, open int, high int, low int, close int, volume long"
-    score_schema = "ticker string, calc_date date, technical_score double, rise_probability double"
-
-    def known(kind: str, batch: int, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{folder}/{kind}/{batch}")
+    its daily bars and scores the tickers it touches anew. Returns the scores.
 
-    for kind, schema in (("bars", bars_schema), ("scores", score_schema)):
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{kind}/-1")
-    done = [-1]
+    A batch reads what is committed below its number, so one that is tried again replaces
+    itself. A later call with the same folder goes on after the last file; without new files
+    it gives the same scores. Late or corrected bars take the place of their key, so there is
+    no watermark."""
+    store = Store(spark, folder or shared_folder(spark))
 
     def refresh(batch: DataFrame, number: int) -> None:
-        tick = batch.select(
-            ticker_of(F.col("l_suppkey")).alias("ticker"), F.col("l_shipdate").cast("date").alias("trade_date"), F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("int").alias("px"),
-            F.col("l_quantity").cast("long").alias("qty"), "l_orderkey", "l_linenumber", "l_partkey",
-        )
-        new = bars_of(tick)
-        merge(known("bars", done[-1], bars_schema), new, BAR_KEY).write.mode("overwrite").parquet(f"{folder}/bars/{number}")
-        bars = known("bars", number, bars_schema).join(new.select("ticker").distinct(), "ticker", "left_semi")
-        scores = technical_snapshot(bars).select("ticker", F.lit(run_date).cast("date").alias("calc_date"), "technical_score", "rise_probability")
-        merge(known("scores", done[-1], score_schema), scores, SCORE_KEY).write.mode("overwrite").parquet(f"{folder}/scores/{number}")
-        done.append(number)
+        new = bars_of(ticks_of(batch)).withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+        months = new.select("month").distinct()
+        old = store.bars(number).join(F.broadcast(months), "month", "left_semi")
+        store.write("bars", number, merge(old, new, BAR_KEY, [F.col("close")]), "month")
+        fresh = spark.read.schema(BARS + ", month string").parquet(f"{store.folder}/bars/batch={number}")
+        every = store.bars(number).join(F.broadcast(fresh.select("month").distinct()), "month", "left_anti").unionByName(fresh)
+        touched = every.join(new.select("ticker").distinct(), "ticker", "left_semi").drop("month")
+        scores = technical_snapshot(touched).select("ticker", F.lit(run_date).cast("date").alias("calc_date"), "technical_score", "rise_probability")
+        store.write("scores", number, scores)
+        store.commit(number)
 
     there = spark.read.parquet(ticks_path)
     parent, _, name = ticks_path.rstrip("/").rpartition("/")
@@ -55,6 +83,6 @@ def incremental_refresh(spark: SparkSession, ticks_path: str, folder: str | None
         stream = reader.option("pathGlobFilter", name).parquet(parent)
     else:
         stream = reader.parquet(ticks_path)
-    job = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    job = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{store.folder}/progress").trigger(availableNow=True).start()
     job.awaitTermination()
-    return known("scores", done[-1], score_schema)
+    return store.scores()

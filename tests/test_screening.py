@@ -1,6 +1,7 @@
 """Golden cases of rules, merges, folds and backtests."""
 
 import datetime as dt
+import functools
 import math
 
 import numpy as np
@@ -8,11 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.functions import scoring as S
+from tapeworks.operators import views as V
 from tapeworks.operators.indicators import with_ema, with_indicators
 from tapeworks.plans import backtest as B
 from tapeworks.plans import recommend as R
 from tapeworks.plans import training as T
 from tapeworks.sources import ingest as I
+from tapeworks.sources.adapters import bars_of, ticks_of
+from tapeworks.sources.shared import shared_folder
+from tapeworks.streaming.refresh import incremental_refresh
 
 BARS = "ticker string, trade_date date, open int, high int, low int, close int, volume long"
 
@@ -83,6 +88,62 @@ def test_merge_is_idempotent_and_last_wins(spark):
     once = I.merge(t, u, ["ticker"], [F.col("seq")])
     twice = I.merge(once, u, ["ticker"], [F.col("seq")])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", 1), ("b", 4), ("c", 5)]
+    none = spark.createDataFrame([(None, 7, 1)], "ticker string, v int, seq int")
+    again = I.merge(I.merge(t, none, ["ticker"], [F.col("seq")]), none, ["ticker"], [F.col("seq")])
+    assert sorted(map(tuple, again.collect()), key=str) == [("a", 1), ("b", 2), (None, 7)]
+    with pytest.raises(TypeError):
+        I.merge(t, u, ["ticker"])
+
+
+def test_ranked_numbers_all_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    got = V.ranked(rows.repartition(5), F.col("v").desc()).collect()
+    assert {r.v: r.pos for r in got} == {v: 1000 - v for v in range(1000)} and V.ranked(rows.where("false"), F.col("v")).count() == 0
+
+
+def test_long_series_equals_the_recursion(spark):
+    bars = series(spark, 200, 5000, 13).withColumn("close", F.expr("close + pmod(hash(trade_date), 500)"))
+    f = s = g = e = None
+    for r in with_ema(bars).orderBy("trade_date").collect():
+        x = float(r.close)
+        f, s, e = ((x, x, x) if f is None else ((x - f) * (2.0 / 13) + f, (x - s) * (2.0 / 27) + s, (x - e) * 0.2 + e))
+        g = 0.0 if g is None else (f - s - g) * 0.2 + g
+        assert (r.ema12, r.ema26, r.ema9, r.macd_signal, r.macd) == (f, s, e, g, f - s)
+    assert with_ema(bars.where("false")).count() == 0
+
+
+def test_refresh_goes_on_where_it_stopped(spark, tmp_path):
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double"
+    day = dt.date(2024, 1, 1)
+    rows = lambda t, lo, hi: spark.createDataFrame([(i, 1, 1, t, day + dt.timedelta(i), 100.0 + i * (t + 1), 1.0) for i in range(lo, hi)], schema)
+    ticks, folder = f"file://{tmp_path}/ticks", f"file://{tmp_path}/state"
+    tidy = lambda df: sorted(map(tuple, df.select("ticker", "technical_score", "rise_probability").collect()))
+    whole = lambda *parts: tidy(R.technical_snapshot(bars_of(ticks_of(functools.reduce(lambda a, b: a.union(b), parts)))))
+    rows(1, 0, 70).union(rows(2, 0, 80)).coalesce(1).write.parquet(ticks)
+    first = tidy(incremental_refresh(spark, ticks, folder))
+    assert first == whole(rows(1, 0, 70), rows(2, 0, 80))
+    assert tidy(incremental_refresh(spark, ticks, folder)) == first  # nothing new
+    rows(2, 80, 120).union(rows(3, 0, 90)).coalesce(1).write.mode("append").parquet(ticks)
+    assert tidy(incremental_refresh(spark, ticks, folder)) == whole(rows(1, 0, 70), rows(2, 0, 120), rows(3, 0, 90))
+
+
+def test_jdbc_in_ranges(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(20).select(F.col("id").cast("int").alias("K"), (F.col("id") * 2).cast("int").alias("V")).write.jdbc(url, "T", properties=options)
+    got = I.read_jdbc(spark, url, "T", "K", "0", "20", 4, **options)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == [(i, 2 * i) for i in range(20)]
+
+
+def test_shared_folder_on_a_cluster_must_be_set():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
 
 
 def test_listing_page(spark):
@@ -127,15 +188,17 @@ def test_logistic_has_no_gradient_left(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 7))
     y = (x @ [1, -1, 0.5, 0, 0, 2, 0] + rng.normal(size=300) > 0).astype(float)
-    df = spark.createDataFrame([(1, *map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "horizon int, " + ", ".join(f"{f} double" for f in S.FEATURES) + ", label double")
-    beta, mean, std, _ = T.fit_logistic(df, ["horizon"])[(1,)]
+    rows = [(*map(float, r), [float(v)], [1], [0], [0]) for r, v in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in S.FEATURES) + ", labels array<double>, train array<int>, before array<int>, test array<int>")
+    counts = T.sums_by_key(df, [1], T._counts, T.COUNTS)
+    beta, mean, std, _ = T.fit_logistic(df, [1], counts, [(1, 0, 0)])[(1, 0, 0)]
     z = np.column_stack(((x - mean) / std, np.ones(300)))
     grad = z.T @ (1 / (1 + np.exp(-z @ beta)) - y) + np.append(beta[:-1], 0)
     assert np.abs(grad).max() < 1e-6
 
 
 def test_model_file(spark, tmp_path):
-    row = [(list(S.FEATURES), [0.0] * 7, [1.0] * 7, [0.1] * 7, 0.2, None, 0.5, None, "relative", "now")]
+    row = [(list(S.FEATURES), [0.0] * 7, [1.0] * 7, [0.1] * 7, 0.2, None, 0.5, None, "relative", "now", *[None] * 6)]
     I.save_model(spark.createDataFrame(row, I.MODEL), f"{tmp_path}/m")
     r = I.load_model(spark, f"{tmp_path}/m").first()
     assert (r.forwardDays, r.sampleCount, r.weights) == (5, 0, [0.1] * 7)
