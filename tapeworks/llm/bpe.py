@@ -6,26 +6,29 @@ leftmost pair of pieces with the lowest rank, looked up in a literal rank map. T
 an array of small maps, chosen by crc32 of the piece, as Spark scans a map's keys. Bytes
 are written as the characters U+0000..U+00FF inside the fold.
 
-The encoded words then go back to the texts: as a broadcast if they are few enough by
-count, else by a join on the words of each document. Decoding concatenates the binary
-pieces of the ids.
+A fold copies a word's pieces at each merge, so the few words of more than LONG_BYTES bytes
+are merged by a heap of ranks instead, in time n log n, to the same ids.
+
+The encoded words then go back to the texts: the most frequent ones, a bounded number, as a
+broadcast; if the corpus has more, the rest by a join on the words of each document, in
+which no word is frequent. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, buffers, mix, staged
+from .common import POWERS, buffers, lean, mix, staged
 
 #: Small maps of the literal rank map; a power of two.
 MAPS = 1 << 14
@@ -34,7 +37,9 @@ MAX_BROADCAST_WORDS = 4_000_000
 #: No rank is as high.
 NONE = 1 << 30
 #: Words whose ids one pass of numpy puts together.
-PASS_WORDS = 1 << 20
+PASS_WORDS = 1 << 17
+#: Longer words are merged by a heap.
+LONG_BYTES = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,11 +113,52 @@ def words(pattern: str, text_col: str) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
+def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids that the fold gives: a heap of (rank, place) of neighbouring pieces; pieces are a
+    linked list of where they begin."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    after, before, ends = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n + 1)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or ends[j] != end:  # a piece of the pair has been merged since
+            continue
+        gone[j], ends[i], after[i] = 1, end, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a, b in ((before[i], end), (i, ends[after[i]] if after[i] < n else 0)):
+            if a >= 0 and b and (r := ranks.get(word[a:b])) is not None:
+                heapq.heappush(heap, (r, a, b))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : ends[i]]])
+        i = after[i]
+    return out
+
+
+@lean
+def _long_words(batches, ranks):
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        ids = [merge_by_heap(w.encode(), ranks.value) for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(1)], ["word", "ids", "n"])
+
+
 def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
-    """One row per distinct word of the corpus: word, ids."""
-    each = docs.select(F.explode(words(pattern, text_col)).alias("word")).distinct()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.repartition(parts, "word").select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids"))
+    """One row per distinct word of the corpus, as a written table: word, ids, n (occurrences)."""
+    spark = docs.sparkSession
+    each = docs.select(F.explode(words(pattern, text_col)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    short = F.octet_length("word") <= LONG_BYTES
+    made = staged(each.repartition(parts, "word").select("word", F.when(short, encode_word(F.col("word"), rank_map(ranks))).alias("ids"), "n"))
+    shared = spark.sparkContext.broadcast(ranks)
+    long = made.where("ids is null").select("word", "n").mapInArrow(partial(_long_words, ranks=shared), "word string, ids array<int>, n long")
+    return made.where("ids is not null").unionByName(staged(long))
 
 
 def _lists(col):
@@ -153,6 +199,7 @@ def _out(id_col, rows, digests):
 
 
 def _pieces(ranks):
+    """All pieces in order of rank, as bytes, and their bounds."""
     table = sorted(ranks.items(), key=lambda x: x[1])
     top = table[-1][1] + 1
     lengths = np.zeros(top, np.int64)
@@ -171,6 +218,7 @@ def _hashes(col: pa.Array) -> np.ndarray:
     return mix(total[own[1:]] - total[own[:-1]] + lengths.astype(np.uint64))
 
 
+@lean
 def _packed(batches, kind):
     """One row for each batch of the vocabulary: hashes, numbers of ids, ids, as bytes."""
     for batch in batches:
@@ -181,7 +229,7 @@ def _packed(batches, kind):
 
 def _collected(vocabulary: DataFrame, kind):
     """The words' hashes, sorted; where each word's ids begin, and their number; all ids in
-    the type kind. None if two words share a hash."""
+    the type kind. Of words that share a hash none is among them."""
     parts = vocabulary.select("word", "ids").mapInArrow(partial(_packed, kind=kind), "h binary, n binary, ids binary").collect()
     hashes = np.frombuffer(b"".join(r.h for r in parts), np.uint64)
     lengths = np.frombuffer(b"".join(r.n for r in parts), np.int32)
@@ -189,65 +237,103 @@ def _collected(vocabulary: DataFrame, kind):
     del parts
     order = np.argsort(hashes)
     hashes = hashes[order]
-    if (hashes[1:] == hashes[:-1]).any():
-        return None
+    same = np.zeros(len(hashes) + 1, bool)
+    same[1:-1] = hashes[1:] == hashes[:-1]
+    keep = ~(same[1:] | same[:-1])
     starts = np.cumsum(lengths, dtype=np.int32) - lengths
-    return hashes, starts[order], lengths[order], ids
+    return hashes[keep], starts[order][keep], lengths[order][keep], ids
+
 
+def _places(hashes, some):
+    """Where each of some stands in the sorted hashes; -1 if it does not."""
+    if not len(hashes):
+        return np.full(len(some), -1)
+    at = np.minimum(np.searchsorted(hashes, some), len(hashes) - 1)
+    return np.where(hashes[at] == some, at, -1)
 
-def _assemble(batches, vocabulary, ranks, digests):
-    """Batches (id, words), with the broadcast vocabulary."""
+
+@lean
+def _cold(batches, vocabulary):
+    """(row, word) of the distinct words of each of (row, words) that are not broadcast."""
+    hashes = vocabulary.value[0]
+    for batch in batches:
+        values, own = _lists(batch.column(1))
+        coded = values.dictionary_encode()
+        code = coded.indices.to_numpy()
+        lack = np.flatnonzero(_places(hashes, _hashes(coded.dictionary))[code] < 0) if len(code) else code
+        row = np.searchsorted(own, lack, "right") - 1
+        both = np.unique(row * max(1, len(coded.dictionary)) + code[lack])
+        row, code = np.divmod(both, max(1, len(coded.dictionary)))
+        for i in range(0, len(row), 1 << 16):
+            cut = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[cut])), coded.dictionary.take(pa.array(code[cut]))], ["row", "word"])
+
+
+@lean
+def _assemble(batches, vocabulary, pieces, digests):
+    """Batches (id, words[, own words, own ids]): ids from the broadcast vocabulary, else from
+    the document's own words."""
     hashes, starts, lengths, ids = vocabulary.value
-    pieces = _pieces(ranks)
     for batch in batches:
         values, own = _lists(batch.column(1))
         i, n = 0, len(own) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(own, own[i] + PASS_WORDS, "right")) - 1)
             coded = values.slice(own[i], own[j] - own[i]).dictionary_encode()
-            place = np.searchsorted(hashes, _hashes(coded.dictionary))[coded.indices.to_numpy()]
-            yield _out(batch.column(0).slice(i, j - i), list(_gather(ids, starts, lengths, place, own[i : j + 1] - own[i], pieces)), digests)
+            hashed = _hashes(coded.dictionary)
+            place = _places(hashes, hashed)
+            ids_of, starts_of, lengths_of = ids, starts, lengths
+            if (place < 0).any():  # the words that documents of this pass bring along
+                mine, _ = _lists(batch.column(2).slice(i, j - i))
+                lists, _ = _lists(batch.column(3).slice(i, j - i))
+                extra, bounds = _lists(lists)
+                known = {w: k for k, w in enumerate(mine.to_pylist())}
+                lack = np.flatnonzero(place < 0)
+                place[lack] = len(hashes) + np.array([known[w] for w in coded.dictionary.take(pa.array(lack)).to_pylist()])
+                ids_of = np.concatenate((ids, extra.to_numpy()))
+                starts_of = np.concatenate((starts, bounds[:-1] + len(ids)))
+                lengths_of = np.concatenate((lengths, np.diff(bounds)))
+            rows = list(_gather(ids_of, starts_of, lengths_of, place[coded.indices.to_numpy()], own[i : j + 1] - own[i], pieces.value))
+            yield _out(batch.column(0).slice(i, j - i), rows, digests)
             i = j
 
 
-def _fold_join(batches, ranks, digests):
-    """Batches (id, words, own words, own ids): as _assemble, with each document's words."""
-    pieces = _pieces(ranks)
-    for batch in batches:
-        for k in range(batch.num_rows):
-            values, own = _lists(batch.column(1).slice(k, 1))
-            mine, _ = _lists(batch.column(2).slice(k, 1))
-            lists, _ = _lists(batch.column(3).slice(k, 1))
-            ids, bounds = _lists(lists) if len(lists) else (pa.array([], pa.int32()), np.zeros(1, np.int64))
-            place = pc.index_in(values, mine).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = list(_gather(ids.to_numpy(), bounds[:-1], np.diff(bounds), place, own, pieces))
-            yield _out(batch.column(0).slice(k, 1), rows, digests)
+def _least_count(vocabulary: DataFrame, most: int) -> int:
+    """The count from which on words are most at most."""
+    bucket = F.floor(F.log2("n") * 8).cast("int")
+    total = 0
+    for r in vocabulary.groupBy(bucket.alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("b")).collect():
+        total += r.c
+        if total > most:
+            return least if total > r.c else 1 << 62
+        least = r.least
+    return 0
 
 
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """One row per document: id_col, n_tokens, ids (little-endian unsigned 32-bit integers)
     and decoded (the bytes that the ids stand for); with digests, the lowercase hex sha256
-    of either in its place.
+    of either in its place. The rows are a written table.
 
     path is a vocabulary file, which the driver reads. A null or empty text has no ids.
     Each document, also a repeated row, is encoded whole; ids may repeat or be null. No
-    special tokens. Other columns are ignored."""
-    ranks = read_ranks(path)
-    vocabulary = staged(encode_words(docs, ranks, pattern, text_col))
+    special tokens. Words of any length take time n log n. Other columns are ignored."""
+    ranks, spark = read_ranks(path), docs.sparkSession
+    vocabulary = encode_words(docs, ranks, pattern, text_col)
     split = docs.select(F.col(id_col).alias("id"), words(pattern, text_col).alias("words"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids {'string' if digests else 'binary'}, decoded {'string' if digests else 'binary'}"
     kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
-    known = _collected(vocabulary, kind) if vocabulary.count() <= broadcast_words else None
-    if known:
-        shared = docs.sparkSession.sparkContext.broadcast(known)
-        out = split.mapInArrow(partial(_assemble, vocabulary=shared, ranks=ranks, digests=digests), schema)
-    else:
-        row = F.monotonically_increasing_id()
-        split = staged(split.withColumn("row", row))
-        asked = split.select("row", F.explode(F.array_distinct("words")).alias("word"))
-        own = asked.join(vocabulary, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-        joined = split.join(own, "row", "left").select(
+    least = _least_count(vocabulary, broadcast_words)
+    known = _collected(vocabulary.where(F.col("n") >= least), kind)
+    shared, pieces = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(_pieces(ranks))
+    if least or len(known[0]) < vocabulary.count():
+        split = staged(split.withColumn("row", F.monotonically_increasing_id()))
+        asked = split.select("row", "words").mapInArrow(partial(_cold, vocabulary=shared), "row long, word string")
+        own = asked.join(vocabulary.select("word", "ids"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+        split = split.join(own, "row", "left").select(
             "id", "words", F.coalesce(F.col("own.word"), F.array().cast("array<string>")).alias("mine"), F.coalesce(F.col("own.ids"), F.array().cast("array<array<int>>")).alias("lists")
         )
-        out = joined.mapInArrow(partial(_fold_join, ranks=ranks, digests=digests), schema)
+    out = staged(split.mapInArrow(partial(_assemble, vocabulary=shared, pieces=pieces, digests=digests), schema))
+    shared.destroy()
+    pieces.destroy()
     return out.withColumnRenamed("id", id_col)

@@ -6,6 +6,8 @@ once from the batch's own buffers, so no text becomes a Python string here.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import functools
 import tempfile
 import uuid
@@ -33,8 +35,14 @@ POWERS = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint6
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for staged tables: under spark.checkpoint.dir, which all machines
-    share. Only where that is unset, as in tests, is a local folder used."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    share. Where that is unset a local folder will do on one machine; on a cluster it is an
+    error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -43,16 +51,54 @@ def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: later steps
-    survive the loss of executors and nothing is computed twice. Sets the session's size of
-    Arrow batches to ARROW_ROWS, for this write and the plans that follow."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    path = folder or scratch(df.sparkSession)
-    df.write.parquet(path)
+    survive the loss of executors and nothing is computed twice. For the time of the write
+    Arrow batches have ARROW_ROWS rows."""
+    conf, path = df.sparkSession.conf, folder or scratch(df.sparkSession)
+    before = conf.get(ARROW)
+    conf.set(ARROW, ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(ARROW, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
+def lean(task):
+    """A function over batches that leaves no free memory behind in its worker."""
+
+    @functools.wraps(task)
+    def run(*args, **kwargs):
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            _give_back()
+
+    return run
+
+
+def by_frequent_keys(rows: DataFrame, per: DataFrame, key: str, total: int, least: int = 1000, most: int = 100_000) -> DataFrame:
+    """rows left-joined with per (staged; a row for each key, n: how many of rows have it).
+    Keys that many rows have, most of them at most by their counts, are broadcast, so that the
+    shuffled join holds short groups only."""
+    limit = max(least, total // most)
+    hot, rest = F.broadcast(per.where(F.col("n") >= limit).drop("n")), per.where(F.col("n") < limit).drop("n")
+    found = rows.join(hot, key)
+    return found.unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, "left").select(found.columns))
+
+
 #: Rows of ids or spans that a table marked for broadcast has at most.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -156,26 +202,26 @@ def crc_fold(column: str, folds: int):
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an edge list: columns node, component (the smallest node
     reachable). Alternates the large-star and small-star steps, each a shuffle by node,
-    until the edges stay the same; nothing is collected but two sums a round. Nodes
-    without an edge to another node do not occur in the result."""
-    spark = edges.sparkSession
+    until a round leaves all edges as they were, which a join with the edges before tells;
+    nothing is collected but counts. Spark splits the partition of a centre with very many edges.
+    Nodes without an edge to another node do not occur in the result."""
     e = (
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .where("u <> v")
         .distinct()
     )
     e = staged(e)
-    seen = None
-    while True:
+    many = e.count()
+    while many:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smaller, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        before, had = e, many
         e = staged(small.union(smaller.select("u", F.col("m").alias("v"))).distinct())
-        sums = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if sums == seen:
+        many = e.count()
+        if many == had and not e.join(before, ["u", "v"], "left_anti").limit(1).count():
             break
-        seen = sums
     tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

@@ -100,13 +100,33 @@ def test_jaccard_on_blocks_of_one_document(spark, monkeypatch):
     rng = random.Random(9)
     base = prose(rng, 60).split()
     texts = [" ".join(base[:i] + ["new"] + base[i:]) for i in range(0, 60, 3)] + [prose(rng, 30) for _ in range(10)]
-    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 2)
     monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 5)
     monkeypatch.setattr(ngram_join, "SALT_ROWS", 3)
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(docs_of(spark, texts).repartition(8)).collect()}
     assert got == {i: c for i, (_, c) in brute_components(dict(enumerate(texts))).items()}
 
 
+def test_jaccard_ids_that_are_null_or_repeat(spark):
+    rng = random.Random(4)
+    a, b = prose(rng, 40), prose(rng, 60)
+    rows = [(None, a), (None, None), (3, a), (3, a), (5, b), (7, a), (7, b), (9, prose(rng, 20))]
+    got = sorted(ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    by_id = {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None}
+    assert by_id == {3: (36, 3), 5: (56, 3), 7: (56, 3), 9: (16, 9)} and len(got) == 6
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (36, None)]
+
+
+def test_histograms_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 1 << 64, rng.integers(1, 900), np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate((y, x[: rng.integers(0, len(x) + 1)])))
+        h = [np.frombuffer(ngram_join.histogram(v), np.uint8).astype(int) for v in (x, y)]
+        assert np.abs(h[0] - h[1]).sum() <= len(np.setxor1d(x, y))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
