@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, buffers, lean, mix, staged
+from .common import POWERS, buffers, lean, least_count, mix, staged
 
 #: Small maps of the literal rank map; a power of two.
 MAPS = 1 << 14
@@ -298,18 +298,6 @@ def _assemble(batches, vocabulary, pieces, digests):
             i = j
 
 
-def _least_count(vocabulary: DataFrame, most: int) -> int:
-    """The count from which on words are most at most."""
-    bucket = F.floor(F.log2("n") * 8).cast("int")
-    total = 0
-    for r in vocabulary.groupBy(bucket.alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("b")).collect():
-        total += r.c
-        if total > most:
-            return least if total > r.c else 1 << 62
-        least = r.least
-    return 0
-
-
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """One row per document: id_col, n_tokens, ids (little-endian unsigned 32-bit integers)
     and decoded (the bytes that the ids stand for); with digests, the lowercase hex sha256
@@ -323,7 +311,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, id_c
     split = docs.select(F.col(id_col).alias("id"), words(pattern, text_col).alias("words"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids {'string' if digests else 'binary'}, decoded {'string' if digests else 'binary'}"
     kind = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
-    least = _least_count(vocabulary, broadcast_words)
+    least = least_count(vocabulary, broadcast_words)
     known = _collected(vocabulary.where(F.col("n") >= least), kind)
     shared, pieces = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(_pieces(ranks))
     if least or len(known[0]) < vocabulary.count():

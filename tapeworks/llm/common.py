@@ -109,6 +109,17 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
+def least_count(rows: DataFrame, most: int, n: str = "n") -> int:
+    """The count n from which on rows are most at most; 0 if all are."""
+    total = least = 0
+    for r in rows.groupBy(F.floor(F.log2(n) * 8).cast("int").alias("b")).agg(F.count("*").alias("c"), F.min(n).alias("least")).orderBy(F.desc("b")).collect():
+        total += r.c
+        if total > most:
+            return least or 1 << 62
+        least = r.least
+    return 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

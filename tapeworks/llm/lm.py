@@ -1,17 +1,21 @@
 """Scores of texts by a causal self-attention model on subword ids.
 
-A text is its lower-cased words and an end. The network reads and predicts the subword id
-that each word begins with: self-attention over the ids before, in windows of 32 that
-overlap by half, so that every token is scored once, with 16 to 31 tokens before it. It
-gives a distribution over groups of ids; an id within its group, and a word among those
-with its first id, follow the corpus counts. Words that training lacks are, for each first
-id, one event of its own (Witten-Bell), as the base score has one such event for all of
-them; so both are distributions over the same kind of tokens, and compare. All parts
-multiply to the probability of the text.
-
-Counts come from all training texts. The network is trained in numpy, data-parallel: every
-task makes Adam steps on its windows from the same weights, which are averaged, ROUNDS
-times. Every window of the training texts is trained on, in one of the rounds.
+A text is its lower-cased words and an end; a word is its subword ids and an end. The
+probability of a text is a product of three parts, so that over all texts they add up to 1 at most:
+
+* the id that each word begins with, or the end, by a network over the first ids before: self-attention
+  in windows of 32 that overlap by half, so that every token is scored once, with 16 to 31
+  tokens before it;
+* the word among those of its first id, by the corpus counts; words that training
+  lacks have a share of it together (Witten-Bell);
+* for a word that training lacks, all its other ids and its end, by a second network of the same
+  form over the ids of one word, in windows of 16 that overlap by half.
+
+Either network gives a distribution over groups of ids; an id within its group follows the counts.
+
+Counts come from all training texts, and every window of them is trained on, in one of the
+rounds; the second network trains on all distinct words. Training is in numpy, data-parallel: every
+task makes Adam steps on its windows from the same weights, which are averaged.
 """
 
 from __future__ import annotations
@@ -23,26 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, buffers, chunks, crc_fold, mix, staged, words_of
+from .common import SPACES, buffers, chunks, crc_fold, lean, least_count, mix, staged, words_of
 
 END, BEGIN, PAD, IDS = 50_256, 50_257, 50_258, 50_259
-SPAN, HALF, WIDTH, HIDDEN = 32, 16, 16, 32
+#: Inputs of a window of words' first ids, and of one of a word's ids; the last half is scored.
+SPAN, SPELL, WIDTH, HIDDEN = 32, 16, 16, 32
 #: Groups of ids: the most frequent ids alone, the others by clusters of their contexts.
-ALONE, CLUSTERS, KNOWN_IDS, CONTEXTS = 24, 40, 4096, 128
+ALONE, CLUSTERS, KNOWN_IDS, CONTEXTS = 24, 40, 16_384, 128
 GROUPS = ALONE + CLUSTERS
-#: Windows of a task at least; tasks at most, and one more for so many windows.
-TASK_WINDOWS, MAX_TASKS, MORE_WINDOWS = 4096, 64, 1 << 16
+#: Windows of a task at least; tasks of the first so many windows, and one more for each so many.
+TASK_WINDOWS, FEW_TASKS, MORE_WINDOWS = 4096, 64, 1 << 16
 #: Windows of one numpy batch, small enough for a processor's cache.
 ROUNDS, BATCH, RATE = 3, 256, 0.01
-#: Distinct words up to this many are broadcast with counts and first ids, 14 bytes each.
-MAX_BROADCAST_WORDS = 6_000_000
+#: The most frequent words, this many at most, are broadcast with counts and first ids, 18 bytes each.
+MAX_BROADCAST_WORDS = 5_000_000
 #: Words that a task keeps with their ids.
 CACHE_WORDS = 1_000_000
 END_WORD = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
 
 class Lexer:
-    """First subword ids of words, by the words' hashes; a cache of a bounded size."""
+    """Subword ids of words, by the words' hashes; a cache of first ids of a bounded size."""
 
     def __init__(self, ranks, pattern, known=None):
         import tiktoken
@@ -50,10 +55,11 @@ class Lexer:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.hash, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.known = known if known and len(known[0]) else None  # sorted hashes and first ids of many words
+        self.fresh = None  # a list gets the words that are new to the cache: (hash, ids)
 
     def look(self, raw, off, words):
         """The distinct hashes of the words of consecutive texts, each word's place among
-        them, and their first ids."""
+        them, where each is first, and their first ids."""
         each, place, inverse = np.unique(words, return_index=True, return_inverse=True)
         found, lack = np.zeros(len(each), np.int32), np.ones(len(each), bool)
         if self.known:
@@ -61,11 +67,17 @@ class Lexer:
             lack = self.known[0][at] != each
             found = self.known[1][at].astype(np.int32)
         if lack.any():
-            found[lack] = self._spelled(raw, off, each[lack], place[lack])
-        return each, inverse, found
+            found[lack] = self._firsts(raw, off, each[lack], place[lack])
+        return each, inverse, place, found
 
-    def _spelled(self, raw, off, each, place):
-        """First ids of words by their spelling, through the cache."""
+    def ids(self, raw, off, place):
+        """All subword ids of the words at these places."""
+        starts, ends = word_spans(raw, off)
+        data = raw[off[0] : off[-1]].tobytes()
+        return [self.encoding.encode_ordinary(" " + data[a:b].lower().decode()) for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+
+    def _firsts(self, raw, off, each, place):
+        """First ids of words, through the cache."""
         if len(self.hash) > CACHE_WORDS:
             self.hash, self.first = self.hash[:0], self.first[:0]
         at = np.searchsorted(self.hash, each)
@@ -73,10 +85,10 @@ class Lexer:
         inside = at < len(self.hash)
         new[inside] = self.hash[at[inside]] != each[inside]
         if new.any():
-            starts, ends = word_spans(raw, off)
-            data, some = raw[off[0] : off[-1]].tobytes(), place[new]
-            texts = [" " + data[a:b].lower().decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-            first = np.fromiter((self.encoding.encode_ordinary(t)[0] for t in texts), np.int32, len(texts))
+            ids = self.ids(raw, off, place[new])
+            if self.fresh is not None:
+                self.fresh.append((each[new], ids))
+            first = np.fromiter((x[0] for x in ids), np.int32, len(ids))
             self.hash, self.first = np.insert(self.hash, at[new], each[new]), np.insert(self.first, at[new], first)
             at = np.searchsorted(self.hash, each)
         return self.first[at]
@@ -94,29 +106,36 @@ def word_spans(raw, off):
     return np.flatnonzero(keep & ~before), np.flatnonzero(keep & ~after) + 1
 
 
-def windows(first: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of SPAN + 1 ids of texts whose words' first ids are first[bound[i]:bound[i+1]],
-    and each window's text. Its first SPAN ids are inputs; the targets of the last HALF
-    inputs are the ids after them. Every word and end is a target once."""
-    count = np.diff(bound)
-    blocks = (count + 1 + HALF - 1) // HALF  # inputs: begin and the words; targets: words, end
-    size = HALF + blocks * HALF + 1
+def windows(ids: np.ndarray, bound: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of span + 1 ids of sequences ids[bound[i]:bound[i+1]], and each window's
+    sequence. Its first span ids are inputs; the targets of the last half of them are
+    the ids after them. Every id and end is a target once."""
+    half, count = span // 2, np.diff(bound)
+    blocks = (count + 1 + half - 1) // half  # inputs: begin and the ids; targets: ids, end
+    size = half + blocks * half + 1
     starts = np.cumsum(size) - size
     flat = np.full(int(size.sum()), PAD, np.uint16)
-    flat[starts + HALF] = BEGIN
-    at = np.arange(len(first)) - np.repeat(bound[:-1], count) + np.repeat(starts + HALF + 1, count)
-    flat[at] = first
-    flat[starts + HALF + 1 + count] = END
-    text = np.repeat(np.arange(len(count)), blocks)
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = starts[text] + inside * HALF
-    return flat[begin[:, None] + np.arange(SPAN + 1)], text
+    flat[starts + half] = BEGIN
+    at = np.arange(len(ids)) - np.repeat(bound[:-1], count) + np.repeat(starts + half + 1, count)
+    flat[at] = ids
+    flat[starts + half + 1 + count] = END
+    own = np.repeat(np.arange(len(count)), blocks)
+    inside = np.arange(len(own)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = starts[own] + inside * half
+    return flat[begin[:, None] + np.arange(span + 1)], own
+
 
+def word_windows(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    bound = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+    return windows(np.fromiter((i for x in ids for i in x), np.int64, int(bound[-1])), bound, SPELL)
 
+
+@lean
 def _counted(batches, ranks, pattern):
     """Rows (kind, key, n, first, ids) of training texts: 0 words by hash, 1 windows
-    to train on."""
+    to train on, 2 the windows of a word, by its hash (n: which of them)."""
     lexer = Lexer(ranks.value, pattern)
+    lexer.fresh = []
     held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def out(kind, key, n, first=None, ids=None):
@@ -139,7 +158,11 @@ def _counted(batches, ranks, pattern):
         raw, off = buffers(batch.column(1))
         for i, j in chunks(off):
             words, bound = words_of(raw, off[i : j + 1])
-            each, inverse, first = lexer.look(raw, off[i : j + 1], words)
+            each, inverse, _, first = lexer.look(raw, off[i : j + 1], words)
+            for key, spelled in lexer.fresh:
+                got, own = word_windows(spelled)
+                yield from out(2, key[own].view(np.int64), np.arange(len(own)) - np.searchsorted(own, own), None, got)
+            lexer.fresh.clear()
             n = np.bincount(inverse, minlength=len(each)).astype(np.int64)
             each, n, first = np.append(each, END_WORD), np.append(n, j - i), np.append(first, np.int32(END))
             keys = np.concatenate((held[0], each))
@@ -157,15 +180,32 @@ def _counted(batches, ranks, pattern):
     yield from out(0, held[0].view(np.int64), held[1], held[2])
 
 
-def _contexts(batches, rank):
-    """Sums over windows: how often an id (by rank) has each of the frequent ids around."""
-    total = np.zeros((KNOWN_IDS, CONTEXTS))
+def _ids(batches, span):
     for batch in batches:
-        ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, SPAN + 1)
+        if batch.num_rows:
+            yield np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint16).reshape(-1, span + 1)
+
+
+@lean
+def _totals(batches, span):
+    """How often each id is a target of windows."""
+    total = np.zeros(IDS, np.int64)
+    for ids in _ids(batches, span):
+        total += np.bincount(ids[:, span // 2 + 1 :].ravel(), minlength=IDS)
+    total[PAD] = 0
+    a = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(total[a])], ["key", "n"])
+
+
+@lean
+def _contexts(batches, rank, span):
+    """Sums over windows: how often an id (by rank) has each of the frequent ids around."""
+    total = np.zeros((KNOWN_IDS, CONTEXTS), np.int64)
+    for ids in _ids(batches, span):
         for part in np.array_split(ids, max(1, len(ids) // 4096)):
             r = rank[part]
             w, p = np.nonzero(r < CONTEXTS)
-            around = np.bincount(w * CONTEXTS + r[w, p], minlength=len(part) * CONTEXTS).reshape(-1, CONTEXTS).astype(np.float32)
+            around = np.bincount(w * CONTEXTS + r[w, p], minlength=len(part) * CONTEXTS).reshape(-1, CONTEXTS)
             w, p = np.nonzero(r < KNOWN_IDS)
             own = r[w, p]
             order = np.argsort(own, kind="stable")
@@ -173,7 +213,7 @@ def _contexts(batches, rank):
             if len(each):
                 total[each] += np.add.reduceat(around[w[order]], head, axis=0)
     a, b = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array((a * CONTEXTS + b).astype(np.int64)), pa.array(total[a, b].astype(np.int64))], ["key", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array((a * CONTEXTS + b).astype(np.int64)), pa.array(total[a, b])], ["key", "n"])
 
 
 def _clusters(points, weights, k, rounds=20):
@@ -187,9 +227,9 @@ def _clusters(points, weights, k, rounds=20):
     return own
 
 
-def _start(total: np.ndarray, table: np.ndarray) -> tuple[dict, np.ndarray]:
-    """First weights and the group of each id. total: counts of first ids; table: contexts
-    of the ids in order of frequency."""
+def _start(total: np.ndarray, table: np.ndarray, span: int = SPAN) -> tuple[dict, np.ndarray]:
+    """First weights and the group of each id. total: counts of ids; table: contexts of the
+    ids in order of frequency."""
     draw = np.random.default_rng(5)
     order = np.argsort(-total, kind="stable")[:KNOWN_IDS]
     share = np.sqrt(table / np.maximum(table.sum(axis=1, keepdims=True), 1))
@@ -205,28 +245,29 @@ def _start(total: np.ndarray, table: np.ndarray) -> tuple[dict, np.ndarray]:
     emb = draw.normal(0, 0.05, (IDS, WIDTH))
     emb[order] += 0.5 * points
     w = {
-        "E": emb, "P": draw.normal(0, 0.02, (SPAN, WIDTH)), "Q": draw.normal(0, 0.1, (WIDTH, WIDTH)), "K": draw.normal(0, 0.1, (WIDTH, WIDTH)), "V": np.eye(WIDTH),
+        "E": emb, "P": draw.normal(0, 0.02, (span, WIDTH)), "Q": draw.normal(0, 0.1, (WIDTH, WIDTH)), "K": draw.normal(0, 0.1, (WIDTH, WIDTH)), "V": np.eye(WIDTH),
         "A": draw.normal(0, 0.25, (2 * WIDTH, HIDDEN)), "a": np.zeros(HIDDEN), "B": np.zeros((HIDDEN, GROUPS)),
         "b": np.log((np.bincount(group, weights=total, minlength=GROUPS) + 0.5) / (total.sum() + 0.5 * GROUPS)),
     }
     return {k: v.astype(np.float32) for k, v in w.items()}, group
 
 
-_CAUSAL = np.where(np.arange(SPAN)[None, :] <= HALF + np.arange(HALF)[:, None], 0, -1e9).astype(np.float32)
+_CAUSAL = {n: np.where(np.arange(n)[None, :] <= n // 2 + np.arange(n // 2)[:, None], 0, -1e9).astype(np.float32) for n in (SPAN, SPELL)}
 
 
 def forward(w: dict, x: np.ndarray, keep: bool = False, pad: int = PAD):
-    """Log-probabilities of the groups after each of the last HALF inputs: batches of masked
-    self-attention over windows x of SPAN ids."""
-    n = len(x)
+    """Log-probabilities of the groups after each of the last half of the inputs: batches of
+    masked self-attention over windows x of ids."""
+    n, span = x.shape
+    half = span // 2
     emb = w["E"][x]
     emb += w["P"]
-    late = np.ascontiguousarray(emb[:, HALF:])
+    late = np.ascontiguousarray(emb[:, half:])
     flat, own = emb.reshape(-1, WIDTH), late.reshape(-1, WIDTH)
-    q, k, v = (own @ w["Q"]).reshape(n, HALF, WIDTH), (flat @ w["K"]).reshape(n, SPAN, WIDTH), (flat @ w["V"]).reshape(n, SPAN, WIDTH)
+    q, k, v = (own @ w["Q"]).reshape(n, half, WIDTH), (flat @ w["K"]).reshape(n, span, WIDTH), (flat @ w["V"]).reshape(n, span, WIDTH)
     s = q @ k.transpose(0, 2, 1)
     s *= s.dtype.type(WIDTH**-0.5)
-    s += _CAUSAL
+    s += _CAUSAL[span]
     if (x == pad).any():
         s += np.where(x == pad, np.float32(-1e9), np.float32(0))[:, None, :]
     s -= s.max(axis=2, keepdims=True)
@@ -240,58 +281,71 @@ def forward(w: dict, x: np.ndarray, keep: bool = False, pad: int = PAD):
     o += w["b"]
     o -= o.max(axis=1, keepdims=True)
     o -= np.log(np.exp(o).sum(axis=1, keepdims=True))
-    o, h, r = (a.reshape(n, HALF, -1) for a in (o, h, r))
+    o, h, r = (a.reshape(n, half, -1) for a in (o, h, r))
     return (o, (emb, late, q, k, v, s, h, r)) if keep else o
 
 
 def gradients(w: dict, x: np.ndarray, group: np.ndarray, pad: int = PAD) -> tuple[float, dict]:
-    """Mean loss of windows of SPAN + 1 ids, and its gradients."""
-    inputs, target = x[:, :SPAN], x[:, HALF + 1 :]
+    """Mean loss of windows of ids (the last only a target), and its gradients; that of E as
+    (ids of the inputs, their rows)."""
+    span = x.shape[1] - 1
+    half = span // 2
+    inputs, target = x[:, :span], x[:, half + 1 :]
     o, (emb, late, q, k, v, s, h, r) = forward(w, inputs, keep=True, pad=pad)
-    real = target != pad
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    real = (target != pad).ravel()
     n = max(1, int(real.sum()))
-    goal = group[target]
-    loss = -float(np.take_along_axis(o, goal[:, :, None], 2)[..., 0][real].sum()) / n
+    goal, at = group[target].ravel(), np.arange(real.size)
+    o = flat(o)
+    loss = -float(o[at, goal][real].sum()) / n
     do = np.exp(o)
-    np.put_along_axis(do, goal[:, :, None], np.take_along_axis(do, goal[:, :, None], 2) - 1, 2)
-    do *= real[:, :, None] / np.float32(n)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"B": flat(r).T @ flat(do), "b": flat(do).sum(axis=0)}
-    dr = (do @ w["B"].T) * (r > 0)
-    g |= {"A": flat(h).T @ flat(dr), "a": flat(dr).sum(axis=0)}
-    dh = dr @ w["A"].T
-    dmix, dlate = dh[..., :WIDTH], dh[..., WIDTH:]
+    do[at, goal] -= 1
+    do *= (real / np.float32(n)).astype(do.dtype)[:, None]
+    g = {"B": flat(r).T @ do, "b": do.sum(axis=0)}
+    dr = do @ w["B"].T
+    dr *= flat(r) > 0
+    g |= {"A": flat(h).T @ dr, "a": dr.sum(axis=0)}
+    dh = (dr @ w["A"].T).reshape(h.shape)
+    dmix, dlate = np.ascontiguousarray(dh[..., :WIDTH]), dh[..., WIDTH:]
     ds = dmix @ v.transpose(0, 2, 1)
     dv = s.transpose(0, 2, 1) @ dmix
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g |= {"Q": flat(late).T @ flat(dq), "K": flat(emb).T @ flat(dk), "V": flat(emb).T @ flat(dv)}
-    demb = dk @ w["K"].T + dv @ w["V"].T
-    demb[:, HALF:] += dlate + dq @ w["Q"].T
+    ds -= np.einsum("ijk,ijk->ij", ds, s)[:, :, None]
+    ds *= s
+    ds *= ds.dtype.type(WIDTH**-0.5)
+    dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
+    dv = flat(dv)
+    g |= {"Q": flat(late).T @ dq, "K": flat(emb).T @ dk, "V": flat(emb).T @ dv}
+    demb = (dk @ w["K"].T + dv @ w["V"].T).reshape(emb.shape)
+    demb[:, half:] += dlate
+    demb[:, half:] += (dq @ w["Q"].T).reshape(late.shape)
     g["P"] = demb.sum(axis=0)
-    g["E"] = np.zeros_like(w["E"])
-    ids, inverse = np.unique(inputs, return_inverse=True)
-    order = np.argsort(inverse.ravel(), kind="stable")
-    head = np.searchsorted(inverse.ravel()[order], np.arange(len(ids)))
-    g["E"][ids] = np.add.reduceat(flat(demb)[order], head, axis=0)
+    every = inputs.ravel()
+    order = np.argsort(every, kind="stable")
+    ids = every[order]
+    head = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    g["E"] = (ids[head], np.add.reduceat(flat(demb)[order], head, axis=0))
     return loss, g
 
 
 def train(w: dict, x: np.ndarray, group: np.ndarray, rate: float = RATE) -> tuple[dict, float]:
-    """One pass of Adam over windows; the mean loss of the last tenth. Ids that the windows
-    lack do not move, so only the others' rows of E take part."""
+    """One pass of Adam over windows; the mean loss of the last tenth. A step moves the rows
+    of E of the ids in its windows only."""
     ids, inverse = np.unique(np.append(x, np.uint16(PAD)), return_inverse=True)
-    x, pad, group, whole = inverse[:-1].reshape(x.shape), int(inverse[-1]), group[ids], w["E"].copy()
+    x, pad, group, whole = inverse[:-1].astype(np.uint16).reshape(x.shape), int(inverse[-1]), group[ids], w["E"].copy()
     w = {k: (v[ids] if k == "E" else v.copy()) for k, v in w.items()}
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     losses = []
     for step, i in enumerate(range(0, len(x), BATCH), 1):
         loss, g = gradients(w, x[i : i + BATCH], group, pad)
         losses.append(loss)
+        one, two = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
         for k, d in g.items():
-            m[k] += 0.1 * (d - m[k])
-            v[k] += 0.01 * (d * d - v[k])
-            w[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            at, d = d if k == "E" else (slice(None), d)
+            mk, vk = m[k][at], v[k][at]
+            mk += np.float32(0.1) * (d - mk)
+            vk += np.float32(0.01) * (d * d - vk)
+            m[k][at], v[k][at] = mk, vk
+            w[k][at] -= one * mk / (np.sqrt(two * vk) + np.float32(1e-8))
     whole[ids] = w["E"]
     return w | {"E": whole}, float(np.mean(losses[-max(1, len(losses) // 10) :])) if losses else 0.0
 
@@ -316,55 +370,72 @@ def _add(total: dict, n: int, rows: bytes, moves: bytes, rest: bytes) -> None:
 TRAINED = "n long, loss double, rows binary, moves binary, rest binary"
 
 
-def _trained(batches, weights, turn):
+@lean
+def _trained(batches, weights, turn, span):
     """How this task's windows of the turn move the weights, and how many they were."""
     w, group = weights.value
-    parts = [np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SPAN + 1) for b in batches if b.num_rows]
-    x = np.concatenate(parts) if parts else np.zeros((0, SPAN + 1), np.uint16)
+    parts = list(_ids(batches, span))
+    x = np.concatenate(parts) if parts else np.zeros((0, span + 1), np.uint16)
     if len(x):
         after, loss = train(w, x, group, RATE / (1 + turn))
         yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([loss]), *(pa.array([v], pa.binary()) for v in _packed(after, w))], ["n", "loss", "rows", "moves", "rest"])
 
 
+class Net:
+    """A trained network: weights, the group of each id, and the log share of an id in it."""
+
+    def __init__(self, weights, group, total):
+        self.weights, self.group = weights, group
+        self.inside = np.log((total + 0.1) / np.bincount(group, weights=total + 0.1, minlength=GROUPS)[group])
+
+
 class Model:
     """What scoring needs; of a bounded size."""
 
-    def __init__(self, weights, group, inside, types, total):
-        self.weights, self.group, self.inside = weights, group, inside
-        self.types, self.total = types, total
+    def __init__(self, texts: Net, words: Net, types, total):
+        self.texts, self.words, self.types, self.total = texts, words, types, total
         self.training, self.distinct = int(total.sum()), int(types.sum())
 
 
-def learn(counted: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the staged counts of words (key, first, n)."""
-    spark = counted.sparkSession
-    counts = staged(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
-    per = counts.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
-    total, types = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
-    total[per["first"].to_numpy()], types[per["first"].to_numpy()] = per["n"].to_numpy(), per["types"].to_numpy()
-    rank = np.full(IDS, KNOWN_IDS, np.int64)
+def fit(rows: DataFrame, span: int) -> Net:
+    """The network of staged windows (key, ids), each trained on in one of the rounds."""
+    spark = rows.sparkSession
+
+    def summed(task, size):
+        got, out = rows.select("ids").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow(), np.zeros(size, np.int64)
+        out[got["key"].to_numpy()] = got["n"].to_numpy()
+        return out
+
+    total = summed(partial(_totals, span=span), IDS)
     order = np.argsort(-total, kind="stable")[:KNOWN_IDS]
+    rank = np.full(IDS, KNOWN_IDS, np.int64)
     rank[order] = np.arange(len(order))
-    picked = counted.where("kind = 1")
-    sums = picked.select("ids").mapInArrow(partial(_contexts, rank=rank), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(KNOWN_IDS * CONTEXTS)
-    table[sums["key"].to_numpy()] = sums["n"].to_numpy()
-    w, group = _start(total, table.reshape(KNOWN_IDS, CONTEXTS))
-    many = picked.count()
-    tasks = max(1, min(MAX_TASKS + many // MORE_WINDOWS, many // TASK_WINDOWS))
+    w, group = _start(total, summed(partial(_contexts, rank=rank, span=span), KNOWN_IDS * CONTEXTS).reshape(KNOWN_IDS, CONTEXTS), span)
+    many = rows.count()
+    tasks = max(1, min(FEW_TASKS + many // MORE_WINDOWS, many // TASK_WINDOWS))
     for turn in range(ROUNDS if many else 0):
-        own = picked.where(F.pmod("key", F.lit(ROUNDS)) == turn).select("key", "ids")
+        own = rows.where(F.pmod("key", F.lit(ROUNDS)) == turn).select("key", "ids")
         own = own.repartition(tasks, F.xxhash64("key")).sortWithinPartitions("key")
         shared = spark.sparkContext.broadcast((w, group))
-        made = staged(own.mapInArrow(partial(_trained, weights=shared, turn=turn), TRAINED))
+        made = staged(own.mapInArrow(partial(_trained, weights=shared, turn=turn, span=span), TRAINED))
         seen, moves = 0, {k: np.zeros(v.shape) for k, v in w.items()}
         for r in made.toLocalIterator():  # one task's moves at a time
             seen += r.n
             _add(moves, r.n, r.rows, r.moves, r.rest)
         w = {k: (v + moves[k] / max(1, seen)).astype(np.float32) for k, v in w.items()}
-    mass = np.bincount(group, weights=total + 0.1, minlength=GROUPS)
-    inside = np.log((total + 0.1) / mass[group])
-    return Model(w, group, inside, types, total), counts
+        shared.destroy()
+    return Net(w, group, total)
+
+
+def learn(counted: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the staged counts of words (key, first, n)."""
+    counts = staged(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+    per = counts.groupBy("first").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
+    total, types = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+    total[per["first"].to_numpy()], types[per["first"].to_numpy()] = per["n"].to_numpy(), per["types"].to_numpy()
+    texts = fit(counted.where("kind = 1").select("key", "ids"), SPAN)
+    spelled = counted.where("kind = 2").groupBy("key", "n").agg(F.first("ids").alias("ids"))  # each word once
+    return Model(texts, fit(staged(spelled.select(F.xxhash64("key", "n").alias("key"), "ids")), SPELL), types, total), counts
 
 
 def _arrays(batches):
@@ -374,102 +445,122 @@ def _arrays(batches):
 
 
 def _broadcast_counts(counts: DataFrame):
-    parts = counts.select("key", F.col("n").cast("int"), "first").mapInArrow(_arrays, "key binary, n binary, first binary").collect()
-    key, n, first = (np.frombuffer(b"".join(r[c] for r in parts), t) for c, t in (("key", np.uint64), ("n", np.int32), ("first", np.uint16)))
+    parts = counts.select("key", "n", "first").mapInArrow(_arrays, "key binary, n binary, first binary").collect()
+    key, n, first = (np.frombuffer(b"".join(r[c] for r in parts), t) for c, t in (("key", np.uint64), ("n", np.int64), ("first", np.uint16)))
     order = np.argsort(key)
     return key[order], n[order], first[order]
 
 
 def _lexical(model, first, c):
-    """Log-probability of words of the counts c among those with their first id: a word that
-    training lacks is new with the share of its distinct words in their occurrences."""
+    """Log-probability of words of the counts c among those with their first id; of all that
+    training lacks together, for c = 0: the share of distinct words in the occurrences."""
     t, n = np.maximum(model.types[first], 1), model.total[first]
-    return np.where(first == END, 0.0, np.log(np.where(c > 0, c, t) / (n + t)))
-
-
-def _attended(model, first, bound):
-    """Natural-log probability of the first ids and the end of each text."""
-    out = np.zeros(len(bound) - 1)
-    got, text = windows(first, bound)
-    group = model.group
-    for i in range(0, len(got), BATCH):
-        x = got[i : i + BATCH]
-        target = x[:, HALF + 1 :]
-        o = np.take_along_axis(forward(model.weights, x[:, :SPAN]), group[target][:, :, None], 2)[..., 0].astype(float)
-        o = np.where(target == PAD, 0.0, o + model.inside[target])
-        out += np.bincount(text[i : i + BATCH], weights=o.sum(axis=1), minlength=len(out))
+    return np.log(np.where(c > 0, c, t) / (n + t))
+
+
+def attended(net: Net, ids, own, many: int, skip: bool = False) -> np.ndarray:
+    """Natural-log probability of the ids and the end of each of many sequences, by their
+    windows; with skip, of what follows its first id."""
+    out, span = np.zeros(many), ids.shape[1] - 1
+    for i in range(0, len(ids), BATCH):
+        x = ids[i : i + BATCH]
+        target = x[:, span // 2 + 1 :]
+        o = np.take_along_axis(forward(net.weights, x[:, :span]), net.group[target][:, :, None], 2)[..., 0].astype(float)
+        o = np.where(target == PAD, 0.0, o + net.inside[target])
+        if skip:
+            o[x[:, span // 2] == BEGIN, 0] = 0
+        out += np.bincount(own[i : i + BATCH], weights=o.sum(axis=1), minlength=many)
     return out
 
 
-SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def spelled(model: Model, ids: list[list[int]]) -> np.ndarray:
+    """Natural-log probability of words' ids after their first, and of their ends."""
+    return attended(model.words, *word_windows(ids), len(ids), skip=True) if ids else np.zeros(0)
 
 
-def _scored(batches, ranks, pattern, model, counts):
-    """Batches (id, held_out, text), with the broadcast counts."""
-    m = model.value
-    key, n, first_of = counts.value
-    lexer = Lexer(ranks.value, pattern, (key, first_of))
-    floor = np.log10(m.training + m.distinct + 1)
+class Scorer:
+    """Scores consecutive texts with the model and the counts of words at hand."""
 
-    def known(hashes):
-        at = np.minimum(np.searchsorted(key, hashes), max(0, len(key) - 1))
-        return np.where(key[at] == hashes, n[at], 0) if len(key) else np.zeros(len(hashes), np.int64)
+    def __init__(self, ranks, pattern, model, counts):
+        self.model = model.value
+        self.key, self.n, first = counts.value
+        self.lexer = Lexer(ranks.value, pattern, (self.key, first))
+        self.floor = np.log10(self.model.training + self.model.distinct + 1)
 
-    end = int(known(np.array([END_WORD]))[0])
-    for batch in batches:
-        raw, off = buffers(batch.column(2))
-        for i, j in chunks(off):
-            words, bound = words_of(raw, off[i : j + 1])
-            each, inverse, first = lexer.look(raw, off[i : j + 1], words)
-            c = known(each)
-            text = np.repeat(np.arange(j - i), np.diff(bound))
-            sums = lambda v: np.bincount(text, weights=v[inverse], minlength=j - i)  # noqa: B023, E731
-            score = (_attended(m, first[inverse], bound) + sums(_lexical(m, first, c))) / np.log(10)
-            base = sums(np.log10(c + 1) - floor) + np.log10(end + 1) - floor
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(bound) + 1), pa.array(sums((c > 0).astype(float)).astype(np.int64) + int(end > 0)),
-                    pa.array(np.full(j - i, m.training, np.int64)), pa.array(base), pa.array(score),
-                ],
-                ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    def known(self, hashes):
+        if not len(self.key):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
+        return np.where(self.key[at] == hashes, self.n[at], 0)
 
+    def read(self, raw, off):
+        """Of the texts: bounds of words, the distinct words' hashes, places, first ids and
+        counts, each word's place among them, and each word's text."""
+        words, bound = words_of(raw, off)
+        each, inverse, place, first = self.lexer.look(raw, off, words)
+        return bound, each, inverse, place, first, self.known(each), np.repeat(np.arange(len(off) - 1), np.diff(bound))
 
-def _attention_only(batches, ranks, pattern, model):
-    """(row, n_tokens, attended): the part of the score that needs no word counts."""
-    lexer = Lexer(ranks.value, pattern)
+
+SCORED = "n_tokens long, n_known long, base_score double, score double"
+
+
+@lean
+def _scored(batches, ranks, pattern, model, counts, complete):
+    """Batches (.., text) to (.., n_tokens, n_known, base_score, score) by the broadcast counts. If these
+    are complete, a word that they lack is one that training lacks; else it is left to _word_rows."""
+    scorer = Scorer(ranks, pattern, model, counts)
+    m, floor = scorer.model, scorer.floor
+    end = int(scorer.known(np.array([END_WORD]))[0])
     for batch in batches:
-        raw, off = buffers(batch.column(1))
+        raw, off = buffers(batch.column(batch.num_columns - 1))
         for i, j in chunks(off):
-            words, bound = words_of(raw, off[i : j + 1])
-            _, inverse, first = lexer.look(raw, off[i : j + 1], words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bound) + 1), pa.array(_attended(model.value, first[inverse], bound) / np.log(10))], ["row", "n_tokens", "attended"])
+            bound, each, inverse, place, first, c, text = scorer.read(raw, off[i : j + 1])
+            word = np.zeros(len(each))
+            told = np.ones(len(each), bool) if complete else c > 0
+            word[told] = _lexical(m, first[told], c[told])
+            new = np.flatnonzero(c == 0) if complete else np.zeros(0, int)
+            word[new] += spelled(m, scorer.lexer.ids(raw, off[i : j + 1], place[new]) if len(new) else [])
+            sums = lambda v: np.bincount(text, weights=v[inverse], minlength=j - i)  # noqa: B023, E731
+            got, own = windows(first[inverse], bound)
+            score = (attended(m.texts, got, own, j - i) + sums(word)) / np.log(10)
+            base = sums(np.where(told, np.log10(c + 1) - floor, 0.0)) + np.log10(end + 1) - floor
+            known = sums((c > 0).astype(float)).astype(np.int64) + int(end > 0)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)), pa.array(np.diff(bound) + 1), pa.array(known), pa.array(base), pa.array(score)],
+                [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score"],
+            )
 
 
-def _word_rows(batches, ranks, pattern, model):
-    """(row, key, m, first): distinct words of each text; the way for large vocabularies."""
-    lexer = Lexer(ranks.value, pattern)
+@lean
+def _word_rows(batches, ranks, pattern, model, counts):
+    """(row, key, m, first, spelled): the distinct words of each text that are not broadcast."""
+    scorer = Scorer(ranks, pattern, model, counts)
     for batch in batches:
         rows = batch.column(0).to_numpy(zero_copy_only=False)
         raw, off = buffers(batch.column(1))
         for i, j in chunks(off):
-            words, bound = words_of(raw, off[i : j + 1])
-            each, inverse, first = lexer.look(raw, off[i : j + 1], words)
-            text = np.repeat(np.arange(j - i), np.diff(bound))
-            both, m = np.unique(text * len(each) + inverse, return_counts=True)
+            _, each, inverse, place, first, c, text = scorer.read(raw, off[i : j + 1])
+            log = np.zeros(len(each))
+            new = np.flatnonzero(c == 0)
+            log[new] = spelled(scorer.model, scorer.lexer.ids(raw, off[i : j + 1], place[new]) if len(new) else [])
+            lack = c[inverse] == 0
+            both, m = np.unique(text[lack] * max(1, len(each)) + inverse[lack], return_counts=True)
             t, e = np.divmod(both, max(1, len(each)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i:j][t]), pa.array(each[e].view(np.int64)), pa.array(m.astype(np.int64)), pa.array(first[e])], ["row", "key", "m", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i:j][t]), pa.array(each[e].view(np.int64)), pa.array(m.astype(np.int64)), pa.array(first[e]), pa.array(log[e] / np.log(10))], ["row", "key", "m", "first", "spelled"])
 
 
 def lm_scores(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 7, hold_out: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """One row per document: id_col, held_out, n_tokens (words and the end), n_known (those
     that occur in training), train_tokens, base_score (log10, add-one unigrams of words) and
-    score (log10 probability of the text under the model).
+    score (log10 probability of the text under the model). The rows are a written table.
 
     Only texts whose crc32 of the id modulo folds is not hold_out are learned from; null
     ids are learned from. A null or empty text is only its end. Repeated rows count and
-    are scored each. Texts of any length are scored whole. Without training texts nothing is
-    known and the model is uniform over groups. Other columns are ignored."""
+    are scored each. Texts and words of any length are scored whole. Without training texts nothing is
+    known and the model is uniform over groups. Other columns are ignored.
+
+    The counts of the most frequent words are broadcast. If there are more words, the others
+    are joined by word, in which none is frequent; the scores are the same."""
     spark = docs.sparkSession
     held = F.coalesce(crc_fold("id", folds) == hold_out, F.lit(False))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
@@ -477,36 +568,30 @@ def lm_scores(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int
     counted = staged(texts.where(~F.col("held_out")).select("id", "text").mapInArrow(partial(_counted, ranks=shared, pattern=pattern), "kind int, key long, n long, first int, ids binary"))
     found, counts = learn(counted)
     model = spark.sparkContext.broadcast(found)
-    if counts.count() <= broadcast_words:
-        known = spark.sparkContext.broadcast(_broadcast_counts(counts))
-        out = texts.select("id", "held_out", "text").mapInArrow(partial(_scored, ranks=shared, pattern=pattern, model=model, counts=known), SCORED)
+    least = least_count(counts, broadcast_words)
+    known = spark.sparkContext.broadcast(_broadcast_counts(counts.where((F.col("n") >= least) | (F.col("first") == END))))
+    parts = {"ranks": shared, "pattern": pattern, "model": model, "counts": known}
+    if not least:
+        out = staged(texts.select("id", "held_out", "text").mapInArrow(partial(_scored, complete=True, **parts), f"id long, held_out boolean, {SCORED}"))
     else:
-        rows = staged(texts.withColumn("row", F.monotonically_increasing_id()))
-        end = (counts.where(F.col("first") == END).agg(F.coalesce(F.max("n"), F.lit(0))).first() or [0])[0]
-        floor = float(np.log10(found.training + found.distinct + 1))
-        words = rows.select("row", "text").mapInArrow(partial(_word_rows, ranks=shared, pattern=pattern, model=model), "row long, key long, m long, first int")
+        rows = staged(texts.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text"))
+        words = rows.select("row", "text").mapInArrow(partial(_word_rows, **parts), "row long, key long, m long, first int, spelled double")
         per = spark.createDataFrame([(int(i), float(found.types[i]), float(found.total[i])) for i in np.flatnonzero(found.total)], "first int, t double, total double")
-        c = F.coalesce("n", F.lit(0))
+        c, floor = F.coalesce("n", F.lit(0)), float(np.log10(found.training + found.distinct + 1))
         t, total = F.greatest(F.coalesce("t", F.lit(0.0)), F.lit(1.0)), F.coalesce("total", F.lit(0.0))
         sums = (
-            words.join(counts.select("key", "n"), "key", "left")
-            .join(F.broadcast(per), "first", "left")
+            words.join(counts.where(F.col("n") < least).select("key", "n"), "key", "left")
+            .join(F.broadcast(per), "first", "left")  # a row for each id
             .groupBy("row")
             .agg(
                 F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("words_known"),
                 F.sum(F.col("m") * (F.log10(c + 1) - floor)).alias("words_base"),
-                F.sum(F.col("m") * F.log10(F.when(c > 0, c).otherwise(t) / (total + t))).alias("words_score"),
+                F.sum(F.col("m") * (F.log10(F.when(c > 0, c).otherwise(t) / (total + t)) + F.when(c > 0, 0.0).otherwise(F.col("spelled")))).alias("words_score"),
             )
         )
-        apart = rows.select("row", "text").mapInArrow(partial(_attention_only, ranks=shared, pattern=pattern, model=model), "row long, n_tokens long, attended double")
-        zero = F.lit(0.0)
-        out = rows.select("row", "id", "held_out").join(apart, "row").join(sums, "row", "left").select(
-            "id",
-            "held_out",
-            "n_tokens",
-            (F.coalesce("words_known", F.lit(0)) + int(end > 0)).alias("n_known"),
-            F.lit(found.training).alias("train_tokens"),
-            (F.coalesce("words_base", zero) + float(np.log10(end + 1)) - floor).alias("base_score"),
-            (F.col("attended") + F.coalesce("words_score", zero)).alias("score"),
-        )
-    return out.withColumnRenamed("id", id_col)
+        apart = rows.mapInArrow(partial(_scored, complete=False, **parts), f"row long, id long, held_out boolean, {SCORED}")
+        more = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        out = staged(apart.join(sums, "row", "left").select("id", "held_out", "n_tokens", more("n_known", "words_known"), more("base_score", "words_base"), more("score", "words_score")))
+    for b in (shared, model, known):
+        b.destroy()
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(found.training).cast("long").alias("train_tokens"), "base_score", "score")
