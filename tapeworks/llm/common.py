@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Words are runs of anything but these bytes; A-Z are lowered, nothing else is.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -99,14 +100,15 @@ def by_frequent_keys(rows: DataFrame, per: DataFrame, key: str, total: int, leas
     return found.unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, "left").select(found.columns))
 
 
-#: Rows of ids or spans that a table marked for broadcast has at most.
+#: Rows, and elements of their arrays, that a table marked for broadcast has at most.
 MAX_BROADCAST_ROWS = 500_000
 
 
 def few(df: DataFrame) -> DataFrame:
-    """A staged table of short rows, marked for broadcast if they are few by count; else
-    as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    """A staged table of short rows, marked for broadcast if they and what is in their arrays
+    are few by count; else as it is, for a shuffled join."""
+    inner = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, ArrayType)]
+    return F.broadcast(df) if sum(df.agg(F.count("*"), *inner).first()) <= MAX_BROADCAST_ROWS else df
 
 
 def least_count(rows: DataFrame, most: int, n: str = "n") -> int:

@@ -242,6 +242,10 @@ def brute_chain(pos, opos):
     return max(best)
 
 
+def chain_score(chain, pos, opos):
+    return passages.K * len(chain) - passages.GAP_COST * (pos[chain[-1]] - pos[chain[0]] + opos[chain[-1]] - opos[chain[0]])
+
+
 def test_chains_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -250,12 +254,9 @@ def test_chains_against_brute_force():
         pos, opos = (np.array(c) for c in zip(*pairs, strict=True))
         found = passages.chains(pos, opos)
         assert sorted(np.concatenate(found).tolist()) == list(range(len(pos)))
-        c = found[0] if not ((np.diff(opos) > 0).all() and (np.diff(pos) > 0).all()) else max(found, key=len)
         for chain in found:
             assert (np.diff(pos[chain]) > 0).all() and (np.diff(opos[chain]) > 0).all()
-        if len(found[0]) == len(c):
-            score = passages.K * len(c) - passages.GAP_COST * (pos[c[-1]] - pos[c[0]] + opos[c[-1]] - opos[c[0]])
-            assert score <= brute_chain(pos, opos) + 1e-9
+        assert max(chain_score(c, pos, opos) for c in found) == pytest.approx(brute_chain(pos, opos))
 
 
 def test_repeated_passages(spark):
@@ -326,6 +327,69 @@ def test_passage_three_times_in_a_document(spark):
     assert not set(part) & set(passages.without_repeats(df, passages.repeated_passages(df)).where("doc_id = 1").first().text.split())
 
 
+def test_parts_of_a_passage_in_other_documents(spark):
+    """Documents that hold a part of a passage do not hide it from those that hold it all."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    part = words(70)
+    cuts = [(0, 40), (30, 70), (0, 70)] * 2
+    df = docs_of(spark, [" ".join(words(60) + part[a:b] + words(60)) for a, b in cuts])
+    for parts in (1, 6):
+        rows = passages.repeated_passages(df.repartition(parts, "doc_id")).where("doc_id = 5").collect()
+        assert {k for r in rows for k in range(r.first_word, r.end_word)} >= set(range(60, 130))
+
+
+def repeated_runs(texts, n):
+    """Places of each document that lie in a run of n words of a document before it."""
+    seen, out = {}, {}
+    for i, text in sorted(texts.items()):
+        w = text.split()
+        runs = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        out[i] = {k + j for k, r in enumerate(runs) if r in seen for j in range(n)}
+        for r in runs:
+            seen.setdefault(r, i)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_repeated_run_is_lost_and_no_other_found(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    pool = [words(rng.randint(15, 120)) for _ in range(12)]
+    texts = {}
+    for i in range(60):
+        w = words(20)
+        for _ in range(rng.randint(0, 4)):
+            piece = rng.choice(pool)
+            a = rng.randint(0, len(piece) // 2)
+            w += piece[a : a + rng.randint(10, 100)] + words(rng.randint(0, 40))
+        texts[i] = " ".join(w)
+    monkeypatch.setattr(passages, "JOINED", 64)
+    want = repeated_runs(texts, 50)
+    short = repeated_runs(texts, 8)  # what is found must mostly be made of real repeats
+    for parts in (1, 5):
+        got = collections.defaultdict(set)
+        for r in passages.repeated_passages(docs_of(spark, [texts[i] for i in range(60)]).repartition(parts, "doc_id")).collect():
+            assert r.matched >= 0.8 * (r.end_word - r.first_word) and r.end_word - r.first_word >= 50 and r.other_id < r.doc_id
+            got[r.doc_id] |= set(range(r.first_word, r.end_word))
+        for i in texts:
+            assert want[i] <= got[i] and len(got[i] - short[i]) <= 0.25 * len(got[i])
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.99), (0.1, 0.97), (0.15, 0.85)])
+def test_recall_of_edited_passages(spark, share, least):
+    rng = random.Random(int(share * 100))
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, alike = [], {}
+    for i in range(60):
+        part = words(60)
+        edits = set(rng.sample(range(1, 59), round(share * 60)))
+        texts += [" ".join(words(70) + part + words(70)), " ".join(words(70) + [f"e{k}" if k in edits else w for k, w in enumerate(part)] + words(70))]
+        alike[2 * i + 1] = True
+    found = {r.doc_id for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert found <= set(alike) and len(found) >= least * len(alike)
+
+
 def test_segments_of_matches():
     rng = np.random.default_rng(3)
     for _ in range(300):
