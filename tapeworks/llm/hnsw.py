@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node. Nodes are dealt to shards of a bounded size by a hash of the
-vector; each shard's graph is built in one task and kept as one row of flat arrays. Blocks
-of query vectors meet every shard; the shards' nearest are merged by exact distance.
+vector; each shard's graph is built in one task and kept as one row of flat arrays. Query
+vectors go in blocks of a bounded size to the tasks that hold the graphs, each of which searches its shards
+one by one and merges what they give; the tasks' nearest are merged by exact distance. So no
+pair of a shard and a block is ever written.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from functools import partial
@@ -17,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 #: Vectors of a shard, on average; the unit of one task.
 SHARD_ROWS = 5_000
-#: Query vectors that go to a shard together.
-BLOCK_ROWS = 512
+#: Components of the query vectors of a block, which is broadcast: 64 MB.
+BLOCK_VALUES = 8_000_000
 #: Links of a node (twice as many on the ground level), beams of building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 64, 96
 
@@ -164,23 +167,36 @@ def _load(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     return Graph(vectors, levels, row["entry"]), vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["bounds"], np.int64)
 
 
-def _search(batches, k):
+@lean
+def _search(batches, k, block):
+    """The k + 1 nearest ids of each query over all shards of a task. block: by length of the
+    vectors, keys and queries."""
+    best: dict[int, list[tuple[float, int]]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = {name: batch.column(c)[at].as_py() for c, name in enumerate(batch.schema.names)}
+            if row["dim"] not in block.value:
+                continue
             graph, vectors, ids, bounds = _load(row)
-            keys = np.array(row["keys"], np.int64)
-            queries = np.array(row["queries"], np.float64).reshape(len(keys), row["dim"])
-            out = []
-            for key, q in zip(keys.tolist(), queries, strict=True):
+            for key, q in zip(*block.value[row["dim"]], strict=True):
                 nodes = np.array(graph.search(q, k + 1), np.int64)
-                if not len(nodes):
-                    continue
                 far = np.sqrt(((vectors[nodes] - q) ** 2).sum(axis=1)).tolist()
-                best = heapq.nsmallest(k + 1, ((d, i) for d, s in zip(far, nodes.tolist(), strict=True) for i in ids[bounds[s] : bounds[s + 1]].tolist()))
-                out += [(key, i, d) for d, i in best]
-            if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["key", "vec_id", "score"])
+                own = ((d, i) for d, s in zip(far, nodes.tolist(), strict=True) for i in ids[bounds[s] : bounds[s + 1]].tolist())
+                best[int(key)] = heapq.nsmallest(k + 1, [*best.get(int(key), ()), *own])
+    rows = [(key, i, d) for key, found in best.items() for d, i in found]
+    a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["key", "vec_id", "score"])
+
+
+@lean
+def _packed(batches):
+    """Rows (dim, key, v) of one length as (dim, keys, queries), one row for each batch and length."""
+    for batch in batches:
+        dims = batch.column(0).to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = batch.filter(pa.array(dims == dim))
+            values = own.column(2).flatten().to_numpy().astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([own.column(1).to_numpy().tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["dim", "keys", "queries"])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -199,8 +215,10 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id",
 
     Rows with a null id or an unusable vector take no part. Vectors of another length are
     not neighbours. Copies of a vector are one node that keeps its k + 1 smallest ids, which
-    is all that any answer can hold. An id that repeats with equal vectors counts once."""
-    rows = staged(usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"]))
+    is all that any answer can hold. An id that repeats counts once, with the least of its
+    vectors."""
+    spark = vectors.sparkSession
+    rows = staged(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
     shards = max(1, math.ceil(rows.count() / shard_rows))
     # The ids beyond k + 1 of equal vectors go before the shuffle.
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
@@ -208,15 +226,20 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id",
     graphs = staged(nodes.groupBy("shard", "dim").applyInPandas(_build, GRAPH))
 
     asked = rows.where(query_ids)
-    keys = asked.groupBy("v").agg(F.min("vec_id").alias("key"))
-    blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    grouped = keys.withColumn("block", block).withColumn("dim", F.size("v")).groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("key", "v"))).alias("q"))
-    grouped = staged(grouped.select("block", "dim", F.col("q.key").alias("keys"), F.flatten("q.v").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")))
-    met = graphs.join(grouped, ["shard", "dim"])
-    columns = ["dim", "entry", "height", "vectors", "links", "ids", "bounds", "keys", "queries"]
-    found = met.select(*columns).mapInArrow(partial(_search, k=k), "key long, vec_id long, score double")
-    best = staged(found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r"))
-    answers = asked.join(keys, "v").select(F.col("vec_id").alias("query_id"), "key").join(best, "key").where("query_id <> vec_id")
+    keys = staged(asked.groupBy("v").agg(F.min("vec_id").alias("key")).select(F.size("v").alias("dim"), "key", "v"))
+    blocks = max(1, math.ceil((keys.agg(F.sum("dim")).first()[0] or 0) / BLOCK_VALUES))
+    found = []
+    for block in range(blocks):
+        own: dict[int, list] = {}
+        for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).mapInArrow(_packed, "dim int, keys binary, queries binary").toLocalIterator():
+            part = own.setdefault(r.dim, [[], []])
+            part[0].append(np.frombuffer(r.keys, np.int64))
+            part[1].append(np.frombuffer(r.queries, np.float64).reshape(-1, r.dim))
+        shared = spark.sparkContext.broadcast({dim: (np.concatenate(a), np.concatenate(b)) for dim, (a, b) in own.items()})
+        found.append(staged(graphs.select("dim", "entry", "height", "vectors", "links", "ids", "bounds").mapInArrow(partial(_search, k=k, block=shared), "key long, vec_id long, score double")))
+        shared.destroy()
+    best = functools.reduce(DataFrame.union, found)
+    best = staged(best.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r"))
+    answers = asked.join(keys.select("v", "key"), "v").select(F.col("vec_id").alias("query_id"), "key").join(best, "key").where("query_id <> vec_id")
     answers = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return answers.select("query_id", "rank", "vec_id", "score")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # Element names of HTML.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "xmp", "iframe"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "figcaption", "head", "label", "fieldset"}
@@ -29,6 +31,13 @@ NOT_MAIN = {"ad", "ads", "advert", "comment", "comments", "promo", "promoted", "
 # Words of class, id and role names that mark furniture.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+# Other element names with a weight of their own; all further names share one.
+OTHER = {"blockquote", "body", "caption", "center", "colgroup", "dd", "details", "div", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "html", "li", "ol", "option", "p", "picture", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "video"}
+NAMES = RAW | FURNITURE | VOID | INLINE | MAIN | OTHER
+
+#: Characters of scripts that are written without spaces; two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -85,6 +94,17 @@ def items(page: str):
             at = void_at[name]
 
 
+def words_in(text: str) -> float:
+    """The number of words of a text; what is written without spaces counts by its length."""
+    return len(text.split()) + (0 if text.isascii() else len(_UNSPACED.findall(text)) / 2)
+
+
+def name_of(tag: str) -> str:
+    """The name under which a tag is weighed."""
+    return tag if tag in NAMES else "?"
+
+
+@lean
 def _learn(batches):
     tally: dict[tuple[str, bool], int] = {}
     for batch in batches:
@@ -95,8 +115,8 @@ def _learn(batches):
                 labelled |= inside
                 if furniture and inside:
                     continue
-                key = ("" if kind == "text" else value[1], inside)
-                own[key] = own.get(key, 0) + (len(value.split()) if kind == "text" else 1)
+                key = ("" if kind == "text" else name_of(value[1]), inside)
+                own[key] = own.get(key, 0) + (round(words_in(value)) if kind == "text" else 1)
             if labelled:
                 for k, v in own.items():
                     tally[k] = tally.get(k, 0) + v
@@ -106,12 +126,12 @@ def _learn(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.bool_()), pa.array(c, pa.int64())], ["name", "inside", "n"])
 
 
-def learn_weights(pages: DataFrame, html_col: str = "html", most: int = 1000) -> dict[str, float]:
-    """Weights by tag name, and of a word under "": log-odds of being in the main element.
-    Words weigh 1 to 5, tags -5 to -0.1; the most frequent names are kept."""
+def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
+    """Weights by tag name (one of NAMES, or "?" for all others), and of a word under "":
+    log-odds of being in the main element. Words weigh 1 to 5, tags -5 to -0.1."""
     rows = pages.select(F.col(html_col).cast("string")).mapInArrow(_learn, "name string, inside boolean, n long")
     per = rows.groupBy("name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
-    got = {r.name: log((r.a + 1) / (r.b + 1)) for r in per.orderBy(F.desc(F.col("a") + F.col("b")), "name").limit(most).collect()}
+    got = {r.name: log((r.a + 1) / (r.b + 1)) for r in per.collect()}
     return {k: min(5.0, max(1.0, v)) if k == "" else max(-5.0, min(-0.1, v)) for k, v in got.items()}
 
 
@@ -124,9 +144,9 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if furniture and inside:
             continue
         if kind == "text":
-            score = word * len(value.split()) * (-1 if furniture or has_main and not inside else 1)
+            score = word * words_in(value) * (-1 if furniture or has_main and not inside else 1)
         else:
-            score = weights.get(value[1], -1.0)
+            score = weights.get(name_of(value[1]), -1.0)
         if total <= 0:
             total, start = 0.0, at
         total += score
@@ -147,6 +167,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     return "\n\n".join(b for b in clean if b)
 
 
+@lean
 def _extract(batches, weights):
     for batch in batches:
         texts = [main_text(p or "", weights) for p in batch.column(2).to_pylist()]
@@ -158,7 +179,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and empty pages have the text "". Repeated rows stay; ids and urls may be null.
     Broken markup is read as far as it goes, pages of any length in linear time. Without
-    labelled pages or given weights a word scores 1 and a tag -1. Other columns are
+    labelled pages or given weights a word scores 1 and a tag -1. Text without spaces scores by its length. Other columns are
     ignored. Rows are independent; only the tag counts are shuffled."""
     if weights is None:
         weights = learn_weights(pages, html_col)

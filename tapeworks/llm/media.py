@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks
+from .common import buffers, chunks, lean
 
 SIDE = 64
 FRAMES_PER_SECOND = 25
@@ -268,6 +268,7 @@ def _payload(text: bytes) -> bytes:
     return text + b"\0" * ((-len(text)) % SIDE or SIDE * (not text))
 
 
+@lean
 def _encode(batches):
     for batch in batches:
         raw, off = buffers(batch.column(1))
@@ -279,26 +280,57 @@ def _encode(batches):
 CLIPS = "array<struct<clip:int,first_frame:int,last_frame:int,start_ms:long,end_ms:long>>"
 
 
+def _read(files: list[bytes | None]) -> list[np.ndarray | str]:
+    """Of each file its pixels, or why it cannot be read. Files of one Huffman table are
+    decoded together."""
+    out: list[np.ndarray | str] = ["no media"] * len(files)
+    by_table: dict[bytes, list[int]] = {}
+    for k, f in enumerate(files):
+        if f is not None:
+            try:
+                tables = {_parse(memoryview(f)[o : o + n])[2] for o, n in frames_of(f)}
+                if len(tables) != 1:
+                    raise ValueError("no frames" if not tables else "more than one Huffman table")
+                by_table.setdefault(tables.pop(), []).append(k)
+            except (ValueError, IndexError, struct.error) as e:
+                out[k] = str(e)
+    for group in by_table.values():
+        for some in (group, *[[k] for k in group]):
+            if any(isinstance(out[k], str) for k in some):
+                try:
+                    pixels, counts = decode_all([files[k] for k in some])
+                    ends = np.cumsum(counts)
+                    for k, a, b in zip(some, ends - counts, ends, strict=True):
+                        out[k] = pixels[a:b]
+                except (ValueError, IndexError, struct.error) as e:  # one of them is broken: each alone
+                    if len(some) == 1:
+                        out[some[0]] = str(e)
+    return out
+
+
+@lean
 def _decode(batches):
     for batch in batches:
         raw, off = buffers(batch.column(2))
+        there = batch.column(2).is_valid().to_pylist()
         for i, j in chunks(off, PASS_BYTES):
-            files = [raw[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
-            pixels, counts = decode_all(files)
-            out, at = [], 0
-            for file, rows in zip(files, counts, strict=True):
-                own = pixels[at : at + rows]
+            files = [raw[off[k] : off[k + 1]].tobytes() if there[k] else None for k in range(i, j)]
+            out = []
+            for file, own in zip(files, _read(files), strict=True):
+                if isinstance(own, str):
+                    out.append((None, None, None, None if file is None else len(file), None if file is None else hashlib.sha256(file).hexdigest(), [], own))
+                    continue
                 payload = own.tobytes()
                 clips = [
                     {"clip": c, "first_frame": a, "last_frame": b, "start_ms": a * 1000 // FRAMES_PER_SECOND, "end_ms": (b + 1) * 1000 // FRAMES_PER_SECOND}
                     for c, (a, b) in enumerate(shots(own))
                 ]
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), clips))
-                at += rows
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))]
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), clips, None))
+            clip = pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64())])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(clip), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))],
-                ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"],
+                ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips", "error"],
             )
 
 
@@ -312,8 +344,12 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Decodes the media column: digests of payload and file, and the timed clips."""
-    schema = f"id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIPS}"
+    """Decodes the media column (id, n_bytes, media): digests of payload and file, the timed
+    clips, and error. Read are AVI files of lossless JPEG frames as to_media writes them: 64
+    columns, a restart at each row. A null file has null results, no clips and the error
+    "no media"; any other file that cannot be read, foreign, cut off or broken, has its size and
+    digest, no clips and the reason; others beside it are read all the same."""
+    schema = f"id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIPS}, error string"
     return media.select("id", "n_bytes", "media").mapInArrow(_decode, schema)
 
 

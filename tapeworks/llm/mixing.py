@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, few, staged
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats=MAX_R
     copy, null if none is taken) and positions (of all copies).
 
     A null source is a source of its own; a null or empty text has the size 0 and is
-    taken as often as its place in the order says, for 0 words. Repeated rows are
+    taken as often as its place in the order says, max_repeats times at most, for 0 words. Repeated rows are
     mixed like others. No rows give no rows. Ties of the hash order fall by id and size,
     so reruns agree. Sums over a source come from 4,096 hash ranges, so that no task
     holds a source. Other columns are ignored."""
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats=MAX_R
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("bin").alias("b"), "before")
-    per = per.select(F.col("source").alias("t"), "rank", "source_size", "target")
+    per = few(staged(per.select(F.col("source").alias("t"), "rank", "source_size", "target")))
     inside = Window.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats=MAX_R
     # Whole passes over the source, then the documents whose middle lies in the rest.
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - passes * F.col("source_size")
-    rows = rows.withColumn("copies", (passes + (F.col("start") + F.col("size") / 2 <= rest).cast("int")).cast("int"))
+    rows = rows.withColumn("copies", F.least((passes + (F.col("start") + F.col("size") / 2 <= rest).cast("int")).cast("int"), F.lit(max_repeats)))
     share = lambda epoch: F.least(F.lit(1.0), F.try_divide(epoch * F.col("source_size") + F.col("start"), F.col("target")))
 
     def at(epoch):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, crc_fold, staged, words_of
+from .common import buffers, chunks, crc_fold, lean, staged, words_of
 
 #: Labelled documents of each class that the fit reads at most, those with the smallest
 #: hash of the id: a bound for the driver, not for what is scored.
@@ -77,6 +77,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+@lean
 def _featured(batches):
     for batch in batches:
         raw, off = buffers(batch.column(1))

@@ -22,19 +22,23 @@ from .rollups import corpus_rollup
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score and label of each document, by preference pairs of labelled ones."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the size of its set of shingles, its class of equal sets and its component of linked ones."""
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its source's target, how often it is taken and its first training position; in that order."""
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
@@ -60,7 +64,7 @@ c AS (
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 n AS (
-  SELECT *, (passes + (start + size / 2.0 <= target - passes * source_size)::INT)::INT AS copies,
+  SELECT *, least(passes + (start + size / 2.0 <= target - passes * source_size)::INT, 3)::INT AS copies,
     coalesce(least(1.0, CASE WHEN target > 0 THEN start / target END), 0.0) AS u FROM c)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies,
   round(CASE WHEN copies = 0 THEN NULL
@@ -74,31 +78,37 @@ FROM n
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document that align with one of a document before it."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the number of tokens, and digests of its ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
     return coded.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of each document by word counts and by the attention model."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return lm_scores(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth one."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as an AVI file: sizes and digests of the payload read back and of the file, and its clips."""
     read = read_media(to_media(table(spark, sf_dir, "documents")))
     clip = lambda c: F.concat_ws("-", c["first_frame"], c["last_frame"], c["start_ms"], c["end_ms"])
     return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.array_join(F.transform("clips", clip), ";").alias("feature"))
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens of distinct texts by source, language and tokenizer version."""
     return corpus_rollup(table(spark, sf_dir, "documents"))
 
 

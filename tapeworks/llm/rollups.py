@@ -2,19 +2,23 @@
 
 Changes of documents are signed: an insert adds a document and its tokens, a delete takes
 them away, a revision adds the difference of the counts. A batch of changes is summed by
-source, language and tokenizer version and committed as one folder of a table of deltas.
-A batch that is committed again replaces itself, so retries and replays count once.
-Totals are the sums of all deltas; compacting folds committed batches into one.
+source, language and tokenizer version and written to a folder of its own; a new version of
+the manifest, which lists the folder of each batch, then makes it visible. A batch that is committed
+again gets another folder and its entry is replaced, so retries and replays count once,
+and a crash at any point leaves the last manifest as it was. Totals are the sums of all
+deltas; compacting folds committed batches into one, which knows what it is made of.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, staged
+from .common import WORD, by_frequent_keys, scratch, staged
 
 KEY = ["source", "lang", "tokenizer"]
 #: Tokenizer versions: the pattern whose matches are tokens.
@@ -45,39 +49,64 @@ class Rollup:
     """A table of deltas in a folder that all machines share."""
 
     SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+    #: One row for each batch: its folder, and the batches that it was compacted from.
+    MANIFEST = "batch int, path string, made_of array<int>"
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or scratch(spark)
 
-    def _path(self, batch: int) -> str:
-        return f"{self.folder}/batch={int(batch)}"
+    def manifest(self) -> tuple[int, dict[int, tuple[str, list[int]]]]:
+        """The last version, and of each batch its folder and what it was compacted from."""
+        try:
+            rows = self.spark.read.schema(self.MANIFEST + ", version int").parquet(f"{self.folder}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0, {}
+        last = rows.agg(F.max("version")).first()[0] or 0
+        return last, {r.batch: (r.path, r.made_of) for r in rows.where(F.col("version") == last).collect()}
+
+    def _publish(self, batch: int, sums: DataFrame, made_of: list[int]) -> None:
+        """Writes the sums in a new folder, then a manifest of the next version with it. Of two
+        writers of one version the second fails."""
+        path = f"data/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.folder}/{path}")
+        version, known = self.manifest()
+        known = known | {int(batch): (path, made_of)}
+        rows = self.spark.createDataFrame([(b, p, m) for b, (p, m) in sorted(known.items())], self.MANIFEST)
+        rows.coalesce(1).write.parquet(f"{self.folder}/manifest/version={version + 1}")
 
     def commit(self, batch: int, *changes: DataFrame) -> None:
-        """Sums the changes and writes them as this batch, in place of an earlier try.
+        """Sums the changes and publishes them as this batch, in place of an earlier try.
         Partial sums are made before the shuffle; nulls are keys of their own; a batch
-        without changes is an empty folder. The writer's job commit makes it visible as a
-        whole or not at all."""
+        without changes has no rows."""
         every = changes[0]
         for c in changes[1:]:
             every = every.unionByName(c)
         sums = every.groupBy(*KEY).agg(F.coalesce(F.sum("d_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("d_tokens"), F.lit(0)).alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(self._path(batch))
+        self._publish(batch, sums, [])
 
     def deltas(self, batches: Iterable[int]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*[self._path(b) for b in batches])
+        """The rows of the given batches, each batch once, also if a compacted one and what it
+        was made of are both given."""
+        _, known = self.manifest()
+        wanted = set(batches)
+        wanted -= {m for b in wanted for m in known[b][1]}
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.folder}/{known[b][0]}" for b in sorted(wanted)])
 
     def totals(self, batches: Iterable[int]) -> DataFrame:
         """KEY, n_docs, n_tokens over the given batches, each once; keys whose documents are
         all gone stay with 0."""
-        return self.deltas(sorted(set(batches))).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return self.deltas(batches).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, batches: Iterable[int], into: int) -> list[int]:
-        """Writes the totals of some batches as a new batch; returns what replaces them.
+        """Publishes the totals of some batches as a new batch; returns what replaces them.
         The old folders stay until their readers are done, so a crash loses nothing."""
-        batches = sorted(set(batches))
+        _, known = self.manifest()
+        batches = set(batches)
         if into in batches:
             raise ValueError("compact into a batch of a new number")
-        self.totals(batches).write.mode("overwrite").parquet(self._path(into))
+        self._publish(into, self.totals(batches), sorted(batches | {m for b in batches for m in known[b][1]}))
         return [into]
 
 
@@ -90,8 +119,8 @@ def corpus_rollup(docs: DataFrame, tokenizers: dict[str, str] = TOKENIZERS, fold
     rows = count_tokens(docs.select("doc_id", "source", "lang", "n_chars", "text"), tokenizers)
     rows = rows.select("doc_id", "source", "lang", F.floor(F.coalesce("n_chars", F.lit(0)) / 4).cast("long").alias("guess"), "tokens", F.sha2("text", 256).alias("digest"))
     rows = staged(rows)
-    first = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = rows.join(first, "digest").where("doc_id > kept")
+    first = staged(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    copies = by_frequent_keys(rows, first, "digest", rows.count()).where("doc_id > kept")
     per = lambda r: r.select("source", "lang", F.col("guess").alias("old_tokens"), F.inline("tokens"))
     rollup = Rollup(spark, folder)
     rollup.commit(1, inserts(per(rows).drop("tokens").withColumnRenamed("old_tokens", "tokens")))

@@ -201,6 +201,12 @@ def test_mixing_edges(spark):
     assert mixing.mix(messy(spark)).count() == 12
     assert mixing.mix(messy(spark).where("false")).count() == 0
     assert {r.taken for r in mixing.mix(docs_of(spark, [None, "", " "])).collect()} == {0}
+    texts = [prose(random.Random(i), 9) if i % 3 else "" for i in range(60)]
+    rows = mixing.mix(docs_of(spark, texts, ["a"] + ["b"] * 9)).collect()  # empty texts stand at any place of a source
+    assert max(r.copies for r in rows) == mixing.MAX_REPEATS and all(len(r.positions) == r.copies for r in rows)
+    twice = docs_of(spark, texts, ["a", "b"])
+    rows = mixing.mix(twice.union(twice)).collect()  # repeated rows are mixed like others
+    assert len(rows) == 120 and {r.source_size for r in rows} == {2 * 9 * 20}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T words here</title><style>p{}</style><script>var a = "</p><article>";</script></head><body>
@@ -223,6 +229,24 @@ def test_html(spark):
     assert html_text.extract_pages(df.where("false")).count() == 0
 
 
+JAPANESE = "".join(chr(0x3042 + (7 * i) % 80) for i in range(1800))
+
+
+def test_html_without_an_article(spark):
+    """Pages without a main element, also in a script without spaces, beside labelled ones."""
+    links = "".join(f"<ul><li><a href=/{i}>link number {i} to another story</a></li></ul>" for i in range(10))
+    english = " ".join(["reading", "matter"] * 60)
+    pages = [(i, "u", PAGE) for i in range(20)] + [(20, "u", f"<div>{links}</div><div><p>{JAPANESE}</p></div>"), (21, "u", f"<div>{links}</div><div><p>{english}</p></div><x-odd7><y8>z</y8></x-odd7>")]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert JAPANESE in got[20] and english in got[21] and got[0] == TEXT
+
+
+def test_html_names_outside_the_list_share_a_weight(spark):
+    page = "<article><p>one two three</p></article>" + "".join(f"<tag{i}>x</tag{i}>" for i in range(3000))
+    weights = html_text.learn_weights(spark.createDataFrame([(page,)], "html string"))
+    assert set(weights) <= html_text.NAMES | {"", "?"} and weights["?"] == -5.0
+
+
 def test_html_of_pages(spark, sf):
     import html as H
 
@@ -418,6 +442,19 @@ def test_bpe_equals_the_library(spark, encoding):
     assert bpe.encode(df.where("false"), PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words_and_repeated_rows(spark, encoding, monkeypatch):
+    rng = random.Random(11)
+    texts = ["w" * 100_000, "あいう漢字" * 4000, "".join(rng.choice("abcdeé") for _ in range(30_000)), "ab" * 99, "ab" * 101]
+    df = docs_of(spark, texts)
+    for r in bpe.encode(df.union(df), PATH, P.PATTERN).collect():
+        ids = encoding.encode_ordinary(texts[r.doc_id])
+        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and bytes(r.decoded) == texts[r.doc_id].encode()
+    ranks = bpe.read_ranks(PATH)
+    for _ in range(500):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ABCé漢字かな") for _ in range(rng.randint(1, 60))).encode()
+        assert bpe.merge_by_heap(word, ranks) == encoding._encode_single_piece(word)
+
+
 def test_bpe_of_documents(spark, sf, encoding):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op6_byte_bpe(spark, sf).collect():
@@ -576,6 +613,74 @@ def test_neighbours(spark):
     assert len(few) == 2 and hnsw.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_recall_on_the_table(spark):
+    """Ten shards of the table's vectors, two blocks of queries, against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = collections.defaultdict(list)
+    for r in hnsw.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=200).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in ids[ids % 50 == 0]:
+        far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        hits += len(set(got[q]) & {i for _, i in sorted((d, i) for d, i in zip(far.tolist(), ids.tolist(), strict=True) if i != q)[:10]})
+    assert hits >= 0.9 * 10 * len(got) and len(got) == (ids % 50 == 0).sum()
+
+
+def test_neighbours_in_blocks_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, hnsw.nearest(df, F.col("vec_id") % 10 == 0).collect()))
+    monkeypatch.setattr(hnsw, "BLOCK_VALUES", 50)
+    assert sorted(map(tuple, hnsw.nearest(df.union(df), F.col("vec_id") % 10 == 0).collect())) == want
+    low = spark.createDataFrame([(0, [-100.0] * 8)], df.schema)
+    assert {r.vec_id for r in hnsw.nearest(df.union(low), F.col("vec_id") == 10, k=299).collect()} == set(range(300)) - {10}
+
+
+def test_media_query_against_the_texts(spark, sf):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op9_media(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = texts[r.doc_id] + b"\0" * (-len(texts[r.doc_id]) % 64 or 64 * (not texts[r.doc_id]))
+        file = media.encode_all([want])[0]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        clips = [tuple(map(int, c.split("-"))) for c in r.feature.split(";")]
+        assert clips[0][0] == 0 and clips[-1][1] == -(-len(want) // 4096) - 1 and all(a[1] + 1 == b[0] for a, b in zip(clips, clips[1:], strict=False))
+        assert [c[:2] for c in clips] == brute_shots(want) and all(c[2:] == (c[0] * 40, c[1] * 40 + 40) for c in clips)
+
+
+def brute_shots(payload):
+    """Cuts where the difference of neighbouring histograms stands out of those around it."""
+    hists = [np.bincount(np.frombuffer(payload[i : i + 4096], np.uint8) >> 3, minlength=32) / len(payload[i : i + 4096]) for i in range(0, len(payload), 4096)]
+    diff = [float(np.abs(a - b).sum()) for a, b in zip(hists, hists[1:], strict=False)]
+    cuts = [0]
+    for i, d in enumerate(diff):
+        near = diff[max(0, i - media.NEAR) : i + media.NEAR + 1]
+        if d > media.FLOOR and d > np.mean(near) + media.SPREAD * np.std(near):
+            cuts.append(i + 1)
+    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], len(hists)], strict=True)]
+
+
+def test_media_that_is_null_foreign_or_broken(spark):
+    good = media.encode_all([b"x" * 6400])[0]
+    coded = good.replace(b"MJPG", b"XXXX")
+    at = media.frames_of(good)[0]
+    holed = good[: at[0] + 100] + b"\xff\xd9" + good[at[0] + 102 :]
+    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a"), (5, good[:100]), (6, good[:900]), (7, holed), (8, coded), (None, good)]
+    df = spark.createDataFrame([(i, 6400, m) for i, m in rows], "id long, n_bytes long, media binary").coalesce(1)
+    got = {r.id: r for r in media.read_media(df).collect()}
+    want = hashlib.sha256(b"x" * 6400).hexdigest()
+    assert len(got) == 9 and got[1].payload_sha256 == got[8].payload_sha256 == got[None].payload_sha256 == want and got[1].error is None
+    assert (got[2].error, got[2].media_bytes, got[2].clips) == ("no media", None, []) and got[4].error == "not an AVI file" and got[4].media_bytes == 6
+    assert all(got[i].error and got[i].payload_bytes is None and got[i].clips == [] for i in (2, 3, 4, 5, 6, 7))
+    assert media.clip_rows(media.read_media(df)).where("id = 4").count() == 0
+
+
 def test_media_round_trip(spark):
     rng = random.Random(1)
     texts = [None, "", "x", "é" * 32, "a" * 64, "b" * 65, "".join(chr(rng.randint(32, 0x2FF)) for _ in range(30_000)), "A" * 9000 + "z" * 9000, "x"]
@@ -616,6 +721,23 @@ def test_rollup_commits_are_idempotent(spark):
     want = {("s", 1, 5 + 2), (None, 1, 2)}
     assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals([1, 2, 3, 4, 2]).collect()} == want
     assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals(r.compact([1, 2, 3, 4], 9)).collect()} == want
+    # what a compacted batch was made of does not count again, nor after another compaction
+    assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals([1, 2, 3, 4, 9]).collect()} == want
+    assert {(x.source, x.n_docs, x.n_tokens) for x in r.totals([*r.compact([9], 10), 1, 9]).collect()} == want
+
+
+def test_rollup_that_dies_leaves_the_last_commit(spark, monkeypatch):
+    row = spark.createDataFrame([("s", "en", "w", 5)], "source string, lang string, tokenizer string, tokens long")
+    r = rollups.Rollup(spark)
+    r.commit(1, rollups.inserts(row))
+    broken = rollups.inserts(row).withColumn("d_tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        r.commit(1, broken)
+    again = rollups.Rollup(spark, r.folder)
+    assert [(x.n_docs, x.n_tokens) for x in again.totals([1]).collect()] == [(1, 5)]
+    monkeypatch.setattr(rollups.Rollup, "manifest", lambda self: (0, {}))  # a writer that does not know of version 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        again.commit(2, rollups.inserts(row))
 
 
 def test_rollup_edges(spark):
