@@ -150,13 +150,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most limit bytes each, or one longer row."""
+def chunks(off: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most limit bytes each, or one longer row; and of so many rows."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(n, i + rows, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
+        yield i, j
+        i = j
 
 
 def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, common, hnsw, html_text, lm, media, mixing, ngram_join, passages, queries, rollups
+from tapeworks.llm import bpe, common, hnsw, html_text, lm, media, mixing, ngram_join, passages, quality, queries, rollups
 from tapeworks.llm.quality import fit_bradley_terry, quality_scores
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n string, row string, token string, media string, component string"
@@ -155,6 +155,34 @@ def test_quality_edges(spark):
     assert quality_scores(messy(spark).where("false"), labels).count() == 0
 
 
+def test_quality_query_against_brute_force(spark, sf):
+    """Each text's features on its own, the fit on the labelled ones, and all scores anew."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    f = {r.doc_id: quality.features(*common.buffers(pa.array([r.text])))[0].astype(np.float32) for r in docs}
+    own = sorted((i for i in f if i in labels and zlib.crc32(str(i).encode()) % 5), key=lambda i: (labels[i], *f[i][2::-1].tolist()))
+    x, y = np.array([f[i] for i in own]), np.array([labels[i] for i in own])
+    mean, scale, beta, cut = fit_bradley_terry(x[y == 1], x[y == 0])
+    for r in queries.op1_quality(spark, sf).collect():
+        strength = (f[r.doc_id].astype(float) - mean) / scale @ beta - cut
+        want = 1 / (1 + math.exp(-strength - math.log(0.3 / 0.7)))
+        assert r.score == pytest.approx(want, abs=1e-4) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_quality_features_of_words():
+    texts = ["a b a", "", "one", "b a b a c"]
+    raw, off = common.buffers(pa.array(texts))
+    words, bound = common.words_of(raw, off)
+    got = quality.features(raw, off)[:, quality.SURFACE :]
+    for t in range(4):
+        own = words[bound[t] : bound[t + 1]].tolist()
+        for k, list_ in ((0, own), (1, [int(common.grams(np.array(p, np.uint64), 2)[0]) for p in zip(own, own[1:], strict=False)])):
+            want = np.zeros(quality.BUCKETS)
+            for h in list_:
+                want[h * quality.BUCKETS >> 64] += 1
+            assert np.allclose(got[t, k * quality.BUCKETS : (k + 1) * quality.BUCKETS], np.sqrt(want / max(1, len(list_))))
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (300, 3)), rng.normal(0, 1, (100, 3))
