@@ -21,7 +21,7 @@ def con(sf):
 def cell(v):
     if v is None or v != v or str(v) == "NaT":
         return None
-    if isinstance(v, (bool, str)):
+    if isinstance(v, (bool, str, list)):
         return str(v)
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10]
