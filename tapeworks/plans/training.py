@@ -38,8 +38,8 @@ def features(bars: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
 
 def labelled(rows: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
     """Features with label_abs (return above 0) and label_rel (above the day's median)."""
-    medians = rows.groupBy("trade_date").agg(*[F.median(f"fwd_return_{h}").alias(f"median_{h}") for h in horizons])
-    out = rows.join(medians, "trade_date")
+    day = Window.partitionBy("trade_date")
+    out = rows.withColumns({f"median_{h}": F.median(f"fwd_return_{h}").over(day) for h in horizons})
     label = lambda test: F.when(test, 1.0).when(~test, 0.0)
     for h in horizons:
         r = C(f"fwd_return_{h}")
