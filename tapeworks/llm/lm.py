@@ -38,7 +38,7 @@ GROUPS = ALONE + CLUSTERS
 #: Windows of a task at least; tasks of the first so many windows, and one more for each so many.
 TASK_WINDOWS, FEW_TASKS, MORE_WINDOWS = 4096, 64, 1 << 16
 #: Windows of one numpy batch, small enough for a processor's cache.
-ROUNDS, BATCH, RATE = 3, 256, 0.01
+ROUNDS, BATCH, RATE = 3, 512, 0.01
 #: The most frequent words, this many at most, are broadcast with counts and first ids, 18 bytes each.
 MAX_BROADCAST_WORDS = 5_000_000
 #: Words that a task keeps with their ids.
@@ -133,7 +133,7 @@ def word_windows(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 @lean
 def _counted(batches, ranks, pattern):
     """Rows (kind, key, n, first, ids) of training texts: 0 words by hash, 1 windows
-    to train on, 2 the windows of a word, by its hash (n: which of them)."""
+    to train on, 2 all ids of a word, by its hash."""
     lexer = Lexer(ranks.value, pattern)
     lexer.fresh = []
     held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
@@ -160,8 +160,7 @@ def _counted(batches, ranks, pattern):
             words, bound = words_of(raw, off[i : j + 1])
             each, inverse, _, first = lexer.look(raw, off[i : j + 1], words)
             for key, spelled in lexer.fresh:
-                got, own = word_windows(spelled)
-                yield from out(2, key[own].view(np.int64), np.arange(len(own)) - np.searchsorted(own, own), None, got)
+                yield from out(2, key.view(np.int64), np.ones(len(key), np.int64), None, [np.array(x, np.uint16) for x in spelled])
             lexer.fresh.clear()
             n = np.bincount(inverse, minlength=len(each)).astype(np.int64)
             each, n, first = np.append(each, END_WORD), np.append(n, j - i), np.append(first, np.int32(END))
@@ -199,21 +198,26 @@ def _totals(batches, span):
 
 @lean
 def _contexts(batches, rank, span):
-    """Sums over windows: how often an id (by rank) has each of the frequent ids around."""
-    total = np.zeros((KNOWN_IDS, CONTEXTS), np.int64)
+    """How often an id (by rank) has each of the frequent ids after it, and before it: every
+    pair of neighbours once."""
+    total, near = np.zeros(KNOWN_IDS * CONTEXTS, np.int64), CONTEXTS // 2
     for ids in _ids(batches, span):
-        for part in np.array_split(ids, max(1, len(ids) // 4096)):
-            r = rank[part]
-            w, p = np.nonzero(r < CONTEXTS)
-            around = np.bincount(w * CONTEXTS + r[w, p], minlength=len(part) * CONTEXTS).reshape(-1, CONTEXTS)
-            w, p = np.nonzero(r < KNOWN_IDS)
-            own = r[w, p]
-            order = np.argsort(own, kind="stable")
-            each, head = np.unique(own[order], return_index=True)
-            if len(each):
-                total[each] += np.add.reduceat(around[w[order]], head, axis=0)
-    a, b = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array((a * CONTEXTS + b).astype(np.int64)), pa.array(total[a, b])], ["key", "n"])
+        r = rank[ids[:, span // 2 :]]
+        a, b = r[:, :-1].ravel(), r[:, 1:].ravel()
+        for own, other, at in ((a, b, 0), (b, a, near)):
+            some = (own < KNOWN_IDS) & (other < near)
+            np.add.at(total, own[some] * CONTEXTS + other[some] + at, 1)
+    a = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(total[a])], ["key", "n"])
+
+
+@lean
+def _word_windows(batches):
+    """(key, ids) of words to (key, ids) of their windows."""
+    for batch in batches:
+        got, own = word_windows([np.frombuffer(x, np.uint16).tolist() for x in batch.column(1).to_pylist()])
+        key = batch.column(0).to_numpy().view(np.uint64)[own] + (np.arange(len(own)) - np.searchsorted(own, own)).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array([r.tobytes() for r in got], pa.binary())], ["key", "ids"])
 
 
 def _clusters(points, weights, k, rounds=20):
@@ -335,8 +339,9 @@ def train(w: dict, x: np.ndarray, group: np.ndarray, rate: float = RATE) -> tupl
     w = {k: (v[ids] if k == "E" else v.copy()) for k, v in w.items()}
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     losses = []
-    for step, i in enumerate(range(0, len(x), BATCH), 1):
-        loss, g = gradients(w, x[i : i + BATCH], group, pad)
+    size = min(BATCH, max(32, len(x) // 64))  # few windows make small steps, so that there are some
+    for step, i in enumerate(range(0, len(x), size), 1):
+        loss, g = gradients(w, x[i : i + size], group, pad)
         losses.append(loss)
         one, two = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
         for k, d in g.items():
@@ -434,8 +439,9 @@ def learn(counted: DataFrame) -> tuple[Model, DataFrame]:
     total, types = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
     total[per["first"].to_numpy()], types[per["first"].to_numpy()] = per["n"].to_numpy(), per["types"].to_numpy()
     texts = fit(counted.where("kind = 1").select("key", "ids"), SPAN)
-    spelled = counted.where("kind = 2").groupBy("key", "n").agg(F.first("ids").alias("ids"))  # each word once
-    return Model(texts, fit(staged(spelled.select(F.xxhash64("key", "n").alias("key"), "ids")), SPELL), types, total), counts
+    spelled = counted.where("kind = 2").groupBy("key").agg(F.first("ids").alias("ids"))  # each word once
+    words = fit(staged(spelled.mapInArrow(_word_windows, "key long, ids binary")), SPELL)
+    return Model(texts, words, types, total), counts
 
 
 def _arrays(batches):
