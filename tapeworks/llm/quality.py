@@ -21,7 +21,7 @@ from .common import buffers, chunks, crc_fold, grams, lean, staged, words_of
 
 #: Labelled documents of each class that the fit reads at most, those with the smallest
 #: hash of the id: a bound for the driver, not for what is scored.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 #: Preference pairs of the fit: each document of the larger class meets so many of the other.
 OPPONENTS = 2
 THRESHOLD = 0.3
@@ -122,26 +122,31 @@ def _scored(batches, weights, base):
 
 def fit_bradley_terry(better: np.ndarray, worse: np.ndarray, seed: int = 7):
     """mean, scale and weights of the features, and the strength at the quantile of the
-    share of worse rows. Preference pairs are drawn between the two sets."""
-    both = np.concatenate((better, worse)).astype(np.float64)
-    mean, scale = both.mean(axis=0), both.std(axis=0)
+    share of worse rows. Preference pairs are drawn between the two sets; their differences
+    are made block by block."""
+    n = len(better) + len(worse)
+    mean = (better.sum(axis=0, dtype=np.float64) + worse.sum(axis=0, dtype=np.float64)) / n
+    scale = np.sqrt(sum(((rows[i : i + PASS_ROWS] - mean) ** 2).sum(axis=0) for rows in (better, worse) for i in range(0, len(rows), PASS_ROWS)) / n)
     scale[scale == 0] = 1
-    b, w = (better - mean) / scale, (worse - mean) / scale
     draw = np.random.default_rng(seed)
-    many = max(len(b), len(w)) * OPPONENTS
-    x = b[draw.permutation(many) % len(b)] - w[draw.permutation(many) % len(w)]
-    beta = np.zeros(x.shape[1])
+    many = max(len(better), len(worse)) * OPPONENTS
+    one, two = draw.permutation(many) % len(better), draw.permutation(many) % len(worse)
+    beta = np.zeros(better.shape[1])
     ridge = np.where(np.arange(len(beta)) < SURFACE, RIDGE, BUCKET_RIDGE)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (1 - p) / len(x) - ridge * beta
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(ridge)
+        grad, hess = -ridge * beta, np.diag(ridge)
+        for i in range(0, many, PASS_ROWS):
+            x = (better[one[i : i + PASS_ROWS]].astype(np.float64) - worse[two[i : i + PASS_ROWS]]) / scale
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            grad += x.T @ (1 - p) / many
+            hess += (x * (p * (1 - p))[:, None]).T @ x / many
         step = np.linalg.solve(hess, grad)
         beta += step
         if np.abs(step).max() < 1e-6:
             break
-    strengths = np.concatenate((b, w)) @ beta
-    return mean, scale, beta, float(np.quantile(strengths, (len(w) - 0.5) / max(1, len(strengths) - 1)))
+    weights = beta / scale
+    strengths = np.concatenate([rows[i : i + PASS_ROWS].astype(np.float64) @ weights - mean @ weights for rows in (better, worse) for i in range(0, len(rows), PASS_ROWS)])
+    return mean, scale, beta, float(np.quantile(strengths, (len(worse) - 0.5) / max(1, n - 1)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, hold_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -161,6 +166,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, hold_out:
     known = texts.join(some, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     made = known.repartition(F.col("id")).sortWithinPartitions("id").select("label", "text").mapInArrow(_featured, "label int, f binary").toArrow()
     label, rows = made["label"].to_numpy(), np.frombuffer(b"".join(made["f"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    del made
     order = np.lexsort((*rows[:, :3].T, label))  # whatever tasks the rows came from
     label, rows = label[order], rows[order]
     held = F.coalesce(crc_fold("id", folds) == hold_out, F.lit(False))
