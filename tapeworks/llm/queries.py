@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import aligned_documents
 from .bpe import encode, read_ranks
 from .common import table
 from .hnsw import nearest
 from .html_text import extract_pages
 from .lm import lm_scores
 from .media import read_media, to_media
+from .merkle import document_manifest
 from .mixing import mix
 from .ngram_join import jaccard_join
 from .passages import repeated_passages
@@ -124,9 +126,67 @@ SELECT source, lang, 'pieces-1', sum(kept::INT)::BIGINT, coalesce(sum(b) FILTER
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in each document, and how common its links are in the corpus."""
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return aligned_documents(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf and proof in the tree of all documents, held against a leaf that may have been tampered with."""
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(depth: int = 12) -> str:
+    """A tree of up to 8^depth leaves a language, and as many languages."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    rest = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = "list_reduce(list_concat([xor(c & 255, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: " + bit + ")"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: xor(c >> 8, {byte})), 4294967295)"
+
+    def climb(name: str) -> str:
+        steps = []
+        for k in range(depth):
+            steps.append(f"{name}r{k} AS (SELECT g, pos // 8 AS p, list(digest ORDER BY pos) AS run FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+            steps.append(f"{name}{k + 1} AS (SELECT g, pos // 8 AS pos, any_value((n + 7) // 8) AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        return ",\n".join(steps)
+
+    def fold(name: str, runs: str) -> str:
+        steps = []
+        for k in range(depth):
+            before, after = f"array_to_string(r.run[1:c.pos % 8], '')", "array_to_string(r.run[c.pos % 8 + 2:8], '')"
+            steps.append(
+                f"{name}{k + 1} AS (SELECT c.* EXCLUDE (pos, acc, proof), c.pos // 8 AS pos, CASE WHEN r.run IS NULL THEN acc ELSE sha256({before} || acc || {after}) END AS acc, "
+                f"proof || CASE WHEN r.run IS NULL THEN '' ELSE {before} || {after} END AS proof FROM {name}{k} c LEFT JOIN {runs}r{k} r ON c.g = r.g AND c.pos // 8 = r.p)"
+            )
+        return ",\n".join(steps)
+
+    tops = lambda name: " UNION ALL ".join(f"SELECT g, digest FROM {name}{k} WHERE n = 1" for k in range(depth + 1))
+    return f"""
+WITH h AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256({rest} || {field("text")}) AS leaf,
+    CASE WHEN {crc} % 3 = 0 THEN sha256({rest} || {field(lowered)}) END AS tampered FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM h),
+a0 AS (SELECT g, pos, n, leaf AS digest FROM d),
+{climb("a")},
+s AS ({tops("a")}),
+b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, digest FROM s),
+{climb("b")},
+t AS ({tops("b")}),
+c0 AS (SELECT doc_id, leaf, g, pos, coalesce(tampered, leaf) AS acc, '' AS proof FROM d),
+{fold("c", "a")},
+p AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM s),
+e0 AS (SELECT c.doc_id, c.leaf, p.subroot, '' AS g, p.pos, c.acc, c.proof FROM c{depth} c JOIN p ON c.g = p.g),
+{fold("e", "b")}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = digest AS verified FROM e{depth} e, t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op10_token_rollup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op10_token_rollup": OP10_SQL, "op13_merkle": _merkle_sql()}
