@@ -21,6 +21,7 @@ from .ngram_join import jaccard_join
 from .passages import repeated_passages
 from .quality import quality_scores
 from .rollups import corpus_rollup
+from .vector_dups import near_duplicates
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +127,11 @@ SELECT source, lang, 'pieces-1', sum(kept::INT)::BIGINT, coalesce(sum(b) FILTER
 """
 
 
+def op11_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the number of its near duplicates of the same label and their component."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers align in each document, and how common its links are in the corpus."""
     files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
