@@ -1,23 +1,33 @@
-"""Indicators of daily bars. All windows share one partitioning and order, so bars are
-shuffled by ticker once. Closes and volumes are whole numbers, so window sums are exact."""
+"""Indicators of daily bars. All windows share one partitioning (ticker and chunk of time, see
+series) and order, so bars are shuffled once. Closes and volumes are whole numbers, so window sums are exact."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import SPAN, dealt
+
+#: What bars bring along for windows over their chunk.
+INNER = ["chunk", "own", "many", "first_volume", "obv_before", "place", "v20", "width2", "obv5"]
+
 
 def by():
-    return Window.partitionBy("ticker").orderBy("trade_date")
+    return Window.partitionBy("ticker", "chunk").orderBy("place")
 
 
 def last_rows(n: int):
     return by().rowsBetween(-(n - 1), 0)
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    """rn (place of the bar in its series) and change (of the close; null on the first)."""
-    return bars.withColumns({"rn": F.row_number().over(by()), "change": F.col("close").cast("long") - F.lag(F.col("close").cast("long")).over(by())})
+def _own(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.where("own").drop(*[c for c in INNER if c not in keep])
+
+
+def changed(rows: DataFrame) -> DataFrame:
+    """Laid bars with rn (place of the bar in its series) and change (of the close; null on the first)."""
+    close = F.col("close").cast("long")
+    return rows.withColumns({"rn": F.col("place").cast("int"), "change": close - F.lag(close).over(by())})
 
 
 def sma(n: int):
@@ -31,22 +41,25 @@ def rsi(n: int = 14):
     return F.when(F.col("rn") > n, value)
 
 
-def with_windows(bars: DataFrame) -> DataFrame:
-    """bars with averages, RSI, Bollinger bands, volume ratio and OBV. width2 is
-    20 * sum(x*x) - sum(x)^2, an exact integer that is 0 for a band without width."""
+def windowed(rows: DataFrame) -> DataFrame:
+    """Laid bars with averages, RSI, Bollinger bands, volume ratio and OBV; what they say of bars that are not own is
+    incomplete. width2 is 20 * sum(x*x) - sum(x)^2, an exact integer that is 0 for a band without width; obv5 is
+    the OBV five bars before (null: none)."""
     c, v = F.col("close").cast("long"), F.coalesce(F.col("volume"), F.lit(0)).cast("long")
-    out = numbered(bars).withColumns(
+    signed = F.coalesce(F.signum(F.col("change").cast("double")).cast("long") * v, F.lit(0))
+    out = changed(rows).withColumns(
         {
             "ma5": sma(5), "ma20": sma(20), "ma60": sma(60), "rsi": rsi(),
             "width2": F.when(F.col("rn") >= 20, 20 * F.sum(c * c).over(last_rows(20)) - F.sum(c).over(last_rows(20)) * F.sum(c).over(last_rows(20))),
             "v20": F.sum(v).over(last_rows(20)),
-            "obv": F.sum(F.coalesce(F.signum(F.col("change").cast("double")).cast("long") * v, F.lit(0))).over(by().rowsBetween(Window.unboundedPreceding, 0)),
+            "obv": F.col("obv_before") + F.sum(F.when(F.col("own"), signed).otherwise(0)).over(by().rowsBetween(Window.unboundedPreceding, 0)),
+            "obv5": F.when(F.col("rn") > 5, F.sum(signed).over(last_rows(5))),
         }
     )
     std = F.sqrt(F.col("width2") / 400.0)
-    out = out.withColumns({"bb_upper": F.col("ma20") + 2 * std, "bb_lower": F.col("ma20") - 2 * std})
+    out = out.withColumns({"bb_upper": F.col("ma20") + 2 * std, "bb_lower": F.col("ma20") - 2 * std, "obv5": F.col("obv") - F.col("obv5")})
     width = F.col("bb_upper") - F.col("bb_lower")
-    moved = (F.col("obv") - F.coalesce(F.lag("obv", 5).over(by()), F.lit(0))) / (F.abs("obv") + 1.0)
+    moved = (F.col("obv") - F.coalesce("obv5", F.lit(0))) / (F.abs("obv") + 1.0)
     return out.withColumns(
         {
             "bb_percent_b": F.when(F.col("width2") == 0, 0.5).when(F.col("width2") > 0, F.try_divide(c - F.col("bb_lower"), width)),
@@ -56,54 +69,41 @@ def with_windows(bars: DataFrame) -> DataFrame:
     )
 
 
-#: Bars of a series that the fold below puts together at a time.
-CHUNK = 64
-#: Averages of the close over so many days, and of the MACD.
-FAST, SLOW, SIGNAL, SHORT = 12, 26, 9, 9
-
-
-def _series(rows: Column) -> Column:
-    """The averages of each bar of a ticker's rows in order of date: array of chunks of
-    struct(f, s, g, e). One fold over the chunks, within each a fold over its bars, so that
-    only short arrays grow; the arithmetic is the recursion e + k (x - e) itself."""
-    kf, ks, kg, ke = (2.0 / (n + 1) for n in (FAST, SLOW, SIGNAL, SHORT))
-    step = lambda e, x, k: (x - e) * k + e
-    kind = "array<struct<f:double,s:double,g:double,e:double>>"
-
-    def bar(a, r):
-        x = r["close"].cast("double")
-        now = F.when(a["now"].isNull(), F.struct(x.alias("f"), x.alias("s"), F.lit(0.0).alias("g"), x.alias("e")))
-        f, s = step(a["now"]["f"], x, kf), step(a["now"]["s"], x, ks)
-        now = now.otherwise(F.struct(f.alias("f"), s.alias("s"), step(a["now"]["g"], f - s, kg).alias("g"), step(a["now"]["e"], x, ke).alias("e")))
-        return F.get(F.transform(F.array(now), lambda n: F.struct(n.alias("now"), F.array_append(a["out"], n).alias("out"))), F.lit(0))
-
-    def chunk(a, i):
-        start = F.struct(a["now"].alias("now"), F.array().cast(kind).alias("out"))
-        both = lambda r: F.struct(r["now"].alias("now"), F.array_append(a["out"], r["out"]).alias("out"))
-        return F.aggregate(F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)), start, bar, both)
-
-    none = F.struct(F.lit(None).cast(kind[6:-1]).alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), none, chunk, lambda a: F.flatten(a["out"]))
-
-
-def with_ema(bars: DataFrame) -> DataFrame:
-    """bars with ema12, ema26, macd, macd_signal, macd_histogram and ema9 on every bar: a
-    fold over each ticker's series. The rows stay dealt by ticker, so that windows over the
-    same key need no other shuffle."""
-    names = [c for c in bars.columns if c not in ("ticker", "trade_date")]
-    series = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("trade_date", *names))).alias("rows"))
-    row = lambda r, a: F.struct(
-        *[r[c].alias(c) for c in ("trade_date", *names)], a["f"].alias("ema12"), a["s"].alias("ema26"), a["g"].alias("macd_signal"), a["e"].alias("ema9")
-    )
-    out = series.select("ticker", F.inline(F.zip_with("rows", _series(F.col("rows")), row)))
+def averaged(rows: DataFrame) -> DataFrame:
     macd = F.col("ema12") - F.col("ema26")
-    return out.withColumn("macd", macd).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return rows.withColumn("macd", macd).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+
+
+def numbered(bars: DataFrame, span: float = SPAN) -> DataFrame:
+    """bars with rn and change."""
+    return _own(changed(dealt(bars, averages=False, span=span)))
+
 
+def with_windows(bars: DataFrame, span: float = SPAN) -> DataFrame:
+    """bars with the indicators of windowed."""
+    return _own(windowed(dealt(bars, averages=False, span=span)), "v20", "width2", "obv5")
 
-def with_indicators(bars: DataFrame) -> DataFrame:
-    return with_windows(with_ema(bars.select("ticker", "trade_date", "close", "volume")))
+
+def with_ema(bars: DataFrame, span: float = SPAN) -> DataFrame:
+    """bars with rn, ema12, ema26, ema9, macd, macd_signal and macd_histogram. A series of more than span days is run in
+    chunks; it then agrees with the recursion in about twelve digits, else in all."""
+    return _own(averaged(dealt(bars, span=span)).withColumn("rn", F.col("place").cast("int")))
+
+
+def indicated(bars: DataFrame, ahead: int = 0, span: float = SPAN) -> DataFrame:
+    """All indicators on laid bars; with so many bars after each chunk."""
+    return windowed(averaged(dealt(bars.select("ticker", "trade_date", "close", "volume"), ahead=ahead, span=span)))
+
+
+def with_indicators(bars: DataFrame, span: float = SPAN) -> DataFrame:
+    return _own(indicated(bars, span=span), "v20", "width2", "obv5", "many", "first_volume")
 
 
 def min_history(bars: DataFrame, least: int) -> DataFrame:
     """Bars of tickers with at least so many."""
     return bars.withColumn("_n", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("_n") >= least).drop("_n")
+
+
+def held_until(rows: DataFrame) -> Column:
+    """The date of the bar after each laid bar (null: there is none); needs one bar ahead."""
+    return F.lead("trade_date").over(by())

@@ -18,10 +18,7 @@ def backtest_scores(bars: DataFrame) -> DataFrame:
     MACD is held against the 9-day average of the close, the bands take the sample deviation,
     and OBV starts at minus the first volume."""
     ind = with_indicators(bars)
-    first = F.first("volume").over(Window.partitionBy("ticker").orderBy("trade_date"))
-    obv = C("obv") - first
-    by = Window.partitionBy("ticker").orderBy("trade_date")
-    moved = (C("obv") - F.lag("obv", 5).over(by)) / (F.abs(obv) + 1.0)
+    moved = (C("obv") - C("obv5")) / (F.abs(C("obv") - C("first_volume")) + 1.0)
     trend = F.when(moved > 0.02, "RISING").when(moved < -0.02, "FALLING").otherwise("FLAT")
     std = F.sqrt(C("width2") / 380.0)
     low, high = C("ma20") - 2 * std, C("ma20") + 2 * std

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..operators.indicators import with_indicators
+from ..operators.indicators import held_until, indicated, with_indicators
 from ..sources.ingest import NEWS_KEY, insert_new, parse_sentiment
 
 LEAST_BARS = 60
@@ -39,9 +39,11 @@ def with_scores(ind: DataFrame) -> DataFrame:
 def technical_snapshot(bars: DataFrame, model: dict | None = None) -> DataFrame:
     """One row per ticker at its last bar: rounded indicators, score, probability, reason. A
     ticker of fewer than 60 bars is neutral. model: means, stds, weights, bias, forwardDays."""
-    by = Window.partitionBy("ticker").orderBy("trade_date")
-    ind = with_indicators(bars).withColumn("_next", F.lead("trade_date").over(by)).where("_next is null").drop("_next")
-    ind = with_scores(ind)
+    return snapshot_rows(with_scores(with_indicators(bars).where("rn = many")), model)
+
+
+def snapshot_rows(ind: DataFrame, model: dict | None = None, *keep: str) -> DataFrame:
+    """Scored indicator rows as a snapshot shows them."""
     enough = C("rn") >= LEAST_BARS
     rounded = lambda c: F.when(enough, S.round2(C(c))).alias(c)
     probability, source, horizon = C("heuristic"), F.lit("HEURISTIC"), F.lit(None).cast("int")
@@ -51,13 +53,24 @@ def technical_snapshot(bars: DataFrame, model: dict | None = None) -> DataFrame:
         source, horizon = F.lit("MODEL"), F.lit(int(model["forwardDays"]))
     reason = S.technical_reason(C("ma5"), C("ma20"), C("ma60"), C("rsi"), C("macd"), C("macd_signal"), C("bb_percent_b"), C("change"), C("volume_ratio"), C("obv_trend"))
     return ind.select(
-        "ticker", C("trade_date").alias("last_date"), *[rounded(c) for c in ("ma5", "ma20", "ma60", "rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_lower", "bb_percent_b", "volume_ratio")],
+        *keep, "ticker", C("trade_date").alias("last_date"), *[rounded(c) for c in ("ma5", "ma20", "ma60", "rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_lower", "bb_percent_b", "volume_ratio")],
         F.when(enough, C("obv_trend")).alias("obv_trend"), F.when(enough, S.round2(C("raw_score"))).otherwise(50.0).alias("technical_score"),
         F.when(enough, S.round2(probability)).otherwise(50.0).alias("rise_probability"), F.when(enough, source).otherwise("HEURISTIC").alias("probability_source"),
         F.when(enough, horizon).alias("probability_horizon_days"), F.when(enough, reason).otherwise(S.PHRASES["short"]).alias("technical_reason"),
     )
 
 
+def snapshots(bars: DataFrame, dates: list[str], model: dict | None = None) -> DataFrame:
+    """technical_snapshot as of each of some dates, in one pass: as_of and the snapshot of the bars up to it. A bar is the last
+    one of all dates from its own until the next bar's; no later bar has influence. Tickers without a bar by a
+    date have no row for it."""
+    ind = indicated(bars, ahead=1)
+    ind = ind.withColumn("until", held_until(ind)).where("own")
+    asked = F.filter(F.array(*[F.lit(d).cast("date") for d in sorted(set(dates))]), lambda d: (d >= C("trade_date")) & (C("until").isNull() | (d < C("until"))))
+    ind = ind.withColumn("as_of", F.explode(asked))
+    return snapshot_rows(with_scores(ind), model, "as_of")
+
+
 def top_news(news: DataFrame, most: int = 5) -> DataFrame:
     first = Window.partitionBy("ticker").orderBy("seq")
     return news.withColumn("_r", F.row_number().over(first)).where(C("_r") <= most).drop("_r")

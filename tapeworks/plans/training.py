@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import FEATURES, feature_columns
-from ..operators.indicators import min_history, with_indicators
+from ..operators.indicators import by, indicated
 from ..sources.ingest import MODEL
 from ..sources.shared import staged
 
@@ -24,27 +24,62 @@ C = F.col
 def features(bars: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
     """ticker, trade_date, the features, and for each horizon the forward return and the date
     it refers to. Rows with an undefined feature are dropped after the look ahead."""
-    by = Window.partitionBy("ticker").orderBy("trade_date")
-    ind = with_indicators(min_history(bars, MIN_BARS))
+    ind = indicated(bars, ahead=max(horizons))
     ratio, band = F.when(C("v20") > 0, C("volume_ratio")), F.when(C("width2") > 0, C("bb_percent_b"))
     own = feature_columns(C("close"), C("ma5"), C("ma20"), C("ma60"), C("rsi"), C("macd_histogram"), band, ratio)
     ahead = {}
     for h in horizons:
-        ahead[f"fwd_return_{h}"] = F.try_divide(F.lead("close", h).over(by), C("close")) - 1
-        ahead[f"target_date_{h}"] = F.lead("trade_date", h).over(by)
-    rows = ind.withColumns(own | ahead).where(C("rn") >= 20)
+        ahead[f"fwd_return_{h}"] = F.try_divide(F.lead("close", h).over(by()), C("close")) - 1
+        ahead[f"target_date_{h}"] = F.lead("trade_date", h).over(by())
+    rows = ind.withColumns(own | ahead).where(C("own") & (C("many") >= MIN_BARS) & (C("rn") >= 20))
     return rows.select("ticker", "trade_date", *FEATURES, *ahead).dropna(subset=FEATURES)
 
 
-def labelled(rows: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
-    """Features with label_abs (return above 0) and label_rel (above the day's median)."""
-    day = Window.partitionBy("trade_date")
-    out = rows.withColumns({f"median_{h}": F.median(f"fwd_return_{h}").over(day) for h in horizons})
+#: Values of a day that one task sorts; more are narrowed down first, by histograms of so many buckets.
+MOST_A_DAY, BUCKETS = 100_000, 1024
+
+
+def day_medians(rows: DataFrame, horizons: list[int] = HORIZONS, most: int = MOST_A_DAY) -> DataFrame:
+    """trade_date, horizon, median: the exact median forward return of each day and horizon that has one.
+
+    Where a day has many rows, histograms narrow down where its middle lies: each pass counts by day, horizon and
+    bucket, with partial sums, and keeps the buckets of the two middle ranks. The values between the last bounds are counted by
+    value and ranked; so no task sorts a day."""
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"fwd_return_{h}").alias("value")) for h in horizons]))
+    each = rows.select("trade_date", each.alias("e")).select("trade_date", "e.*").where("value is not null")
+    keys = ["trade_date", "horizon"]
+    count, ends = F.count("*").alias("n"), [F.min("value").alias("lo"), F.max("value").alias("hi")]
+    bounds = staged(each.groupBy(*keys).agg(count, *ends).withColumns({"inside": C("n"), "below": F.lit(0).cast("long")}))
+    open_ = F.max(F.when(C("lo") < C("hi"), C("inside")))
+    first, second = F.floor((C("n") + 1) / 2) - C("below"), F.floor(C("n") / 2) + 1 - C("below")  # the middle ranks, from 1
+    narrowed = False
+    while (bounds.agg(open_).first()[0] or 0) > most:
+        narrowed = True
+        bucket = F.when(C("hi") > C("lo"), F.least(F.floor((C("value") - C("lo")) / (C("hi") - C("lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
+        inside = each.join(bounds, keys).where("value >= lo and value <= hi").groupBy(*keys, "n", "below", bucket.alias("bucket")).agg(F.count("*").alias("many"), *ends)
+        upto = F.sum("many").over(Window.partitionBy(*keys).orderBy("bucket"))  # at most BUCKETS rows
+        inside = inside.withColumn("upto", upto).where((C("upto") >= first) & (C("upto") - C("many") < second))
+        bounds = staged(inside.groupBy(*keys, "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("many").alias("inside"), (F.min(C("below") + C("upto") - C("many"))).alias("below")))
+    if narrowed:
+        each = each.join(bounds.select(*keys, "lo", "hi"), keys).where("value >= lo and value <= hi")
+    values = each.groupBy(*keys, "value").agg(F.count("*").alias("many")).join(bounds.select(*keys, "n", "below"), keys)
+    upto = F.sum("many").over(Window.partitionBy(*keys).orderBy("value"))
+    values = values.withColumn("upto", upto).where((C("upto") >= first) & (C("upto") - C("many") < second))
+    return values.groupBy(*keys).agg((F.min("value") * 0.5 + F.max("value") * 0.5).alias("median"))
+
+
+def labelled(rows: DataFrame, horizons: list[int] = HORIZONS, most: int = MOST_A_DAY) -> DataFrame:
+    """Features with label_abs (return above 0) and label_rel (above the day's median). The features are made
+    once, in a written table; medians, a row for each day, come back as a broadcast while they are few."""
+    rows = staged(rows)
+    medians = day_medians(rows, horizons, most).groupBy("trade_date").agg(*[F.max(F.when(C("horizon") == h, C("median"))).alias(f"median_{h}") for h in horizons])
+    medians = staged(medians)
+    out = rows.join(F.broadcast(medians) if medians.count() <= MOST_A_DAY else medians, "trade_date", "left")
     label = lambda test: F.when(test, 1.0).when(~test, 0.0)
     for h in horizons:
         r = C(f"fwd_return_{h}")
         out = out.withColumns({f"label_abs_{h}": label(r > 0), f"label_rel_{h}": label(r > C(f"median_{h}"))})
-    return out.drop(*[f"median_{h}" for h in horizons])
+    return out.select("ticker", *[c for c in out.columns if c != "ticker" and not c.startswith("median_")])
 
 
 def long_form(rows: DataFrame, horizons: list[int] = HORIZONS, mode: str = "rel") -> DataFrame:
@@ -95,14 +130,21 @@ def majority_baseline(parts: DataFrame) -> DataFrame:
     return per.select("horizon", "fold", F.when(C("a") > C("b"), 1.0).otherwise(0.0).alias("majority"), F.round(F.try_divide(F.when(C("a") > C("b"), C("c")).otherwise(C("d")), C("c") + C("d")), 8).alias("baseline_accuracy"))
 
 
-def auc(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Exact ROC AUC with ties by half and accuracy at score > 0.5; null for one class. Rows
-    are summed by score first, so the window runs over distinct scores only."""
-    per = rows.groupBy(*keys, score).agg(F.count_if(C(label) == 1).alias("p"), F.count_if(C(label) == 0).alias("q"))
-    by = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("below", F.coalesce(F.sum("q").over(by), F.lit(0)))
-    right = F.sum(F.when(C(score) > 0.5, C("p")).otherwise(C("q")))
-    out = per.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"), F.sum(C("p") * (C("below") + C("q") / 2)).alias("u"), right.alias("right"))
+def auc(rows: DataFrame, keys: list[str], score: str = "score", label: str = "label", parts: int | None = None) -> DataFrame:
+    """Exact ROC AUC with ties by half and accuracy at score > 0.5; null for one class. Rows are summed by score
+    and dealt by ranges of (keys, score), so that one fold is in many tasks; each adds up its own range, and the sums of
+    ranges, a row for each task and key, are put together."""
+    per = staged(rows.groupBy(*keys, score).agg(F.count_if(C(label) == 1).alias("p"), F.count_if(C(label) == 0).alias("q")))
+    by = [*keys, score]
+    ranged = per.repartitionByRange(parts, *by) if parts else per.repartitionByRange(*by)
+    placed = staged(ranged.sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())).withColumn("task", F.shiftright("at", 33))
+    inner = Window.partitionBy("task", *keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("below", F.coalesce(F.sum("q").over(inner), F.lit(0)))
+    right = F.sum(F.when(C(score) > 0.5, C("p")).otherwise(C("q"))).alias("right")
+    local = placed.groupBy("task", *keys).agg(F.sum("p").alias("P"), F.sum("q").alias("Q"), F.sum(C("p") * (C("below") + C("q") / 2)).alias("u"), right)
+    before = F.coalesce(F.sum("Q").over(Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = local.withColumn("u", C("u") + before * C("P"))
+    out = local.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("P", "Q", "u", "right")])
     both = (C("P") > 0) & (C("Q") > 0)
     return out.select(*keys, F.when(both, C("right") / (C("P") + C("Q"))).alias("accuracy"), F.when(both, C("u") / (C("P") * C("Q"))).alias("auc"))
 

@@ -17,7 +17,7 @@ from .plans import recommend as R
 from .plans import training as T
 from .sources import adapters as A
 from .sources import ingest as I
-from .sources.shared import shared_folder
+from .sources.shared import shared_folder, staged
 from .streaming.refresh import incremental_refresh
 
 C = F.col
@@ -423,7 +423,9 @@ def _long(bars, horizons=(3, 50), mode="rel"):
 
 @on_bars("SELECT trade_date, round(median(fwd_return_3), 8) AS median_3, round(median(fwd_return_50), 8) AS median_50 FROM feat GROUP BY trade_date")
 def market_median(bars):
-    return T.features(bars, [3, 50]).groupBy("trade_date").agg(*[F.round(F.median(f"fwd_return_{h}"), 8).alias(f"median_{h}") for h in (3, 50)])
+    rows = staged(T.features(bars, [3, 50]))
+    per = T.day_medians(rows, [3, 50]).join(rows.select("trade_date").distinct(), "trade_date", "right")
+    return per.groupBy("trade_date").agg(*[F.round(F.max(F.when(C("horizon") == h, C("median"))), 8).alias(f"median_{h}") for h in (3, 50)])
 
 
 @on_bars("SELECT ticker, trade_date, horizon, target_date, label_abs, label FROM long")
@@ -640,7 +642,7 @@ for _rule in R.RULES:
 
     def _score(spark, sf, r=_rule):
         bars = A.bars(spark, sf).select("ticker", "trade_date", "close", "volume")
-        ind = numbered(with_ema(bars)) if r == "macd" else with_windows(bars)
+        ind = with_ema(bars) if r == "macd" else with_windows(bars)
         return ind.where("rn >= 60").select("ticker", "trade_date", R.rule(r).alias(f"{r}_score"))
 
     query(f"SELECT ticker, trade_date, {_rule}_score FROM scored WHERE rn >= 60", f"score_{_rule}")(_score)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 RUN_DATE = "2001-11-04"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +45,22 @@ def bars_of(tick: DataFrame) -> DataFrame:
     )
 
 
+def bar_states(tick: DataFrame) -> DataFrame:
+    """Daily bars that can be merged: the first and the last tick by sequence, high, low and sum. Ticks of a day may
+    come in any number of parts and in any order."""
+    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "px", "qty")
+    return tick.groupBy("ticker", "trade_date").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.max("px").alias("high"), F.min("px").alias("low"), F.sum("qty").alias("volume"))
+
+
+def merged_states(states: DataFrame, *keys: str) -> DataFrame:
+    """One state for each bar."""
+    return states.groupBy("ticker", "trade_date", *keys).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+
+
+def bars_from(states: DataFrame, *keys: str) -> DataFrame:
+    return states.select("ticker", "trade_date", *keys, F.col("first.px").alias("open"), "high", "low", F.col("last.px").alias("close"), "volume")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(ticks(spark, sf_dir))
 

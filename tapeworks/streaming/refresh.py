@@ -2,87 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.recommend import technical_snapshot
-from ..sources.adapters import RUN_DATE, bars_of, ticks_of
-from ..sources.ingest import BAR_KEY, SCORE_KEY, merge
-from ..sources.shared import shared_folder
-
-BARS = "ticker string, trade_date date, open int, high int, low int, close int, volume long"
-SCORES = "ticker string, calc_date date, technical_score double, rise_probability double"
-
-
-class Store:
-    """Bars by month and scores by batch in a folder. A batch writes whole months that it
-    touches and the scores that it changes, then a mark; readers take, of marked batches
-    only, the newest version of each month and of each score."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def marks(self, below: int | None = None) -> DataFrame:
-        """Batches that are committed, each in a row."""
-        rows = self._read("marks", "done boolean, batch int").select("batch")
-        return rows if below is None else rows.where(F.col("batch") < below)
-
-    def bars(self, below: int | None = None) -> DataFrame:
-        rows = self._read("bars", BARS + ", batch int, month string").join(F.broadcast(self.marks(below)), "batch")
-        newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))  # a row a month
-        return rows.join(F.broadcast(newest), ["month", "batch"]).drop("batch")
-
-    def scores(self, below: int | None = None) -> DataFrame:
-        rows = self._read("scores", SCORES + ", batch int").join(F.broadcast(self.marks(below)), "batch")
-        newest = rows.groupBy(*SCORE_KEY).agg(F.max_by(F.struct("technical_score", "rise_probability"), "batch").alias("s"))
-        return newest.select(*SCORE_KEY, "s.*")
-
-    def write(self, kind: str, batch: int, rows: DataFrame, *by: str) -> None:
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{kind}/batch={batch}")
-
-    def commit(self, batch: int) -> None:
-        self.spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch}")
-
-
-def incremental_refresh(spark: SparkSession, ticks_path: str, folder: str | None = None, run_date: str = RUN_DATE) -> DataFrame:
-    """Streams the files of ticks_path through to the end of what is there: each batch merges
-    its daily bars and scores the tickers it touches anew. Returns the scores.
-
-    A batch reads what is committed below its number, so one that is tried again replaces
-    itself. A later call with the same folder goes on after the last file; without new files
-    it gives the same scores. Late or corrected bars take the place of their key, so there is
-    no watermark."""
-    store = Store(spark, folder or shared_folder(spark))
+from ..operators.indicators import averaged, windowed
+from ..operators.series import STATE, chunks, laid, states, summaries
+from ..plans.recommend import snapshot_rows, with_scores
+from ..sources.adapters import RUN_DATE, bar_states, bars_from, merged_states, ticks_of
+from ..sources.ingest import SCORE_KEY, merge
+from ..sources.shared import shared_folder, staged
+from ..sources.store import Store, month_of
+
+TICK = "struct<l_orderkey:bigint,l_linenumber:int,l_partkey:bigint,px:int,qty:bigint>"
+#: Bars that can be merged, by month; the state of a ticker before each month with bars of it, and
+#: the month from which the bars that windows read come; scores by bucket of tickers.
+KINDS = {
+    "bars": (f"ticker string, trade_date date, first {TICK}, last {TICK}, high int, low int, volume long", "month"),
+    "points": (f"ticker string, state {STATE}, back_month string", "month"),
+    "scores": ("ticker string, calc_date date, technical_score double, rise_probability double", "bucket"),
+}
+#: Buckets of scores; months in which the last point of a ticker is looked for first.
+SCORE_BUCKETS, RECENT = 16, 3
+
+
+def _points(store: Store, touched: DataFrame, since: list[str], below: int) -> DataFrame:
+    """Of each touched ticker (since: its first month with news) the last point at or before that month. A
+    ticker is looked for in the latest months first, then in all."""
+    months = sorted(m for m in store.versions("points", below) if m <= max(since))
+
+    def latest(parts, who):
+        own = store.read("points", parts, below).join(who, "ticker").where("month <= since")
+        return own.groupBy("ticker").agg(F.max_by(F.struct(F.col("month").alias("from_chunk"), "state", "back_month"), "month").alias("p")).select("ticker", "p.*")
+
+    # Only months right before since are the latest ones; a ticker with late news is looked for there, too.
+    first = sorted({m for s in since for m in [x for x in months if x <= s][-RECENT:]})
+    found = staged(latest(first, touched))
+    rest = [m for m in months if m not in first]
+    lack = touched.join(found, "ticker", "left_anti")
+    if rest and lack.limit(1).count():
+        found = staged(found.unionByName(latest(rest, lack)))
+    return found
+
+
+def apply_ticks(store: Store, ticks: DataFrame, number: int, run_date: str = RUN_DATE) -> None:
+    """One batch: its bars are merged into their months, and the tickers it touches are run again from the last point
+    before the first month with news, over the months since then and those that windows reach back to. Late ticks
+    restart a ticker from the point before them. Nothing is seen by readers before the commit."""
+    new = staged(bar_states(ticks).withColumn("month", month_of()))
+    months = sorted(r.month for r in new.select("month").distinct().collect())
+    if not months:
+        return
+    touched = staged(new.groupBy("ticker").agg(F.min("month").alias("since")))
+    since = sorted(r.since for r in touched.select("since").distinct().collect())
+    fresh = store.write("bars", number, merged_states(store.read("bars", months, number).unionByName(new), "month"), months)
+
+    start = _points(store, touched, since, number)
+    asked = staged(touched.join(start, "ticker", "left").withColumn("reach", F.coalesce("back_month", "since")))
+    reach = asked.agg(F.min("reach")).first()[0]
+    before = [m for m in store.versions("bars", number) if m >= reach and m not in months]
+    every = store.read("bars", before, number).unionByName(fresh).join(asked.select("ticker", "reach"), "ticker").where("month >= reach")
+    parts = staged(chunks(bars_from(every, "month").select("ticker", "trade_date", "close", "volume", "month"), F.col("month")))
+    row = parts.schema["rows"].dataType.elementType.simpleString()
+    run = staged(states(summaries(parts), row, start=asked.where("from_chunk is not null").select("ticker", "from_chunk", "state")))
+
+    back = F.coalesce(F.get("back", F.lit(0))["month"], F.col("chunk"))
+    points = run.join(touched, "ticker").where("chunk >= since").select("ticker", "state", back.alias("back_month"), F.col("chunk").alias("month"))
+    changed = sorted(r.chunk for r in run.join(touched, "ticker").where("chunk >= since").select("chunk").distinct().collect())
+    store.write("points", number, merge(store.read("points", changed, number), points, ["ticker", "month"], [F.col("back_month")]), changed)
+
+    last = run.groupBy("ticker").agg(F.max("chunk").alias("chunk"))
+    rows = windowed(averaged(laid(parts.join(run.join(last, ["ticker", "chunk"]), ["ticker", "chunk"])))).where("own and place = many")
+    snap = snapshot_rows(with_scores(rows)).select("ticker", F.lit(run_date).cast("date").alias("calc_date"), "technical_score", "rise_probability")
+    snap = staged(snap.withColumn("bucket", F.lpad(F.pmod(F.xxhash64("ticker"), F.lit(SCORE_BUCKETS)).cast("string"), 2, "0")))
+    buckets = sorted(r.bucket for r in snap.select("bucket").distinct().collect())
+    store.write("scores", number, merge(store.read("scores", buckets, number), snap, SCORE_KEY, [F.col("technical_score")]), buckets)
+    store.commit(number, {"bars": months, "points": changed, "scores": buckets})
+
+
+def incremental_refresh(spark: SparkSession, ticks_path: str, folder: str | None = None, run_date: str = RUN_DATE, files: int = 4) -> DataFrame:
+    """Streams the files of ticks_path, so many a batch, through to the end of what is there (see apply_ticks). Returns the scores.
+
+    A batch reads what is committed below its number, so one that is tried again replaces itself. A later call with the
+    same folder goes on after the last file; without new files it gives the same scores. The ticks of a day may lie in any files and
+    batches: bars are merged by the sequence of their ticks, so the order of files does not matter and there is no watermark."""
+    store = Store(spark, folder or shared_folder(spark), KINDS)
 
     def refresh(batch: DataFrame, number: int) -> None:
-        new = bars_of(ticks_of(batch)).withColumn("month", F.date_format("trade_date", "yyyy-MM"))
-        months = new.select("month").distinct()
-        old = store.bars(number).join(F.broadcast(months), "month", "left_semi")
-        store.write("bars", number, merge(old, new, BAR_KEY, [F.col("close")]), "month")
-        fresh = spark.read.schema(BARS + ", month string").parquet(f"{store.folder}/bars/batch={number}")
-        every = store.bars(number).join(F.broadcast(fresh.select("month").distinct()), "month", "left_anti").unionByName(fresh)
-        touched = every.join(new.select("ticker").distinct(), "ticker", "left_semi").drop("month")
-        scores = technical_snapshot(touched).select("ticker", F.lit(run_date).cast("date").alias("calc_date"), "technical_score", "rise_probability")
-        store.write("scores", number, scores)
-        store.commit(number)
+        apply_ticks(store, ticks_of(batch), number, run_date)
 
     there = spark.read.parquet(ticks_path)
     parent, _, name = ticks_path.rstrip("/").rpartition("/")
-    files = there.inputFiles()
-    reader = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", 4)
-    if len(files) == 1 and files[0].endswith(f"/{name}"):  # a file source watches a folder: the file is picked in it by name
+    inputs = there.inputFiles()
+    reader = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files)
+    if len(inputs) == 1 and inputs[0].endswith(f"/{name}"):  # a file source watches a folder: the file is picked in it by name
         stream = reader.option("pathGlobFilter", name).parquet(parent)
     else:
         stream = reader.parquet(ticks_path)
     job = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{store.folder}/progress").trigger(availableNow=True).start()
     job.awaitTermination()
-    return store.scores()
+    return store.read("scores").drop("bucket")
