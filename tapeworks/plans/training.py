@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from functools import partial
 
 import numpy as np
@@ -48,24 +49,31 @@ def day_medians(rows: DataFrame, horizons: list[int] = HORIZONS, most: int = MOS
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"fwd_return_{h}").alias("value")) for h in horizons]))
     each = rows.select("trade_date", each.alias("e")).select("trade_date", "e.*").where("value is not null")
     keys = ["trade_date", "horizon"]
-    count, ends = F.count("*").alias("n"), [F.min("value").alias("lo"), F.max("value").alias("hi")]
-    bounds = staged(each.groupBy(*keys).agg(count, *ends).withColumns({"inside": C("n"), "below": F.lit(0).cast("long")}))
-    open_ = F.max(F.when(C("lo") < C("hi"), C("inside")))
+    ends = [F.min("value").alias("lo"), F.max("value").alias("hi")]
+    bounds = staged(each.groupBy(*keys).agg(F.count("*").alias("n"), *ends).withColumns({"inside": C("n"), "below": F.lit(0).cast("long")}))
     first, second = F.floor((C("n") + 1) / 2) - C("below"), F.floor(C("n") / 2) + 1 - C("below")  # the middle ranks, from 1
-    narrowed = False
-    while (bounds.agg(open_).first()[0] or 0) > most:
-        narrowed = True
-        bucket = F.when(C("hi") > C("lo"), F.least(F.floor((C("value") - C("lo")) / (C("hi") - C("lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
+    wide, solved = (C("lo") < C("hi")) & (C("inside") > most), []
+    narrow = [bounds.where(~wide)]
+    bounds = bounds.where(wide)
+    while bounds.limit(1).count():
+        bucket = F.least(F.floor((C("value") - C("lo")) / (C("hi") - C("lo")) * BUCKETS), F.lit(BUCKETS - 1))  # the first has lo, the last hi
         inside = each.join(bounds, keys).where("value >= lo and value <= hi").groupBy(*keys, "n", "below", bucket.alias("bucket")).agg(F.count("*").alias("many"), *ends)
         upto = F.sum("many").over(Window.partitionBy(*keys).orderBy("bucket"))  # at most BUCKETS rows
         inside = inside.withColumn("upto", upto).where((C("upto") >= first) & (C("upto") - C("many") < second))
-        bounds = staged(inside.groupBy(*keys, "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("many").alias("inside"), (F.min(C("below") + C("upto") - C("many"))).alias("below")))
-    if narrowed:
-        each = each.join(bounds.select(*keys, "lo", "hi"), keys).where("value >= lo and value <= hi")
-    values = each.groupBy(*keys, "value").agg(F.count("*").alias("many")).join(bounds.select(*keys, "n", "below"), keys)
+        bounds = inside.groupBy(*keys, "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("hi", -C("bucket")).alias("a"), F.max_by("lo", "bucket").alias("b"), F.sum("many").alias("inside"), F.min(C("below") + C("upto") - C("many")).alias("below"), F.count("*").alias("buckets"))
+        bounds = staged(bounds)
+        solved.append(bounds.where("buckets = 2").select(*keys, (C("a") * 0.5 + C("b") * 0.5).alias("median")))  # the last of one and the first of the next
+        bounds = bounds.where("buckets = 1").drop("a", "b", "buckets")
+        narrow.append(bounds.where(~wide))
+        bounds = bounds.where(wide)
+    left = functools.reduce(DataFrame.unionByName, narrow)
+    if solved:
+        each = each.join(left.select(*keys, "lo", "hi"), keys).where("value >= lo and value <= hi")
+    values = each.groupBy(*keys, "value").agg(F.count("*").alias("many")).join(left.select(*keys, "n", "below"), keys)
     upto = F.sum("many").over(Window.partitionBy(*keys).orderBy("value"))
     values = values.withColumn("upto", upto).where((C("upto") >= first) & (C("upto") - C("many") < second))
-    return values.groupBy(*keys).agg((F.min("value") * 0.5 + F.max("value") * 0.5).alias("median"))
+    found = values.groupBy(*keys).agg((F.min("value") * 0.5 + F.max("value") * 0.5).alias("median"))
+    return functools.reduce(DataFrame.unionByName, [found, *solved])
 
 
 def labelled(rows: DataFrame, horizons: list[int] = HORIZONS, most: int = MOST_A_DAY) -> DataFrame:

@@ -18,6 +18,7 @@ from .plans import training as T
 from .sources import adapters as A
 from .sources import ingest as I
 from .sources.shared import shared_folder, staged
+from .sources.store import Store, month_of
 from .streaming.refresh import incremental_refresh
 
 C = F.col
@@ -31,7 +32,7 @@ def query(oracle: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if oracle:
-            SQL[key] = sql.WITH + oracle
+            SQL[key] = oracle if oracle.startswith("WITH") else sql.WITH + oracle
         return f
 
     return add
@@ -132,8 +133,12 @@ def upsert_stocks(spark, sf):
 @query("""SELECT ticker, trade_date, open, high, low, close, volume FROM bars WHERE (ticker, trade_date) NOT IN (SELECT ticker, trade_date FROM ticks WHERE qty >= 25)
 UNION ALL SELECT ticker, trade_date, px, px, px, px, qty FROM (SELECT *, row_number() OVER (PARTITION BY ticker, trade_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, px DESC, qty DESC) AS r FROM ticks WHERE qty >= 25) WHERE r = 1""")
 def upsert_bars(spark, sf):
+    """Late bars merged into a table laid out by month: only months with late bars are read and written again."""
     late = A.ticks(spark, sf).where("qty >= 25").select("ticker", "trade_date", *[C("px").alias(c) for c in ("open", "high", "low", "close")], C("qty").alias("volume"), "l_orderkey", "l_linenumber", "l_partkey")
-    return I.merge(A.bars(spark, sf), late, I.BAR_KEY, [C(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "close", "volume")])
+    store = Store(spark, shared_folder(spark), {"bars": ("ticker string, trade_date date, open int, high int, low int, close int, volume long", "month")})
+    store.upsert("bars", A.bars(spark, sf).withColumn("month", month_of()), I.BAR_KEY, [C("close")])
+    store.upsert("bars", late.withColumn("month", month_of()), I.BAR_KEY, [C(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "close", "volume")])
+    return store.read("bars").drop("month")
 
 
 def _snap(spark, sf):
@@ -148,6 +153,17 @@ def technical_snapshot(spark, sf):
     return _snap(spark, sf).select(*SNAP_COLUMNS, "last_date")
 
 
+#: The ends of twelve months, the last of them beyond some tickers' last bar.
+AS_OF = ["2000-11-30", "2000-12-31", "2001-01-31", "2001-02-28", "2001-03-31", "2001-04-30", "2001-05-31", "2001-06-30", "2001-07-31", "2001-08-31", "2001-09-30", "2001-10-31"]
+
+
+@query(f"""SELECT d.as_of, ticker, trade_date AS last_date, CASE WHEN rn >= 60 THEN {sql.R2.format('ma20')} END AS ma20, CASE WHEN rn >= 60 THEN {sql.R2.format('rsi')} END AS rsi, CASE WHEN rn >= 60 THEN {sql.R2.format('macd')} END AS macd,
+CASE WHEN rn >= 60 THEN {sql.R2.format('raw_score')} ELSE 50.0 END AS technical_score, CASE WHEN rn >= 60 THEN {sql.R2.format('heuristic')} ELSE 50.0 END AS rise_probability
+FROM scored JOIN (SELECT unnest({AS_OF})::DATE AS as_of) d ON trade_date <= d.as_of QUALIFY row_number() OVER (PARTITION BY d.as_of, ticker ORDER BY trade_date DESC) = 1""")
+def technical_snapshot_as_of(spark, sf):
+    return R.snapshots(A.bars(spark, sf), AS_OF).select("as_of", "ticker", "last_date", "ma20", "rsi", "macd", "technical_score", "rise_probability")
+
+
 @query("SELECT ticker, DATE '2001-11-03' AS calc_date, 50.0::DOUBLE AS technical_score FROM stocks UNION ALL SELECT ticker, DATE '2001-11-04', technical_score FROM snap")
 def upsert_technical_scores(spark, sf):
     old = A.stocks(spark, sf).select("ticker", F.explode(F.array(*[F.lit(d).cast("date") for d in ("2001-11-03", "2001-11-04")])).alias("calc_date"), F.lit(50.0).alias("technical_score"))
@@ -440,9 +456,12 @@ def dataset_for_horizon(bars):
     return _long(bars, [50]).select("ticker", "trade_date", "target_date", "label")
 
 
-@on_bars("SELECT ticker, trade_date, priceVsMa5, fwd_return_50, target_date_50 FROM feat")
-def build_dataset(bars):
-    return T.features(bars, [50]).select("ticker", "trade_date", "priceVsMa5", "fwd_return_50", "target_date_50")
+@query(sql.DATASET)
+def build_dataset(spark, sf):
+    """All features, and for all twelve horizons the forward return, its date and both labels."""
+    rows = _wide(A.bars(spark, sf))
+    cols = [c for h in T.HORIZONS for c in (F.round(f"fwd_return_{h}", 9).alias(f"fwd_return_{h}"), f"target_date_{h}", f"label_abs_{h}", f"label_rel_{h}")]
+    return rows.select("ticker", "trade_date", *S.FEATURES[:-1], F.round("logVolumeRatio", 9).alias("logVolumeRatio"), *cols)
 
 
 @on_bars("SELECT horizon, count(*) AS samples, round(avg(label), 8) AS positive_rate FROM long GROUP BY horizon")

@@ -59,7 +59,7 @@ def _rules(source: str, signal: str, band: str, trend: str) -> str:
 
 _SUM = "ma_score * 0.30::DOUBLE + rsi_score * 0.20::DOUBLE + macd_score * 0.20::DOUBLE + bb_score * 0.15::DOUBLE + volume_score * 0.15::DOUBLE"
 _HEUR = "100 / (1 + exp(-2.2::DOUBLE * ({}))) ".format(" + ".join(f"({c}_score - 50) / 50 * {w}::DOUBLE" for c, w in (("ma", 0.30), ("rsi", 0.20), ("macd", 0.20), ("bb", 0.15), ("volume", 0.15))))
-_R2 = "floor({} * 100 + 0.5) / 100"
+_R2 = R2 = "floor({} * 100 + 0.5) / 100"
 _NUMBERS = ("ma5", "ma20", "ma60", "rsi", "macd", "macd_signal", "macd_histogram", "bb_upper", "bb_lower", "bb_percent_b", "volume_ratio")
 _REASON = " || ' ' || ".join(
     [
@@ -157,3 +157,14 @@ FROM (SELECT round_even(ret, 2) AS r, ret > 0 AS win FROM ({priced(top)}))"""
 
 RANDOM = f"""SELECT 'random' AS label, count(*) || ' trials' AS trades, round_even(round(avg(win_rate), 8), 1) AS win_rate, {_two('avg(avg_return)')} AS avg_return, {_two('avg(median_return)')} AS median_return, {_two('stddev_samp(avg_return)')} AS std_return, {_two('min(avg_return)')} AS min_return, {_two('max(avg_return)')} AS max_return FROM trials"""
 COMPARISON = f"{summary('score_v1', 'v1')} UNION ALL {summary('score_v2', 'v2')} UNION ALL {RANDOM}"
+
+
+#: All of SURVEY's horizons, in place of the two of the shared views.
+_ALL = (3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)
+_LEADS = ", ".join(f"lead(close, {h}) OVER z / close::DOUBLE - 1 AS fwd_return_{h}, lead(trade_date, {h}) OVER z AS target_date_{h}" for h in _ALL)
+_LABELS = ", ".join(
+    f"round(fwd_return_{h}, 9) AS fwd_return_{h}, target_date_{h}, (fwd_return_{h} > 0)::INT::DOUBLE AS label_abs_{h}, (fwd_return_{h} > m{h})::INT::DOUBLE AS label_rel_{h}" for h in _ALL
+)
+_MEDIANS = ", ".join(f"median(fwd_return_{h}) AS m{h}" for h in _ALL)
+_FEATURES = ", ".join(f if f != "logVolumeRatio" else "round(logVolumeRatio, 9) AS logVolumeRatio" for f in FEATURES.split(", "))
+DATASET = WITH.replace(_FWD, _LEADS) + f"SELECT ticker, trade_date, {_FEATURES}, {_LABELS} FROM feat JOIN (SELECT trade_date, {_MEDIANS} FROM feat GROUP BY trade_date) USING (trade_date)"
