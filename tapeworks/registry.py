@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,6 +72,17 @@ def load_bars(bars):
     return I.load_bars(bars)
 
 
+@on_bars("SELECT ticker, trade_date, close::DOUBLE AS close, volume::DOUBLE AS volume FROM bars")
+def load_bars_jdbc(bars):
+    """Bars written to a database and read back in balanced ranges. The database lives in the driver's JVM,
+    so this entry is for a local master; read_balanced itself is for any."""
+    spark, options = bars.sparkSession, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    named = bars.select("ticker", "trade_date", "close", "volume").toDF("TICKER", "TRADE_DATE", "CLOSE_", "VOLUME")
+    named.coalesce(1).write.option("createTableColumnTypes", "TICKER VARCHAR(32)").jdbc(url, "BARS", properties=options)
+    return I.load_bars(I.read_balanced(spark, url, "BARS", "TRADE_DATE", 8, **options).toDF("ticker", "trade_date", "close", "volume"))
+
+
 @query("SELECT ticker, trade_date, close::DOUBLE AS close, volume::DOUBLE AS volume, name FROM bars JOIN stocks USING (ticker)")
 def load_bars_named(spark, sf):
     return I.load_bars_named(A.bars(spark, sf), A.stocks(spark, sf))

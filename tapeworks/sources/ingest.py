@@ -57,10 +57,21 @@ def merge(target: DataFrame, updates: DataFrame, keys: list[str], order: list[Co
 
 
 def insert_new(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows of the batch whose key is not stored, each key once, the first in order."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    fresh = batch.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return fresh.join(stored.select(keys).distinct(), keys, "left_anti").select(batch.columns)
+    """Rows of the batch whose key is not stored, each key once, the first in order. A null key part equals a null, so that
+    reruns add nothing. Keys are hashed: stored rows are first held against the batch's hashes, eight bytes each, so of the stored
+    table only what the batch may have travels; equality is checked then."""
+    hashed = F.xxhash64(*keys).alias("_h")
+    first = Window.partitionBy("_h").orderBy(*keys, *order)
+    fresh = batch.select("*", hashed)
+    same = functools.reduce(Column.__and__, [F.lag(k).over(first).eqNullSafe(F.col(k)) for k in keys])
+    fresh = fresh.withColumns({"_r": F.row_number().over(first), "_same": same}).where("_r = 1 or not _same")
+    old = stored.select(*[F.col(k).alias(f"_{k}") for k in keys], hashed).join(fresh.select("_h").distinct(), "_h", "left_semi").withColumnRenamed("_h", "_old")
+    known = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_h") == F.col("_old"))
+    return fresh.join(old, known, "left_anti").select(batch.columns)
+
+
+#: Fixed value: the summary of a response that cannot be read.
+BROKEN = "응답 파싱 실패"
 
 
 def parse_sentiment(body: Column) -> Column:
@@ -71,7 +82,7 @@ def parse_sentiment(body: Column) -> Column:
     return F.struct(
         F.when(good, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))).otherwise(0.0).alias("score"),
         F.when(good, F.coalesce(F.get_json_object(text, "$.label"), F.lit("NEUTRAL"))).otherwise("NEUTRAL").alias("label"),
-        F.when(good, F.coalesce(F.get_json_object(text, "$.summary"), F.lit(""))).otherwise("응답 파싱 실패").alias("summary"),
+        F.when(good, F.coalesce(F.get_json_object(text, "$.summary"), F.lit(""))).otherwise(BROKEN).alias("summary"),
     )
 
 
@@ -155,6 +166,7 @@ def write_comparison(summaries: DataFrame, path: str) -> None:
     summaries.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+# The fields of a model file.
 MODEL = (
     "featureNames array<string>, featureMeans array<double>, featureStds array<double>, weights array<double>, bias double, sampleCount long,"
     " positiveRate double, forwardDays int, labelMode string, trainedAt string, holdoutAccuracy double, holdoutAuc double, baselineAccuracy double,"
@@ -185,6 +197,35 @@ def save_walk_forward(folds: DataFrame, sweep: DataFrame, path: str) -> None:
     one.join(two).coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Distinct keys from which ranges of a database's table are made; the database counts them.
+MAX_KEYS = 200_000
+
+
+def balanced_ranges(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> list[str]:
+    """Conditions that cut a table of a database into ranges of about as many rows each, by the counts of
+    the column's values, which the database sums up. The column must have MAX_KEYS values at most, such as dates; one value is one range at least."""
+    counts = spark.read.jdbc(url, f"(SELECT {column} AS K, COUNT(*) AS N FROM {table} GROUP BY {column}) COUNTED", properties=options)
+    rows = counts.limit(MAX_KEYS + 1).collect()
+    if len(rows) > MAX_KEYS:
+        raise ValueError(f"{column} has more than {MAX_KEYS} values")
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    total, seen, starts = sum(r[1] for r in known), 0, []
+    for r in known:
+        if seen >= total * len(starts) / parts:
+            starts.append(r[0])
+        seen += r[1]
+    text = [str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'" for x in starts[1:]]
+    if not text:
+        return ["1 = 1"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(text[:-1], text[1:], strict=True)]
+    return [f"{column} < {text[0]} OR {column} IS NULL", *inner, f"{column} >= {text[-1]}"]
+
+
+def read_balanced(spark: SparkSession, url: str, table: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A table of a database, a task for each of its balanced ranges; filters and columns are pushed down."""
+    return spark.read.jdbc(url, table, predicates=balanced_ranges(spark, url, table, column, parts, **options), properties=options)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: str, upper: str, parts: int, **options: str) -> DataFrame:
     """A table of a database, read in parallel ranges of a column."""
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=options)

@@ -111,9 +111,9 @@ bars AS MATERIALIZED (SELECT ticker, trade_date, first(px ORDER BY l_orderkey, l
 stocks AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS ticker, s_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, floor((s_acctbal + 1000) * 1000000)::BIGINT AS market_cap, '20011104' AS base_date FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 news AS (SELECT lpad((doc_id % (SELECT count(*) FROM supplier))::VARCHAR, 6, '0') AS ticker, DATE '2001-10-01' + (doc_id % 35)::INT AS news_date, trim(split_part(text, chr(10), 1)) AS headline, '/item/news_read?id=' || doc_id AS url,
   ((n_chars % 201) - 100) / 100.0::DOUBLE AS sentiment_score, doc_id % 3 = 0 AS stored, doc_id AS seq FROM documents),
-fresh AS (SELECT * FROM (SELECT * FROM news WHERE NOT stored QUALIFY row_number() OVER (PARTITION BY ticker, headline, news_date ORDER BY seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM news s WHERE s.stored AND s.ticker = f.ticker AND s.headline = f.headline AND s.news_date = f.news_date)),
+fresh AS (SELECT * FROM (SELECT * FROM news WHERE NOT stored QUALIFY row_number() OVER (PARTITION BY ticker, headline, news_date ORDER BY seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM news s WHERE s.stored AND s.ticker = f.ticker AND s.headline IS NOT DISTINCT FROM f.headline AND s.news_date = f.news_date)),
 best5 AS (SELECT * FROM news WHERE NOT stored QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY seq) <= 5),
-fresh5 AS (SELECT * FROM (SELECT * FROM best5 QUALIFY row_number() OVER (PARTITION BY ticker, headline, news_date ORDER BY seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM news s WHERE s.stored AND s.ticker = f.ticker AND s.headline = f.headline AND s.news_date = f.news_date)),
+fresh5 AS (SELECT * FROM (SELECT * FROM best5 QUALIFY row_number() OVER (PARTITION BY ticker, headline, news_date ORDER BY seq) = 1) f WHERE NOT EXISTS (SELECT 1 FROM news s WHERE s.stored AND s.ticker = f.ticker AND s.headline IS NOT DISTINCT FROM f.headline AND s.news_date = f.news_date)),
 mood0 AS ({_mood("sentiment_score")}),
 mood AS (SELECT ticker, round(sentiment, 6) + 0.0 AS sentiment FROM mood0),
 told AS (SELECT doc_id AS seq, CASE WHEN doc_id % 8 = 2 THEN 1 WHEN doc_id % 8 = 6 THEN -1 WHEN doc_id % 8 IN (5, 7) THEN 0 ELSE coalesce(((n_chars % 201) - 100) / 100.0::DOUBLE, 0) END::DOUBLE AS score,

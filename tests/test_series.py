@@ -157,6 +157,25 @@ def test_upsert_touches_its_months_only(spark, tmp_path):
     assert Store(spark, f"file://{tmp_path}/none", kinds).read("bars").count() == 0
 
 
+def test_insert_new_takes_nulls_as_equal(spark):
+    schema = "ticker string, headline string, seq int"
+    stored = spark.createDataFrame([("A", None, 1), ("A", "x", 2), (None, "x", 3)], schema)
+    batch = spark.createDataFrame([("A", None, 9), ("A", "x", 8), (None, "x", 7), ("A", "y", 6), ("A", "y", 5), ("B", None, 4), ("B", None, 3), (None, None, 2)], schema)
+    once = I.insert_new(stored, batch, ["ticker", "headline"], ["seq"])
+    assert sorted(map(tuple, once.collect()), key=str) == sorted([("A", "y", 5), ("B", None, 3), (None, None, 2)], key=str)
+    assert I.insert_new(stored.unionByName(once), batch, ["ticker", "headline"], ["seq"]).collect() == []
+
+
+def test_balanced_ranges(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    skewed = spark.range(2000).select(F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.sqrt("id")).cast("int")).alias("D"), F.col("id").alias("V"))
+    skewed.union(spark.range(3).select(F.lit(None).cast("date"), "id")).coalesce(1).write.jdbc(url, "T", properties=options)
+    got = I.read_balanced(spark, url, "T", "D", 6, **options)
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 6 and max(sizes) <= 2 * sorted(sizes)[3] and got.count() == 2003
+    assert I.balanced_ranges(spark, url, "(SELECT * FROM T WHERE D IS NULL) E", "D", 4, **options) == ["1 = 1"]
+
+
 # ---- refresh
 
 
