@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive, tags negative; words of
 menus, adverts and other furniture, and those outside a page's main element, score
-negative, too. Furniture within the main element scores nothing and is left out. A linear
+negative, too. Tags and furniture within the main element score nothing, and furniture there is left out, so
+that no part of an article is lost to its markup. A linear
 scan finds the contiguous region of the highest sum. The weights are log-odds of being inside the main element,
 counted over the labelled pages: those whose own markup marks an article or main element.
 """
@@ -22,7 +23,7 @@ from .common import lean
 
 # Element names of HTML.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "xmp", "iframe"}
-FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "figcaption", "head", "label", "fieldset"}
+FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "head", "label", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
@@ -31,8 +32,16 @@ NOT_MAIN = {"ad", "ads", "advert", "comment", "comments", "promo", "promoted", "
 # Words of class, id and role names that mark furniture.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "contentinfo", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+# Marks that say so as the first or the last part of a name, whatever the rest; words of layout; names of content.
+SURE = {"ad", "ads", "advert", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "disqus", "footer", "gdpr", "nav", "navbar", "newsletter", "pagination", "promo", "related", "replies", "sidebar", "sponsored"}
+LAYOUT = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "more", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper"}
+CONTENT = {"article", "body", "content", "entry", "post", "story", "text"}
+# Elements that end furniture which is never closed, and that end one of their own kind.
+ENDS = {"blockquote", "div", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "section", "table"}
+AGAIN = {"dd", "dt", "li", "option", "p", "td", "th", "tr"}
+
 # Other element names with a weight of their own; all further names share one.
-OTHER = {"blockquote", "body", "caption", "center", "colgroup", "dd", "details", "div", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "html", "li", "ol", "option", "p", "picture", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "video"}
+OTHER = {"blockquote", "body", "caption", "center", "colgroup", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "html", "li", "ol", "option", "p", "picture", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "video"}
 NAMES = RAW | FURNITURE | VOID | INLINE | MAIN | OTHER
 
 #: Characters of scripts that are written without spaces; two count as a word.
@@ -44,24 +53,50 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _PART = re.compile(r"[^a-z]+")
 
 
+def _named(attributes: str) -> list[str]:
+    return [name for groups in _NAMED.findall(attributes) for name in "".join(groups).lower().split()]
+
+
 def _marked(attributes: str, marks: set[str] = MARKS) -> bool:
-    for groups in _NAMED.findall(attributes):
-        for name in "".join(groups).lower().split():
+    """Whether an element's names say that it is furniture: a name that is a mark, or is made of marks and words
+    of layout only, or begins or ends with a mark that nothing else would; or it is hidden. An element that is also named
+    as content is none."""
+    names = _named(attributes)
+    if not CONTENT.intersection(names):
+        for name in names:
             parts = [p for p in _PART.split(name) if p]
-            if parts and (parts[0] in marks or parts[-1] in marks):
+            own = [p for p in parts if p in marks]
+            if own and (all(p in marks or p in LAYOUT for p in parts) or parts[0] in SURE or parts[-1] in SURE):
                 return True
     return bool(_HIDDEN.search(attributes))
 
 
 def items(page: str):
     """(kind, value, furniture, inside) in page order. kind "text": value is the raw text of
-    a run; kind "tag": value is (closes, name). inside: within the page's main element."""
-    at, lower, skip, depth, main, void_at = 0, None, "", 0, 0, {}
+    a run; kind "tag": value is (closes, name). inside: within the page's main element. Furniture ends with its own element or
+    with the one around it; if the page never closes it, with the next paragraph, heading or division."""
+    at, lower, loose, main, ahead = 0, None, False, 0, {}
+    # Open elements and how many there are of each name, within each main element on its own: tags that do not fit
+    # never close one. skip: how deep the furniture begins, None outside of it.
+    scopes: list[tuple[list[str], dict[str, int]]] = [([], {})]
+    kinds: list[bool] = []  # of open main elements: whether they are the page's
+    skip: tuple[int, int] | None = None
+
+    def found(text: str) -> int:
+        """Where text comes next from here on; each text is looked for once for each place that it has."""
+        nonlocal lower
+        if lower is None:
+            lower = low if len(low := page.lower()) == len(page) else page
+        if ahead.get(text, -1) < at:
+            place = lower.find(text, at)
+            ahead[text] = len(page) if place < 0 else place
+        return ahead[text]
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            yield "text", page[at:end], bool(skip), main > 0
+            yield "text", page[at:end], skip is not None, main > 0
         if not m:
             return
         at = m.end()
@@ -69,29 +104,44 @@ def items(page: str):
         if not name:
             continue
         closes, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in MAIN and name != skip:
-            if closes:
-                main = max(0, main - 1)
-            elif _marked(attributes, NOT_MAIN):
-                if not skip:
-                    skip, depth = name, 0
-            else:
-                main += 1
-                skip, depth = "", 0
-        if skip:
-            if name == skip:
-                depth += -1 if closes else 1
-                if depth == 0:
-                    skip = ""
-        elif not closes and name not in VOID and name not in MAIN and name not in ("html", "body") and (name in FURNITURE or _marked(attributes)) and not attributes.rstrip().endswith("/"):
-            skip, depth = name, 1
-        yield "tag", (closes, name), bool(skip), main > 0
+        alone = name in VOID or name in RAW or attributes.rstrip().endswith("/")
+        stack, many = scopes[-1]
+        here = (len(scopes), len(stack))
+        if name in MAIN:
+            if not closes:
+                own = not _marked(attributes, NOT_MAIN)
+                skip, loose = (None if own else skip or here), False
+                kinds.append(own)
+                scopes.append(([], {}))
+                main += own
+            elif kinds:
+                main -= kinds.pop()
+                scopes.pop()
+        elif skip and not closes and (name == "body" or loose and name in ENDS):
+            skip = None
+        if not skip and not closes and not alone and name not in MAIN and name not in ("html", "body"):
+            furniture = name in FURNITURE or _marked(attributes)
+            if furniture and name == "header" and main and any(found(f"<h{i}") < found("</header") for i in range(1, 7)):
+                furniture = False  # an article's own header, with its heading
+            if furniture:
+                skip, loose = here, found("</" + name) == len(page)
+        if closes and many.get(name) and name not in MAIN:
+            while True:
+                last = stack.pop()
+                many[last] -= 1
+                if last == name:
+                    break
+        elif not closes and not alone and name not in MAIN:
+            if name in AGAIN and stack and stack[-1] == name and (not skip or (len(scopes), len(stack) - 1) > skip):
+                stack.pop()
+                many[name] -= 1
+            stack.append(name)
+            many[name] = many.get(name, 0) + 1
+        if closes and skip and (len(scopes), len(scopes[-1][0])) <= skip:
+            skip = None
+        yield "tag", (closes, name), skip is not None, main > 0
         if name in RAW and not closes:
-            lower = page.lower() if lower is None and len(page.lower()) == len(page) else lower or page
-            if void_at.get(name, -1) < at:  # look ahead once for each closing tag
-                found = lower.find("</" + name, at)
-                void_at[name] = len(page) if found < 0 else found
-            at = void_at[name]
+            at = found("</" + name)
 
 
 def words_in(text: str) -> float:
@@ -141,7 +191,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     has_main = any(inside for *_, inside in seen)
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
     for at, (kind, value, furniture, inside) in enumerate(seen):
-        if furniture and inside:
+        if inside and (furniture or kind == "tag"):
             continue
         if kind == "text":
             score = word * words_in(value) * (-1 if furniture or has_main and not inside else 1)
@@ -153,9 +203,9 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if total > best:
             best, best_range = total, (start, at + 1)
     blocks, block = [], []
-    for kind, value, furniture, _ in seen[slice(*best_range)]:
+    for kind, value, furniture, inside in seen[slice(*best_range)]:
         if kind == "text":
-            if not furniture:
+            if not furniture and (inside or not has_main):
                 block.append(value)
         elif value[1] == "br":
             block.append(" ")
@@ -179,7 +229,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and empty pages have the text "". Repeated rows stay; ids and urls may be null.
     Broken markup is read as far as it goes, pages of any length in linear time. Without
-    labelled pages or given weights a word scores 1 and a tag -1. Text without spaces scores by its length. Other columns are
+    labelled pages or given weights a word scores 1 and a tag -1. Where a page has main elements only their text is taken,
+    captions and a header with the article's heading included, its own footer not. Text without spaces scores by its length. Other columns are
     ignored. Rows are independent; only the tag counts are shuffled."""
     if weights is None:
         weights = learn_weights(pages, html_col)

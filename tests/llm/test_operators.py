@@ -275,6 +275,32 @@ def test_html_names_outside_the_list_share_a_weight(spark):
     assert set(weights) <= html_text.NAMES | {"", "?"} and weights["?"] == -5.0
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<article><p>%s</p><ul><li>one</li><li>two</li><li>three</li></ul></article>", "%s\n\none\n\ntwo\n\nthree"),
+        ("<article><p>%s</p><figure><img src=a><figcaption>a caption</figcaption></figure><p>end</p></article>", "%s\n\na caption\n\nend"),
+        ('<article><div class="text widget"><p>%s</p></div></article>', "%s"),
+        ('<article><p>%s</p><section class="social-history"><h2>Work</h2><p>of many</p></section></article>', "%s\n\nWork\n\nof many"),
+        ("<article><p>%s</p></article><p>between them</p><article><p>%s again</p></article>", "%s\n\n%s again"),
+        ("<nav><a>Home</a><a>About</a><p>%s</p>", "%s"),
+        ("<div><nav><ul><li>Home</div><p>%s</p>", "%s"),
+        ("<header>Site<h1>Site</h1></header><main><header><h1>Title</h1></header><p>%s</p><footer>by us</footer></main>", "Title\n\n%s"),
+        ('<article><p>%s</p><div class="related-posts"><p>See this</p></div><div class="share-buttons">Share</div><div id="comments"><p>me too</p></div><aside>x</aside><p>end</p></article>', "%s\n\nend"),
+        ("<article><table><tr><td>a<td>b<tr><td>c</table><p>%s", "a\n\nb\n\nc\n\n%s"),
+    ],
+)
+def test_nothing_of_an_article_is_lost(body, want):
+    weights = {"": 2.7, "p": -0.1, **dict.fromkeys(("li", "ul", "div", "section", "figure", "figcaption", "h1", "h2", "table", "tr", "td"), -5.0)}
+    words = "Some words of an article that go on for a while and then stop."
+    assert html_text.main_text("<html><body>" + body.replace("%s", words), weights) == want.replace("%s", words)
+
+
+def test_html_of_many_open_tags_in_linear_time():
+    for part in ("<p>a", "<li>a", "<nav>", "<div class=x>", "</div>", "<header>", "<td><tr>"):
+        assert html_text.main_text(part * 40_000, {"": 1.0}) is not None
+
+
 def test_html_of_pages(spark, sf):
     import html as H
 
