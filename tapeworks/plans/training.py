@@ -308,13 +308,15 @@ def prepared(rows: DataFrame, horizons: list[int], mode: str = "rel") -> tuple[D
     return own, sums_by_key(own, horizons, _counts, COUNTS)
 
 
-def evaluated(own: DataFrame, counts: dict, horizons: list[int]) -> DataFrame:
+def evaluated(own: DataFrame, counts: dict, horizons: list[int], fixed: tuple | None = None) -> DataFrame:
+    """Folds with the metrics of models fitted to each, or of one fixed model (weights with bias, means, deviations)."""
     folds = []
     for (h, k, _), c in sorted(counts.items()):
         if k and c[1] >= MIN_TRAIN and c[3] >= MIN_TEST:
             right = c[4] if c[2] > c[1] - c[2] else c[3] - c[4]  # of the more frequent label (a tie: 0)
             folds.append((h, k, round(float(right / c[3]), 8), int(c[0]), int(c[1]), int(c[3])))
-    models = fit_logistic(own, horizons, counts, [(h, k, v) for h, k, *_ in folds for v in range(len(VARIANTS))])
+    keys = [(h, k, v) for h, k, *_ in folds for v in range(len(VARIANTS))]
+    models = {key: (*fixed, VARIANTS[key[2]]) for key in keys} if fixed else fit_logistic(own, horizons, counts, keys)
     scored = own.mapInPandas(partial(_tested, horizons=horizons, models=models), "horizon int, fold int, variant int, label double, score double")
     found = auc(scored, ["horizon", "fold", "variant"])
     pick = lambda v, c, n: F.max(F.when(C("variant") == v, C(c))).alias(n)
@@ -336,17 +338,17 @@ def sweep_table(rows: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
     return _swept(*prepared(rows, horizons), horizons)[0]
 
 
-def _swept(own: DataFrame, counts: dict, horizons: list[int]) -> tuple[DataFrame, DataFrame]:
-    folds = staged(evaluated(own, counts, horizons))
+def _swept(own: DataFrame, counts: dict, horizons: list[int], fixed: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    folds = staged(evaluated(own, counts, horizons, fixed))
     many = [(h, int(c[1])) for (h, k, _), c in sorted(counts.items()) if k == 0 and c[1] >= MIN_SAMPLES]
     samples = own.sparkSession.createDataFrame(many, "horizon int, samples long")
     found = walk_forward_summary(folds).join(F.broadcast(samples), "horizon")
     return found.select("horizon", "samples", C("baseline_accuracy_mean").alias("baseline_acc"), C("no_volume_auc_mean").alias("no_volume_auc"), C("full_auc_mean").alias("full_auc")), folds
 
 
-def sweep_with_folds(rows: DataFrame, horizons: list[int] = HORIZONS) -> tuple[DataFrame, DataFrame]:
+def sweep_with_folds(rows: DataFrame, horizons: list[int] = HORIZONS, fixed: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """The sweep and the folds it is made of."""
-    return _swept(*prepared(rows, horizons), horizons)
+    return _swept(*prepared(rows, horizons), horizons, fixed)
 
 
 def best_horizon(sweep: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -545,6 +546,42 @@ def walk_forward_summary(bars):
     return T.walk_forward_summary(T.walk_forward(_wide(bars, [50]), [50]))
 
 
+def _swept(bars, horizons=(3, 50)):
+    """The sweep of two horizons and its folds, with the made-up model in place of fitted ones: a 256th of its
+    weights, which ranks alike and has no two scores so near 1 that they are one."""
+    fixed = (np.array([*MODEL["weights"], MODEL["bias"]]) / 256, np.array(MODEL["means"]), np.array(MODEL["stds"]))
+    return T.sweep_with_folds(_wide(bars, horizons), list(horizons), fixed)
+
+
+_NO_VOLUME = _Z.rsplit(" + ", 1)[0]
+_VARIANTS = {"no_volume": _NO_VOLUME, "full": _Z}
+_METRICS = ", ".join(
+    f"avg((label = (s_{v} > 0)::INT)::INT) FILTER (role = 'test') AS {v}_accuracy, (sum(r_{v}) FILTER (role = 'test' AND label = 1) - p * (p + 1) / 2.0) / nullif(p * q, 0) AS {v}_auc" for v in _VARIANTS
+)
+_RANKS = ", ".join(f"rank() OVER (PARTITION BY horizon, fold, role ORDER BY s_{v}) + (count(*) OVER (PARTITION BY horizon, fold, role, s_{v}) - 1) / 2.0 AS r_{v}" for v in _VARIANTS)
+_FOLDS = f"""(SELECT horizon, fold, CASE WHEN a > b THEN p ELSE q END / (p + q)::DOUBLE AS baseline_accuracy, {_METRICS} FROM (SELECT *, {_RANKS},
+count(*) FILTER (role = 'train' AND label = 1) OVER f AS a, count(*) FILTER (role = 'train' AND label = 0) OVER f AS b, count(*) FILTER (role = 'test' AND label = 1) OVER f AS p, count(*) FILTER (role = 'test' AND label = 0) OVER f AS q
+FROM (SELECT *, {", ".join(f"{MODEL['bias']} + {z} AS s_{v}" for v, z in _VARIANTS.items())} FROM parts) WINDOW f AS (PARTITION BY horizon, fold)) WHERE a + b >= {T.MIN_TRAIN} AND p + q >= {T.MIN_TEST} GROUP BY horizon, fold, a, b, p, q)"""
+_SWEEP = f"""(SELECT horizon, samples, round(avg(baseline_accuracy), 6) AS baseline_acc, round(avg(no_volume_auc), 6) AS no_volume_auc, round(avg(full_auc), 6) AS full_auc FROM {_FOLDS}
+JOIN (SELECT horizon, count(*) AS samples FROM long GROUP BY horizon HAVING count(*) >= {T.MIN_SAMPLES}) USING (horizon) GROUP BY horizon, samples)"""
+
+
+@on_bars("SELECT horizon, count(*) AS n_folds, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std" for m in T.METRICS) + f" FROM {_FOLDS} GROUP BY horizon")
+def walk_forward_summary_fixed(bars):
+    out = T.walk_forward_summary(_swept(bars)[1])
+    return out.select("horizon", "n_folds", *six(*[f"{m}_{k}" for m in T.METRICS for k in ("mean", "std")]))
+
+
+@on_bars(f"SELECT * FROM {_SWEEP}")
+def sweep_table_fixed(bars):
+    return _swept(bars)[0].select("horizon", "samples", *six("baseline_acc", "no_volume_auc", "full_auc"))
+
+
+@on_bars(f"SELECT horizon, full_auc, coalesce(full_auc, 0) < 0.52 AS no_signal FROM {_SWEEP} ORDER BY coalesce(full_auc, 0) DESC, horizon LIMIT 1")
+def best_horizon_fixed(bars):
+    return T.best_horizon(_swept(bars)[0]).select("horizon", *six("full_auc"), "no_signal")
+
+
 @on_bars()
 def train_final_model(bars):
     return T.train_final_model(_wide(bars, [50]))
