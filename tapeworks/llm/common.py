@@ -69,6 +69,13 @@ def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession, *folders: str) -> None:
+    """Deletes staged tables after their last reader."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _give_back() -> None:
     """Free memory goes back to the system: a Python worker lives on after its task."""
     pa.default_memory_pool().release_unused()
