@@ -174,7 +174,9 @@ def laid(both: DataFrame, averages: bool = True) -> DataFrame:
 
 
 def dealt(bars: DataFrame, averages: bool = True, ahead: int = 0, span: float = SPAN) -> DataFrame:
-    """All bars, laid. Bars without a ticker are left out."""
+    """All bars, laid. Bars without a ticker are left out. States, a short row for each chunk, are the hashed side of the join, so
+    that chunks stay where they are and are dealt to as many tasks as before."""
     parts = chunks(bars, chunk_of(bars, span))
     row = parts.schema["rows"].dataType.elementType.simpleString()
-    return laid(parts.join(states(summaries(parts, ahead, averages), row, ahead), ["ticker", "chunk"]), averages)
+    own = states(summaries(parts, ahead, averages), row, ahead).hint("shuffle_hash")
+    return laid(parts.join(own, ["ticker", "chunk"]), averages)
