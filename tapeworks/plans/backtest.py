@@ -70,9 +70,17 @@ def exit_asof(bars: DataFrame, exits: DataFrame) -> DataFrame:
     return found.where("exit_date <= trade_date and (before is null or exit_date > before)").select("ticker", "exit_date", C("close").alias("exit_price"))
 
 
+def named_bars(bars: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Bars of stocks as a written table: calendar, scores and prices are all made of it."""
+    return staged(bars.join(stocks.select("ticker"), "ticker"))
+
+
 def candidates(bars: DataFrame, stocks: DataFrame) -> DataFrame:
+    return _candidates(named_bars(bars, stocks), stocks)
+
+
+def _candidates(named: DataFrame, stocks: DataFrame) -> DataFrame:
     """Scored candidates of every entry date that has an exit date."""
-    named = bars.join(stocks.select("ticker", "name"), "ticker")
     dates = rebalance_dates(named).where("exit_date is not null")
     names = stocks.select("ticker", "name")
     many = calendar(named).agg(F.count("*").alias("days"))
@@ -97,8 +105,9 @@ def trades(picked: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def run_backtest(bars: DataFrame, stocks: DataFrame, score: Column) -> DataFrame:
-    """Trades of the best TOP by any column of the candidates."""
-    return trades(top_n(candidates(bars, stocks), score), bars)
+    """Trades of the best TOP by any column of the candidates. Bars and candidates are made once."""
+    named = named_bars(bars, stocks)
+    return trades(top_n(staged(_candidates(named, stocks)), score), named)
 
 
 def random_picks(found: DataFrame, trials: int = TRIALS, n: int = TOP) -> DataFrame:
@@ -140,7 +149,8 @@ def random_summary(per_trial: DataFrame) -> DataFrame:
 def comparison(bars: DataFrame, stocks: DataFrame) -> DataFrame:
     """Summaries of both scores and of random picks. Candidates are made once and all picks
     are priced in one join."""
-    found = staged(candidates(bars, stocks))
+    bars = named_bars(bars, stocks)
+    found = staged(_candidates(bars, stocks))
     own = ["entry_date", "exit_date", "ticker", "entry_price", "trial"]
     picks = [top_n(found, C(k)).withColumn("trial", F.lit(t)).select(*own) for t, k in ((-1, "score_v1"), (-2, "score_v2"))]
     every = staged(priced(picks[0].unionByName(picks[1]).unionByName(random_picks(found).select(*own)), bars).withColumn("returns", F.bround("ret", 2)).withColumn("win", C("ret") > 0))
