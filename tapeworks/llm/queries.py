@@ -132,6 +132,21 @@ def op11_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS long FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.long * b.long) >= 0.98),
+r AS (SELECT vec_id, vec_id AS low FROM v UNION SELECT l.a, r.low FROM r JOIN l ON l.b = r.vec_id WHERE r.low < l.a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT vec_id, min(low) AS component_id FROM r GROUP BY vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers align in each document, and how common its links are in the corpus."""
     files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
@@ -195,4 +210,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op10_token_rollup": OP10_SQL, "op13_merkle": _merkle_sql()}
+    return {"op3_mixing": OP3_SQL, "op10_token_rollup": OP10_SQL, "op11_embedding_dups": OP11_SQL, "op13_merkle": _merkle_sql()}

@@ -217,7 +217,13 @@ def cluster(rng, n, dim, noise, centre=None):
 
 def test_vector_duplicates_of_the_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
-    assert plain(queries.op11_embedding_dups(spark, sf).collect()) == plain(plain_duplicates([(r.vec_id, r.embedding, r.label) for r in rows.collect()]))
+    got = queries.op11_embedding_dups(spark, sf)
+    want = plain(got.collect())
+    assert want == plain(plain_duplicates([(r.vec_id, r.embedding, r.label) for r in rows.collect()]))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    rel = c.sql(queries.oracle_sql()["op11_embedding_dups"])
+    assert rel.columns == got.columns and plain(rel.fetchall()) == want
 
 
 @pytest.mark.parametrize("dense, block", [(128, 1024), (6, 1024), (6, 5), (1000, 7)])
