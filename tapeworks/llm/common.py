@@ -70,10 +70,12 @@ def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def give_back(spark: SparkSession, *folders: str) -> None:
-    """Deletes staged tables after their last reader."""
+    """Deletes staged tables after their last reader, and has the driver collect its garbage: Spark drops the shuffle
+    files of finished steps when nothing on the driver refers to them any more."""
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def _give_back() -> None:
