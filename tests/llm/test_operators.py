@@ -476,6 +476,47 @@ def test_recall_of_edited_passages(spark, share, least):
     assert found <= set(alike) and len(found) >= least * len(alike)
 
 
+@pytest.mark.parametrize(("size", "share"), [(20, 0.15), (40, 0.18), (40, 0.09)])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_variants_of_one_passage_find_each_other(spark, size, share, parts):
+    """Groups of edited copies of a passage that the first document has whole: a later one
+    that is alike to any before it has a row."""
+    rng = random.Random(size + int(share * 100))
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, alike = [], set()
+    for _ in range(6):
+        whole, before = words(60), []
+        for k in range(size):
+            part = list(whole)
+            for place in rng.sample(range(60), round(share * 60)) if k else ():
+                part[place] = words(1)[0]
+            if any(sum(map(str.__eq__, part, old)) >= 48 for old in before):
+                alike.add(len(texts))
+            before.append(part)
+            texts.append(" ".join(words(40) + part + words(40)))
+    found = {r.doc_id for r in passages.repeated_passages(docs_of(spark, texts).repartition(parts, "doc_id")).collect()}
+    assert len(alike) == 6 * (size - 1) and len(found & alike) >= 0.95 * len(alike) and found <= alike
+
+
+def test_bits_of_the_words_around_a_seed():
+    rng = np.random.default_rng(4)
+    bound = np.array([0, 60, 60, 75, 200, 900])
+    words = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    one = (words >> np.uint64(40)).astype(int) & 1
+    own, pos, _, around = passages.minimizers(words, bound)
+    assert len(own) and (around.view(np.uint16) > 0).any()
+    for text, p, got in zip(own, pos, around.view(np.uint16).tolist(), strict=True):
+        mine = one[bound[text] : bound[text + 1]]
+        places = [*range(p - passages.AROUND, p), *range(p + passages.K, p + passages.K + passages.AROUND)]
+        assert got == sum(int(mine[q]) << k for k, q in enumerate(places) if 0 <= q < len(mine))
+    same = around.copy()
+    assert passages.alike_around(around, same).all()
+    same ^= np.int16(0b11)  # two words before differ, none behind
+    assert passages.alike_around(around, same).all()
+    same ^= np.int16(0b11 << passages.AROUND)
+    assert not passages.alike_around(around, same).any()
+
+
 def test_segments_of_matches():
     rng = np.random.default_rng(3)
     for _ in range(300):
