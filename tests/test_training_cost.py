@@ -31,3 +31,19 @@ def test_medians_take_a_row_once_for_all_horizons(spark):
     for most in (100_000, 9, 2):  # all days at once, some narrowed down, all
         got = {(r.trade_date, r.horizon): r.median for r in T.day_medians(rows, [3, 50], most).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_scores_meet_as_arrays_by_range(spark):
+    """The AUC of a model by ranges of scores, with ties, is that of all rows at once."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, size=(3000, 7)).astype(float)
+    rows = [(*map(float, r), [float(y)], [1], [0], [1 + i % 2]) for i, (r, y) in enumerate(zip(x, rng.random(3000) < 0.5, strict=True))]
+    own = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in T.FEATURES) + ", labels array<double>, train array<tinyint>, before array<tinyint>, test array<tinyint>").repartition(3)
+    models = {(5, k, v): (np.append(np.round(rng.normal(size=7), 1), 0.1 * k), np.zeros(7), np.ones(7), T.VARIANTS[v]) for k in (1, 2) for v in (0, 1)}
+    got = {tuple(r)[:3]: (r.accuracy, r.auc) for r in T.model_auc(own, [5], models, {(5, 1): 1500, (5, 2): 1500}, most=200).collect()}
+    assert got.keys() == models.keys()
+    for (_, k, v), (beta, _, _, use) in models.items():
+        score, y = (1 / (1 + np.exp(-((x - np.zeros(7)) / np.ones(7) * use @ beta[:-1] + beta[-1]))))[k - 1 :: 2], np.array([r[7][0] for r in rows])[k - 1 :: 2]
+        pos, neg = score[y == 1], score[y == 0]
+        brute = np.mean((pos[:, None] > neg[None]) + 0.5 * (pos[:, None] == neg[None]))
+        assert abs(got[5, k, v][1] - brute) < 1e-9 and abs(got[5, k, v][0] - np.mean((score > 0.5) == (y == 1))) < 1e-9
