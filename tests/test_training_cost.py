@@ -47,3 +47,18 @@ def test_scores_meet_as_arrays_by_range(spark):
         pos, neg = score[y == 1], score[y == 0]
         brute = np.mean((pos[:, None] > neg[None]) + 0.5 * (pos[:, None] == neg[None]))
         assert abs(got[5, k, v][1] - brute) < 1e-9 and abs(got[5, k, v][0] - np.mean((score > 0.5) == (y == 1))) < 1e-9
+
+
+def test_passes_over_rows_take_blocks(spark):
+    """Packed rows are few blocks, whose sums are those of the rows, also without a label or a target date."""
+    rng = random.Random(6)
+    day = lambda i: dt.date(2023, 1, 1) + dt.timedelta(i)
+    rows = [(day(i % 70), *[rng.gauss(0, 1) for _ in T.FEATURES], rng.choice([None, 0.0, 1.0]), day(i % 70 + 5) if i % 3 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "trade_date date, " + ", ".join(f"{f} double" for f in T.FEATURES) + ", label_rel_5 double, target_date_5 date").coalesce(1)
+    own = T.packed(df, [5], dates={(5, 1): (day(20), day(40))})
+    assert own.count() == 1
+    got = T.sums_by_key(own, [5], T._counts, T.COUNTS)[5, 1, 0]
+    known = [r for r in rows if r[-2] is not None]
+    train, test = [r for r in known if r[-1] and r[-1] < day(20)], [r for r in known if day(20) <= r[0] < day(40)]
+    assert got[:5].tolist() == [sum(r[0] < day(20) for r in known), len(train), sum(r[-2] for r in train), len(test), sum(r[-2] for r in test)]
+    assert np.allclose(got[5:12], np.sum([r[1:8] for r in train], axis=0))
