@@ -62,3 +62,13 @@ def test_passes_over_rows_take_blocks(spark):
     train, test = [r for r in known if r[-1] and r[-1] < day(20)], [r for r in known if day(20) <= r[0] < day(40)]
     assert got[:5].tolist() == [sum(r[0] < day(20) for r in known), len(train), sum(r[-2] for r in train), len(test), sum(r[-2] for r in test)]
     assert np.allclose(got[5:12], np.sum([r[1:8] for r in train], axis=0))
+
+
+def test_a_ticker_is_composed_once(spark):
+    """The scan over a ticker's chunks stands once in the plan, not in a filter, too."""
+    from tapeworks.operators import indicators as N
+
+    bars = spark.createDataFrame([("A", dt.date(2023, 1, 1) + dt.timedelta(i), 100 + i, 5) for i in range(9)], "ticker string, trade_date date, close int, volume long")
+    found = N.with_ema(bars, span=2)
+    assert "size(aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 9
