@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tapeworks.plans import training as T
 
@@ -72,3 +73,23 @@ def test_a_ticker_is_composed_once(spark):
     found = N.with_ema(bars, span=2)
     assert "size(aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 9
+
+
+def test_folds_are_sized_without_labels(spark, monkeypatch):
+    """Counts by date are those of labelled rows, with returns or dates that are not known, and make no medians."""
+    rows = returns(spark, 90, 3).withColumn("ticker", F.lit("A")).withColumns({f: F.lit(0.0) for f in T.FEATURES})
+    for h in (3, 50):
+        rows = rows.withColumn(f"target_date_{h}", F.when(F.col("fwd_return_50").isNotNull(), F.date_add("trade_date", h)))
+    rows = rows.unionByName(rows.limit(2).withColumn("trade_date", F.lit(None).cast("date")))
+    long = T.long_form(T.labelled(rows, [3, 50]), [3, 50])
+    want = sorted(map(tuple, T.purge_counts(long, T.time_folds(long)).collect()))
+    monkeypatch.setattr(T, "day_medians", None)
+    per = T.day_sizes(rows, [3, 50])
+    assert len(want) == 10 and sorted(map(tuple, T.purge_counts(per, T.time_folds(per)).collect())) == want
+
+
+def test_purge_counts_makes_no_medians(spark, sf, monkeypatch):
+    from tapeworks import registry
+
+    monkeypatch.setattr(T, "day_medians", None)
+    assert registry.queries()["purge_counts"](spark, sf).columns == ["horizon", "fold", "before_purge", "train_size", "test_size"]
