@@ -37,15 +37,22 @@ ALONE, CLUSTERS, KNOWN_IDS, CONTEXTS = 24, 40, 16_384, 128
 GROUPS = ALONE + CLUSTERS
 #: Windows of a task at least; tasks of the first so many windows, and one more for each so many.
 TASK_WINDOWS, FEW_TASKS, MORE_WINDOWS = 4096, 64, 1 << 16
-#: Windows of one numpy batch, small enough for a processor's cache.
+#: Rounds, windows of a step, its rate; windows of one numpy pass, small enough for a processor's cache.
 ROUNDS, BATCH, RATE = 3, 512, 0.01
+PIECE = 128
 #: The most frequent words, this many at most, are broadcast with counts and first ids, 18 bytes each.
 MAX_BROADCAST_WORDS = 5_000_000
+#: Words that are encoded in one call.
+AT_ONCE = 4096
 #: Words that a task keeps with their ids.
 CACHE_WORDS = 1_000_000
 END_WORD = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
 
+#: Bytes that white space beyond ASCII begins with, in UTF-8.
+_MAY_SPACE = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+
+
 class Lexer:
     """Subword ids of words, by the words' hashes; a cache of first ids of a bounded size."""
 
@@ -53,9 +60,11 @@ class Lexer:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.hash, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.known = known if known and len(known[0]) else None  # sorted hashes and first ids of many words
-        self.fresh = None  # a list gets the words that are new to the cache: (hash, ids)
+        self.fresh = None  # a list gets the words that are new to the cache: (hash, ids, bounds)
 
     def look(self, raw, off, words):
         """The distinct hashes of the words of consecutive texts, each word's place among
@@ -71,10 +80,28 @@ class Lexer:
         return each, inverse, place, found
 
     def ids(self, raw, off, place):
-        """All subword ids of the words at these places."""
+        """All subword ids of the words at these places, and the bounds of each word's. Words without
+        white space of their own (beyond ASCII) are encoded many at once: each begins at an id that begins with a space."""
         starts, ends = word_spans(raw, off)
-        data = raw[off[0] : off[-1]].tobytes()
-        return [self.encoding.encode_ordinary(" " + data[a:b].lower().decode()) for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+        data, starts, ends = raw[off[0] : off[-1]], starts[place], ends[place]
+        odd = np.concatenate(([0], np.cumsum(_MAY_SPACE[data])))
+        plain = odd[ends] == odd[starts]
+        text, out, count = data.tobytes().lower(), [], np.zeros(len(place), np.int64)
+        many, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        cuts = list(zip(starts[many].tolist(), ends[many].tolist(), strict=True))
+        for i in range(0, len(many), AT_ONCE):
+            own = many[i : i + AT_ONCE]
+            got = np.array(self.encoding.encode_ordinary(b"".join([b" " + text[a:b] for a, b in cuts[i : i + AT_ONCE]]).decode()), np.int64)
+            count[own] = np.diff(np.append(np.flatnonzero(self.spaced[got]), len(got)))
+            out.append(got)
+        for k in rest.tolist():
+            got = self.encoding.encode_ordinary(" " + text[starts[k] : ends[k]].decode())
+            count[k] = len(got)
+            out.append(np.array(got, np.int64))
+        if not len(rest):
+            return np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum(count)))
+        order = np.argsort(np.concatenate((np.repeat(many, count[many]), np.repeat(rest, count[rest]))), kind="stable")
+        return np.concatenate(out)[order], np.concatenate(([0], np.cumsum(count)))
 
     def _firsts(self, raw, off, each, place):
         """First ids of words, through the cache."""
@@ -85,10 +112,10 @@ class Lexer:
         inside = at < len(self.hash)
         new[inside] = self.hash[at[inside]] != each[inside]
         if new.any():
-            ids = self.ids(raw, off, place[new])
+            ids, bound = self.ids(raw, off, place[new])
             if self.fresh is not None:
-                self.fresh.append((each[new], ids))
-            first = np.fromiter((x[0] for x in ids), np.int32, len(ids))
+                self.fresh.append((each[new], ids, bound))
+            first = ids[bound[:-1]].astype(np.int32)
             self.hash, self.first = np.insert(self.hash, at[new], each[new]), np.insert(self.first, at[new], first)
             at = np.searchsorted(self.hash, each)
         return self.first[at]
@@ -125,9 +152,16 @@ def windows(ids: np.ndarray, bound: np.ndarray, span: int = SPAN) -> tuple[np.nd
     return flat[begin[:, None] + np.arange(span + 1)], own
 
 
-def word_windows(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    bound = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-    return windows(np.fromiter((i for x in ids for i in x), np.int64, int(bound[-1])), bound, SPELL)
+def _binary(ids: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """The ids of each sequence as bytes, two an id."""
+    ids = np.ascontiguousarray(ids[bound[0] : bound[-1]], np.uint16)
+    return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((2 * (bound - bound[0])).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds of _binary's sequences."""
+    raw, off = buffers(col)
+    return raw[off[0] : off[-1]].view(np.uint16), (off - off[0]) // 2
 
 
 @lean
@@ -148,7 +182,7 @@ def _counted(batches, ranks, pattern):
                     pa.array(key[cut]),
                     pa.array(n[cut]),
                     pa.nulls(m, pa.int32()) if first is None else pa.array(first[cut]),
-                    pa.nulls(m, pa.binary()) if ids is None else pa.array([r.tobytes() for r in ids[cut]], pa.binary()),
+                    pa.nulls(m, pa.binary()) if ids is None else _binary(ids[0], ids[1][i : i + m + 1]),
                 ],
                 ["kind", "key", "n", "first", "ids"],
             )
@@ -159,8 +193,8 @@ def _counted(batches, ranks, pattern):
         for i, j in chunks(off):
             words, bound = words_of(raw, off[i : j + 1])
             each, inverse, _, first = lexer.look(raw, off[i : j + 1], words)
-            for key, spelled in lexer.fresh:
-                yield from out(2, key.view(np.int64), np.ones(len(key), np.int64), None, [np.array(x, np.uint16) for x in spelled])
+            for key, *spelled in lexer.fresh:
+                yield from out(2, key.view(np.int64), np.ones(len(key), np.int64), None, spelled)
             lexer.fresh.clear()
             n = np.bincount(inverse, minlength=len(each)).astype(np.int64)
             each, n, first = np.append(each, END_WORD), np.append(n, j - i), np.append(first, np.int32(END))
@@ -175,14 +209,14 @@ def _counted(batches, ranks, pattern):
             got, text = windows(first[:-1][inverse], bound)
             inside = np.arange(len(text)) - np.searchsorted(text, text)
             lot = mix(ids[i:j][text].astype(np.uint64) * np.uint64(1_000_003) + inside.astype(np.uint64))
-            yield from out(1, lot.view(np.int64), np.ones(len(lot), np.int64), None, got)
+            yield from out(1, lot.view(np.int64), np.ones(len(lot), np.int64), None, (got.ravel(), np.arange(len(lot) + 1) * got.shape[1]))
     yield from out(0, held[0].view(np.int64), held[1], held[2])
 
 
 def _ids(batches, span):
     for batch in batches:
         if batch.num_rows:
-            yield np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint16).reshape(-1, span + 1)
+            yield _unpacked(batch.column(batch.num_columns - 1))[0].reshape(-1, span + 1)
 
 
 @lean
@@ -215,9 +249,9 @@ def _contexts(batches, rank, span):
 def _word_windows(batches):
     """(key, ids) of words to (key, ids) of their windows."""
     for batch in batches:
-        got, own = word_windows([np.frombuffer(x, np.uint16).tolist() for x in batch.column(1).to_pylist()])
+        got, own = windows(*_unpacked(batch.column(1)), SPELL)
         key = batch.column(0).to_numpy().view(np.uint64)[own] + (np.arange(len(own)) - np.searchsorted(own, own)).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array([r.tobytes() for r in got], pa.binary())], ["key", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), _binary(got.ravel(), np.arange(len(got) + 1) * got.shape[1])], ["key", "ids"])
 
 
 def _clusters(points, weights, k, rounds=20):
@@ -259,75 +293,96 @@ def _start(total: np.ndarray, table: np.ndarray, span: int = SPAN) -> tuple[dict
 _CAUSAL = {n: np.where(np.arange(n)[None, :] <= n // 2 + np.arange(n // 2)[:, None], 0, -1e9).astype(np.float32) for n in (SPAN, SPELL)}
 
 
-def forward(w: dict, x: np.ndarray, keep: bool = False, pad: int = PAD):
-    """Log-probabilities of the groups after each of the last half of the inputs: batches of
-    masked self-attention over windows x of ids."""
+def _maps(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What queries and keys come to as one map, and A over what is gathered, before V, and the own input."""
+    return w["Q"] @ w["K"].T * w["E"].dtype.type(WIDTH**-0.5), np.concatenate((w["V"] @ w["A"][:WIDTH], w["A"][WIDTH:]))
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is kept: a product of matrices, faster than sum over a short axis."""
+    return a @ np.ones((a.shape[-1], 1), a.dtype)
+
+
+def _logits(w: dict, maps, x: np.ndarray, pad: int = PAD):
+    """Logits of the groups after each of the last half of the inputs, the largest of each place 0: masked
+    self-attention over windows x of ids. maps: _maps(w). Queries meet the inputs themselves through one map (of Q and K), and what
+    they gather meets the hidden layer through one (of V and A), so that only the last half is multiplied by weights."""
     n, span = x.shape
     half = span // 2
-    emb = w["E"][x]
+    emb = w["E"].take(x, axis=0)
     emb += w["P"]
-    late = np.ascontiguousarray(emb[:, half:])
-    flat, own = emb.reshape(-1, WIDTH), late.reshape(-1, WIDTH)
-    q, k, v = (own @ w["Q"]).reshape(n, half, WIDTH), (flat @ w["K"]).reshape(n, span, WIDTH), (flat @ w["V"]).reshape(n, span, WIDTH)
-    s = q @ k.transpose(0, 2, 1)
-    s *= s.dtype.type(WIDTH**-0.5)
+    both = np.empty((n, half, 2 * WIDTH), emb.dtype)  # what a place gathers, and its own
+    both[..., WIDTH:] = emb[:, half:]
+    q = np.ascontiguousarray(both[..., WIDTH:]).reshape(-1, WIDTH) @ maps[0]
+    q = q.reshape(n, half, WIDTH)
+    s = q @ emb.transpose(0, 2, 1)
     s += _CAUSAL[span]
-    if (x == pad).any():
-        s += np.where(x == pad, np.float32(-1e9), np.float32(0))[:, None, :]
+    empty = x == pad
+    some = np.flatnonzero(empty.any(axis=1))
+    if len(some):
+        s[some] += np.where(empty[some], np.float32(-1e9), np.float32(0))[:, None, :]
     s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    h = np.concatenate(((s @ v).reshape(-1, WIDTH), own), axis=1)
-    r = h @ w["A"]
+    s /= _sums(s.reshape(-1, span)).reshape(n, half, 1)
+    both[..., :WIDTH] = s @ emb
+    r = both.reshape(-1, 2 * WIDTH) @ maps[1]
     r += w["a"]
     np.maximum(r, 0, out=r)
     o = r @ w["B"]
     o += w["b"]
     o -= o.max(axis=1, keepdims=True)
-    o -= np.log(np.exp(o).sum(axis=1, keepdims=True))
-    o, h, r = (a.reshape(n, half, -1) for a in (o, h, r))
-    return (o, (emb, late, q, k, v, s, h, r)) if keep else o
+    return o, (emb, q, s, both, r)
+
+
+def forward(w: dict, x: np.ndarray, pad: int = PAD) -> np.ndarray:
+    """Log-probabilities of the groups after each of the last half of the inputs."""
+    o = _logits(w, _maps(w), x, pad)[0]
+    o -= np.log(_sums(np.exp(o)))
+    return o.reshape(len(x), x.shape[1] // 2, -1)
 
 
 def gradients(w: dict, x: np.ndarray, group: np.ndarray, pad: int = PAD) -> tuple[float, dict]:
     """Mean loss of windows of ids (the last only a target), and its gradients; that of E as
-    (ids of the inputs, their rows)."""
+    (ids of the inputs, their rows). Windows are taken PIECE at a time, which stay in a processor's cache."""
     span = x.shape[1] - 1
     half = span // 2
-    inputs, target = x[:, :span], x[:, half + 1 :]
-    o, (emb, late, q, k, v, s, h, r) = forward(w, inputs, keep=True, pad=pad)
+    many = max(1, int((x[:, half + 1 :] != pad).sum()))
+    maps, scale = _maps(w), w["E"].dtype.type(WIDTH**-0.5)
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    real = (target != pad).ravel()
-    n = max(1, int(real.sum()))
-    goal, at = group[target].ravel(), np.arange(real.size)
-    o = flat(o)
-    loss = -float(o[at, goal][real].sum()) / n
-    do = np.exp(o)
-    do[at, goal] -= 1
-    do *= (real / np.float32(n)).astype(do.dtype)[:, None]
-    g = {"B": flat(r).T @ do, "b": do.sum(axis=0)}
-    dr = do @ w["B"].T
-    dr *= flat(r) > 0
-    g |= {"A": flat(h).T @ dr, "a": dr.sum(axis=0)}
-    dh = (dr @ w["A"].T).reshape(h.shape)
-    dmix, dlate = np.ascontiguousarray(dh[..., :WIDTH]), dh[..., WIDTH:]
-    ds = dmix @ v.transpose(0, 2, 1)
-    dv = s.transpose(0, 2, 1) @ dmix
-    ds -= np.einsum("ijk,ijk->ij", ds, s)[:, :, None]
-    ds *= s
-    ds *= ds.dtype.type(WIDTH**-0.5)
-    dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
-    dv = flat(dv)
-    g |= {"Q": flat(late).T @ dq, "K": flat(emb).T @ dk, "V": flat(emb).T @ dv}
-    demb = (dk @ w["K"].T + dv @ w["V"].T).reshape(emb.shape)
-    demb[:, half:] += dlate
-    demb[:, half:] += (dq @ w["Q"].T).reshape(late.shape)
-    g["P"] = demb.sum(axis=0)
-    every = inputs.ravel()
+    demb, loss, sums = np.empty((len(x), span, WIDTH), w["E"].dtype), 0.0, None
+    for i in range(0, len(x), PIECE):
+        inputs, target = x[i : i + PIECE, :span], x[i : i + PIECE, half + 1 :]
+        do, (emb, q, s, both, r) = _logits(w, maps, inputs, pad)
+        real, goal, at = (target != pad).ravel(), group[target].ravel(), np.arange(target.size)
+        told = do[at, goal]
+        np.exp(do, out=do)
+        total = _sums(do)[:, 0]
+        loss -= float((told - np.log(total))[real].sum()) / many
+        do *= (real / (total * many)).astype(do.dtype)[:, None]
+        do[at, goal] -= (real / many).astype(do.dtype)
+        dr = do @ w["B"].T
+        dr *= r > 0
+        dboth = (dr @ maps[1].T).reshape(both.shape)
+        dgather = np.ascontiguousarray(dboth[..., :WIDTH])
+        ds = dgather @ emb.transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ij", ds, s)[:, :, None]
+        ds *= s
+        dq = flat(ds @ emb)
+        own = demb[i : i + PIECE]
+        np.matmul(np.concatenate((s, ds), axis=1).transpose(0, 2, 1), np.concatenate((dgather, q), axis=1), out=own)
+        own[:, half:] += dboth[..., WIDTH:]
+        own[:, half:] += (dq @ maps[0].T).reshape(q.shape)
+        one = np.ones(len(do), do.dtype)
+        parts = (r.T @ do, one @ do, flat(both).T @ dr, one @ dr, flat(both[..., WIDTH:]).T @ dq)
+        sums = parts if sums is None else tuple(a + b for a, b in zip(sums, parts, strict=True))
+    by_b, by_bias, by_mixed, by_a, by_query = sums
+    g = {"B": by_b, "b": by_bias, "a": by_a, "A": np.concatenate((w["V"].T @ by_mixed[:WIDTH], by_mixed[WIDTH:]))}
+    g |= {"Q": by_query @ w["K"] * scale, "K": by_query.T @ w["Q"] * scale, "V": by_mixed[:WIDTH] @ w["A"][:WIDTH].T, "P": demb.sum(axis=0)}
+    every = x[:, :span].ravel()
     order = np.argsort(every, kind="stable")
     ids = every[order]
     head = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    g["E"] = (ids[head], np.add.reduceat(flat(demb)[order], head, axis=0))
+    g["E"] = (ids[head], np.add.reduceat(flat(demb).take(order, axis=0), head, axis=0))
     return loss, g
 
 
@@ -467,21 +522,28 @@ def _lexical(model, first, c):
 def attended(net: Net, ids, own, many: int, skip: bool = False) -> np.ndarray:
     """Natural-log probability of the ids and the end of each of many sequences, by their
     windows; with skip, of what follows its first id."""
-    out, span = np.zeros(many), ids.shape[1] - 1
-    for i in range(0, len(ids), BATCH):
-        x = ids[i : i + BATCH]
+    out, span, maps = np.zeros(many), ids.shape[1] - 1, _maps(net.weights)
+    for i in range(0, len(ids), PIECE):
+        x = ids[i : i + PIECE]
         target = x[:, span // 2 + 1 :]
-        o = np.take_along_axis(forward(net.weights, x[:, :span]), net.group[target][:, :, None], 2)[..., 0].astype(float)
-        o = np.where(target == PAD, 0.0, o + net.inside[target])
+        o = _logits(net.weights, maps, x[:, :span])[0]
+        told = np.take_along_axis(o, net.group[target].reshape(-1, 1), 1)[:, 0].astype(float)
+        told = (told - np.log(_sums(np.exp(o, out=o))[:, 0])).reshape(target.shape)
+        told = np.where(target == PAD, 0.0, told + net.inside[target])
         if skip:
-            o[x[:, span // 2] == BEGIN, 0] = 0
-        out += np.bincount(own[i : i + BATCH], weights=o.sum(axis=1), minlength=many)
+            told[x[:, span // 2] == BEGIN, 0] = 0
+        out += np.bincount(own[i : i + PIECE], weights=told.sum(axis=1), minlength=many)
     return out
 
 
 def spelled(model: Model, ids: list[list[int]]) -> np.ndarray:
     """Natural-log probability of words' ids after their first, and of their ends."""
-    return attended(model.words, *word_windows(ids), len(ids), skip=True) if ids else np.zeros(0)
+    return spelled_flat(model, np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)]))
+
+
+def spelled_flat(model: Model, ids: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The same of words whose ids are ids[bound[i]:bound[i+1]]."""
+    return attended(model.words, *windows(ids, bound, SPELL), len(bound) - 1, skip=True) if len(bound) > 1 else np.zeros(0)
 
 
 class Scorer:
@@ -525,7 +587,8 @@ def _scored(batches, ranks, pattern, model, counts, complete):
             told = np.ones(len(each), bool) if complete else c > 0
             word[told] = _lexical(m, first[told], c[told])
             new = np.flatnonzero(c == 0) if complete else np.zeros(0, int)
-            word[new] += spelled(m, scorer.lexer.ids(raw, off[i : j + 1], place[new]) if len(new) else [])
+            if len(new):
+                word[new] += spelled_flat(m, *scorer.lexer.ids(raw, off[i : j + 1], place[new]))
             sums = lambda v: np.bincount(text, weights=v[inverse], minlength=j - i)  # noqa: B023, E731
             got, own = windows(first[inverse], bound)
             score = (attended(m.texts, got, own, j - i) + sums(word)) / np.log(10)
@@ -548,7 +611,8 @@ def _word_rows(batches, ranks, pattern, model, counts):
             _, each, inverse, place, first, c, text = scorer.read(raw, off[i : j + 1])
             log = np.zeros(len(each))
             new = np.flatnonzero(c == 0)
-            log[new] = spelled(scorer.model, scorer.lexer.ids(raw, off[i : j + 1], place[new]) if len(new) else [])
+            if len(new):
+                log[new] = spelled_flat(scorer.model, *scorer.lexer.ids(raw, off[i : j + 1], place[new]))
             lack = c[inverse] == 0
             both, m = np.unique(text[lack] * max(1, len(each)) + inverse[lack], return_counts=True)
             t, e = np.divmod(both, max(1, len(each)))

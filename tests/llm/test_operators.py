@@ -683,6 +683,28 @@ def test_lm_gradients_and_causality():
     assert np.allclose(lm.forward(w, x[:, : lm.SPAN])[:, : 25 - lm.SPAN // 2], lm.forward(w, y[:, : lm.SPAN])[:, : 25 - lm.SPAN // 2])
 
 
+def test_lm_encodes_many_words_at_once(encoding):
+    lexer, calls = lm.Lexer(bpe.read_ranks(PATH), P.PATTERN), []
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["a", "Re", "'s", "9", "-", "\x1c", "é", "中"]) for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    odd = ["a\u00a0", "\u3000b", "\u2003", "Â", "x\u0085y"]  # white space of their own, or its first byte
+    words = [*words[:250], *odd, *words[250:]]
+
+    class Counting:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encoding.encode_ordinary(text)
+
+    lexer.encoding = Counting()
+    raw, off = common.buffers(pa.array([" ".join(words[:300]), " ".join(words[300:])]))
+    place = np.array(rng.sample(range(len(words)), len(words)))  # in any order
+    ids, bound = lexer.ids(raw, off, place)
+    lower = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    assert [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:], strict=True)] == [encoding.encode_ordinary(" " + lower(words[k])) for k in place]
+    assert len(calls) <= 1 + len(odd)
+    assert [x.tolist() for x in lexer.ids(raw, off, place[:0])] == [[], [0]]
+
+
 def test_lm_edges(spark):
     ranks = bpe.read_ranks(PATH)
     rows = {r.doc_id: r for r in lm.lm_scores(messy(spark), ranks, P.PATTERN).collect()}
