@@ -517,6 +517,20 @@ def test_bits_of_the_words_around_a_seed():
     assert not passages.alike_around(around, same).any()
 
 
+def test_runs_by_the_bits_of_frequent_seeds(spark):
+    rng = random.Random(6)
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    raw, off = common.buffers(pa.array([line, " ".join(f"x{i}" for i in range(60))]))
+    words, bound = common.words_of(raw, off)
+    own, _, seed, _ = passages.minimizers(words, bound)
+    seeds = spark.createDataFrame([(int(v),) for v in seed[own == 0]], "seed long")
+    table = passages._table(seeds.union(seeds))  # a table of one size, whatever it tells
+    assert table.nbytes == passages.TABLE_BITS // 8 and np.bitwise_count(table).sum() == len(set(seed[own == 0] & np.uint64(passages.TABLE_BITS - 1)))
+    text, pos, _ = passages.runs(words, bound, table, 50)
+    assert text.tolist() == [0] * 11 and pos.tolist() == list(range(11))  # the other text has no frequent seed
+    assert not len(passages.runs(words, bound, passages._table(seeds.where("false")), 50)[0])
+
+
 def test_segments_of_matches():
     rng = np.random.default_rng(3)
     for _ in range(300):
