@@ -93,3 +93,24 @@ def test_purge_counts_makes_no_medians(spark, sf, monkeypatch):
 
     monkeypatch.setattr(T, "day_medians", None)
     assert registry.queries()["purge_counts"](spark, sf).columns == ["horizon", "fold", "before_purge", "train_size", "test_size"]
+
+
+def test_scores_are_held_block_by_block(spark, tmp_path, monkeypatch):
+    """One batch of many blocks is not scored as a whole before its scores leave the task, and blocks and row groups are short."""
+    import glob
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, n = np.random.default_rng(7), 30_000
+    cols = {f: rng.normal(size=n) for f in T.FEATURES} | {"day": np.arange(n) % 60.0, "label_rel_5": rng.integers(0, 2, n).astype(float), "target_date_5": np.arange(n) % 60 + 5.0}
+    blocks = pa.Table.from_batches(T._bits([pa.RecordBatch.from_pydict(cols)], [5], {(5, 1): (20.0, 60.0)})).combine_chunks().to_batches()
+    assert len(blocks) == 1 and max(blocks[0]["n"].to_pylist()) <= 4096 and sum(blocks[0]["n"].to_pylist()) == n
+    models = {(5, 1, v): (rng.normal(size=8), np.zeros(7), np.ones(7), T.VARIANTS[v]) for v in (0, 1)}
+    monkeypatch.setattr(T, "MOST_HELD", 1000)
+    most = [sum(map(len, b["score"].to_pylist())) for b in T._ranged(iter(blocks), [5], models, {})]
+    assert sum(most) == 2 * (n - n // 3) and max(most) <= 1000 + 4096
+    T.staged(spark.createDataFrame(blocks[0].to_pandas().loc[lambda d: d.index.repeat(8)], T.BLOCKS).coalesce(1), **T.SHORT_GROUPS).write.options(**T.SHORT_GROUPS).parquet(str(tmp_path / "b"))
+    for f in glob.glob(str(tmp_path / "b" / "*.parquet")):
+        own = pq.read_metadata(f)
+        assert max(own.row_group(i).total_byte_size for i in range(own.num_row_groups)) < 12 << 20
