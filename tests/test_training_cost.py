@@ -114,3 +114,41 @@ def test_scores_are_held_block_by_block(spark, tmp_path, monkeypatch):
     for f in glob.glob(str(tmp_path / "b" / "*.parquet")):
         own = pq.read_metadata(f)
         assert max(own.row_group(i).total_byte_size for i in range(own.num_row_groups)) < 12 << 20
+
+
+def test_shuffles_of_a_written_table_leave_the_disk(spark):
+    import glob
+    import time
+
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: set(glob.glob(f"{local}/**/shuffle_*.data", recursive=True))
+    before = files()
+    found = T.staged(spark.range(100_000).repartition(3, "id"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert found.count() == 100_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_are_written_with_closes(spark, monkeypatch):
+    """Medians and labels from closes (null, 0 or none to come) are those from returns, and no return is written."""
+    rng = random.Random(8)
+    day = lambda i: dt.date(2023, 1, 1) + dt.timedelta(i)
+    rows = [(f"T{t}", day(d), *[0.5 for _ in T.FEATURES], rng.choice([None, 0, 7, 9, 11]), *[v for h in (3, 50) for v in (rng.choice([None, 0, 7, 8, 13]), day(d + h))]) for d in range(6) for t in range(9 + d)]
+    rows += [("T", day(7), *[0.5 for _ in T.FEATURES], 0, 7, day(8), 7, day(9))]
+    df = spark.createDataFrame(rows, "ticker string, trade_date date, " + ", ".join(f"{f} double" for f in T.FEATURES) + ", close int, close_3 int, target_date_3 date, close_50 int, target_date_50 date")
+    plain = T.returned(df, [3, 50])
+    assert plain.columns == ["ticker", "trade_date", *T.FEATURES, "fwd_return_3", "target_date_3", "fwd_return_50", "target_date_50"]
+    written, keep = [], T.staged
+    monkeypatch.setattr(T, "staged", lambda df, **options: written.append(df.columns) or keep(df, **options))
+    for most in (100_000, 11, 2):
+        want, got = (sorted(map(tuple, T.day_medians(x, [3, 50], most).collect())) for x in (plain, df))
+        assert len(want) == 12 and got == want
+        written.clear()
+        order = lambda x: sorted(map(str, T.labelled(x, [3, 50], most).collect()))
+        assert order(df) == order(plain)
+    written.clear()
+    T.labelled(df, [3, 50])
+    assert not any(c.startswith("fwd_return") for c in written[0])
