@@ -901,3 +901,55 @@ def test_messy_tables_join_and_mix(spark):
     rows = {r.doc_id: r for r in ngram_join.jaccard_join(messy(spark)).collect()}
     assert len(rows) == 12 and rows[9].component_id == 8 and rows[5].component_id == 4 and rows[0].n_shingles == 0
     assert ngram_join.jaccard_join(messy(spark).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_partners_by_frequent_seeds_only(spark, monkeypatch, parts):
+    """Passages that share no seed but those of a line that most documents have: the partner is neither the first nor the
+    previous document with that line, and places of a seed are in several tiles."""
+    monkeypatch.setattr(passages, "TILE", 16, raising=False)
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, pairs = words(16), [(5, 33), (9, 21), (12, 70)]
+    texts = [words(60) + line + words(60) for _ in range(80)]
+    for a, b in pairs:
+        for own in [words(40)]:
+            for d in (a, b):  # one word in five differs, so that no five in a row are equal
+                texts[d] = words(50) + line + [w if k % 5 else words(1)[0] for k, w in enumerate(own)] + words(50)
+    texts[50] = texts[33]  # the same words around: a run
+    rows = passages.repeated_passages(docs_of(spark, [" ".join(t) for t in texts]).repartition(parts, "doc_id")).collect()
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.doc_id] |= set(range(r.first_word, r.end_word))
+        assert r.matched >= 0.8 * (r.end_word - r.first_word) and r.end_word - r.first_word >= 50
+    assert set(got) == {33, 21, 70, 50} and all(got[b] >= set(range(50, 104)) for b in got)
+
+
+def test_places_of_a_seed_against_all_pairs(monkeypatch):
+    """Every place with a passage of an earlier document around it has a match, whatever the sizes of passes."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(1, 256, (4, 100)).astype(np.uint8)
+    near = base[rng.integers(0, 4, 150)]
+    near = np.where(rng.random(near.shape) < rng.choice([0.05, 0.12, 0.3], (150, 1)), rng.integers(1, 256, near.shape), near).astype(np.uint8)
+    near[::7, :20] = 0
+    ids = np.sort(rng.integers(0, 90, 150))
+    want = {i for i in range(150) if any(ids[j] < ids[i] and passages.in_passage(near[i : i + 1], near[j : j + 1], 50, 0.8)[0] for j in range(i))}
+    for pairs in (1, 300, 1 << 18):
+        monkeypatch.setattr(passages, "PAIRS", pairs)
+        u, j = passages.first_alike(near, passages._planes(near), ids, np.zeros(150, int), 50, 0.8)
+        assert sorted(u.tolist()) == sorted(want) and 20 < len(want) < 150
+        assert (ids[j] < ids[u]).all() and passages.in_passage(near[u], near[j], 50, 0.8).all()
+    part = rng.integers(0, 2, 150)
+    u, j = passages.first_alike(near, passages._planes(near), ids, part, 50, 0.8)
+    assert (part[u] != part[j]).all()
+
+
+def test_passage_around_a_seed():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x = rng.integers(1, 256, (1, 100)).astype(np.uint8)
+        y = np.where(rng.random((1, 100)) < rng.choice([0.1, 0.2, 0.3]), x ^ 255, x).astype(np.uint8)
+        same = (x == y)[0] & (x[0] > 0)
+        row = np.concatenate((same[:50], np.ones(5, bool), same[50:]))
+        brute = any(row[i] and row[j - 1] and row[i:j].sum() >= 0.8 * (j - i) - 1e-9 for i in range(51) for j in range(max(55, i + 50), 106))
+        assert bool(passages.in_passage(x, y, 50, 0.8)[0]) == brute
